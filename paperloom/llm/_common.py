@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STEP_CHARS = 1_000_000
 
 
+_SHIPPED: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    handle, name = tempfile.mkstemp(prefix=f"{package.name}-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(name)
+    _SHIPPED[sc.applicationId] = name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,6 +67,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -56,6 +78,7 @@ def text_column_udf(schema: str, make: Callable[[], Callable[[list[str | None]],
     ``make`` runs once per Python worker task and returns a function from a list of texts to a
     dict of equally long columns. Batches are cut so that a step holds about STEP_CHARS characters.
     """
+    ship(SparkSession.active())
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     @F.pandas_udf(schema)

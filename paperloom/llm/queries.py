@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from ._common import LOWER, UPPER, id_remainder, table
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, predict_language
+from .licenses import license_scan
 from .quality import quality_rules
+from .simhash import near_duplicates
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +39,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash": op4_simhash,
+    "op6_license_scan": op6_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
