@@ -15,6 +15,7 @@ from .licenses import license_scan
 from .mixing import mix_sources
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .toxicity import THRESHOLD, fit_toxicity, toxicity_score
 from .warc import warc_captures
 
 
@@ -26,6 +27,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_captures(table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = id_remainder("doc_id", 4) == 2
+    model = fit_toxicity(docs.filter(~held_out), labels.filter(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity_score(model, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,6 +81,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_license_scan": op6_license_scan,
@@ -88,7 +98,7 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS big FROM p),
         b AS (SELECT *, list_reduce(list_transform(range(40), lambda i: lpad(bin(CAST('0x' || h[i + 1] AS INTEGER)), 4, '0')), lambda x, y: x || y) AS bits FROM g)
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-               array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(5), lambda j: CAST(bits[5 * i + j + 1] AS INTEGER) * CAST(2 ** (4 - j) AS INTEGER)))]), '') AS payload_digest,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), lambda j: CAST(bits[5 * i + j + 1] AS INTEGER) * CAST(2 ** (4 - j) AS INTEGER))) AS BIGINT), 1)), '') AS payload_digest,
                CASE WHEN page_id = big THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> big THEN big END AS refers_to,
                url AS target_uri, 1 AS n_requests, 1 AS n_metadata
