@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import STEP_CHARS, text_column_udf
+from ._common import STEP_CHARS, ship, text_column_udf
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -106,6 +106,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     the matrix that is broadcast has one column for each.
     """
     spark = docs.sparkSession
+    ship(spark)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("draw"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
     if len(sizes) > max_languages:

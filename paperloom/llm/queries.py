@@ -14,6 +14,7 @@ from .langid import fit_language_model, predict_language
 from .licenses import license_scan
 from .mixing import mix_sources
 from .quality import quality_rules
+from .sentencepiece_scan import encode_documents
 from .simhash import near_duplicates
 from .toxicity import THRESHOLD, fit_toxicity, toxicity_score
 from .warc import warc_captures
@@ -27,6 +28,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_captures(table(spark, sf_dir, "pages"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = id_remainder("doc_id", 4) == 2
@@ -81,6 +86,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
