@@ -1,0 +1 @@
+"""Column functions: text, links, vectors, values, markup."""

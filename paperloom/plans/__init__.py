@@ -1,0 +1 @@
+"""Whole plans, and the named queries with their DuckDB counterparts."""

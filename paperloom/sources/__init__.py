@@ -1,0 +1 @@
+"""Readers with explicit schemas, retrieval joins, and sinks."""
