@@ -17,7 +17,7 @@ from ._common import text_column_udf
 
 #: (bytes from, least ratio, greatest ratio): fixed values. Below the first length no ratio is
 #: judged, since a frame's header and the literals dominate it.
-BANDS = ((256, 0.25, 0.95), (512, 0.25, 0.90), (1024, 0.22, 0.85), (4096, 0.18, 0.80), (16384, 0.15, 0.75), (65536, 0.12, 0.70))
+BANDS = ((256, 0.25, 0.90), (512, 0.25, 0.80), (1024, 0.22, 0.73), (4096, 0.18, 0.71), (16384, 0.15, 0.70), (65536, 0.12, 0.68))
 CHUNK_BYTES = 4096
 #: Share of chunks out of their band from which a document is rejected.
 BAD_CHUNKS = 0.5
