@@ -36,8 +36,10 @@ THRESHOLD = 0.3
 MAX_WORDS = 250_000
 #: Step of the embeddings, in units of their gradients' root mean square.
 EMBED_RATE = 0.01
+#: Share of a text's words that an update leaves out, so that no rare word can stand for a label.
+DROPPED = 0.6
 #: Updates that a fit on few rows has at least.
-LEAST_STEPS = 400
+LEAST_STEPS = 800
 _EDGE = dict.fromkeys(range(0x21, 0x30), None) | dict.fromkeys(range(0x3A, 0x41), None) | dict.fromkeys(range(0x5B, 0x61), None) | dict.fromkeys(range(0x7B, 0x7F), None)
 
 
@@ -224,6 +226,11 @@ def fit(texts: list[str], toxic: list[int], langs: list[str | None], epochs: int
                 n = int(n[0])
                 if not n:
                     continue
+                left = ids[:n][rng.random(n) >= DROPPED]
+                n = len(left)
+                if not n:
+                    continue
+                ids = np.concatenate([left, ids[-(max(WIDTHS) - 1) :]])
                 vectors = embed[table].sum(axis=1)[ids]
                 pooled, tops = [], []
                 for f, s in zip(filters, shift):
