@@ -343,3 +343,12 @@ ORACLE_SQL: dict[str, str] = {
         WITH l AS (SELECT doc_id, model_id, regexp_extract_all(card, {q(T.BARE_URL)})[1] AS link FROM ({CARD}))
         SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY doc_id) AS ordinal FROM l WHERE link IS NOT NULL""",
 }
+
+#: Columns that DuckDB types more widely than Spark.
+NARROWED = {
+    "heading_sections": {"section_ord": "INTEGER"}, "section_filter": {"section_ord": "INTEGER"}, "arxiv_ids": {"pos": "INTEGER"}, "github_links": {"pos": "INTEGER"}, "other_papers": {"pos": "INTEGER"},
+    "paper_rank": {"pos": "INTEGER", "rank": "INTEGER"}, "github_rank": {"pos": "INTEGER"}, "keyword_classify": {"pos": "INTEGER"}, "label_centroids": {"pos": "INTEGER"},
+    "rule_tuning": {"threshold": "DOUBLE"}, "llm_output_parse": {"point_number": "INTEGER", "score": "DOUBLE"}, "keyed_cache_join": {"page": "INTEGER"}, "first_links": {"ordinal": "INTEGER"},
+}
+for _name, _columns in NARROWED.items():
+    ORACLE_SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in _columns.items())}) FROM ({ORACLE_SQL[_name]})"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import links as L
 from ..functions import markup, values
 from ..functions import text as T
-from ..operators import assemble, cards, classify, documents, lexicon, placeholders, ranking, scoring, tuning
+from ..operators import assemble, cards, classify, documents, placeholders, ranking, scoring, tuning
 from ..shipping import ship
 from ..sources.readers import read_table
 from ..sources.retrieval import repository_files
@@ -279,12 +279,13 @@ def _tops(spark, sf_dir):
     return tops.join(vectors.select("vec_id", F.col("label").alias("truth")), "vec_id")
 
 
-#: Stand-ins for keyword scores of vectors, which have no text.
-KEYWORD1, KEYWORD2 = F.expr("vec_id % 3"), F.expr("vec_id % 5")
+def _keyword_scores() -> tuple[Column, Column]:
+    """Stand-ins for keyword scores of vectors, which have no text."""
+    return F.col("vec_id") % 3, F.col("vec_id") % 5
 
 
 def _swaps(spark, sf_dir):
-    return _tops(spark, sf_dir).withColumn("swapped", tuning.reranked(KEYWORD1, KEYWORD2))
+    return _tops(spark, sf_dir).withColumn("swapped", tuning.reranked(*_keyword_scores()))
 
 
 def _labels(spark, sf_dir):
@@ -303,7 +304,7 @@ def centroid_top2(spark, sf_dir):
 
 @query
 def gap_rerank_rule(spark, sf_dir):
-    got = classify.apply_rerank(_tops(spark, sf_dir), KEYWORD1, KEYWORD2, 0.01, ((1, 2), (3, 4)))
+    got = classify.apply_rerank(_tops(spark, sf_dir), *_keyword_scores(), 0.01, ((1, 2), (3, 4)))
     shares = classify.confidences(classify.centroid_scores(read_table(spark, sf_dir, "embeddings"), _centroids(spark, sf_dir)))
     final = shares.select("vec_id", F.col("label").alias("final_label"), F.round("confidence", 6).alias("confidence"))
     return got.join(final, ["vec_id", "final_label"]).select("vec_id", "final_label", "rule", "confidence")
@@ -478,5 +479,3 @@ def first_links(spark, sf_dir):
     rows = card_rows(spark, sf_dir).select("doc_id", "model_id", F.get(L.find_all(F.col("card"), T.BARE_URL), F.lit(0)).alias("link")).filter("link is not null")
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("model_id").orderBy("doc_id"))).select("doc_id", "model_id", "link", "ordinal")
 
-
-LABEL_NAMES = lexicon.LABELS
