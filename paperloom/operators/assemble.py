@@ -9,8 +9,36 @@ from ..functions import values
 from . import placeholders as P
 from .lexicon import LABELS, label_table
 
+# --- fixed values: standing texts ------------------------------------------------------------------
 EMPTY_TEXT = "[More information needed]"
 FAILED, FAILED_CHARS = "Generation Failed", 500
+PROMPT = """<task>
+    Synthesize the provided <reference_text> into a highly readable "{section}" section for a Model Card.
+    Adhere strictly to the <section_specifications> and <formatting_rules>.
+</task>
+
+<section_specifications>
+{spec}
+</section_specifications>
+
+<reference_text>
+{references}
+</reference_text>
+
+<instructions>
+    1. Synthesize: Combine info from all sources. If sources disagree, state BOTH values clearly.
+    2. Cite: Append a citation tag (e.g., [RP]) to the end of every sentence or bullet point derived from source material.
+    3. Placeholders: Preserve tokens like [1:CODE], [2:MATH], [3:EMAIL], or [4:LINK] exactly as they appear.
+    4. Missing info: If a specification cannot be met with the provided text, strictly state "No info available".
+    5. Formatting: You MUST use markdown lists, bolding for key terms, and avoid blocks of text.
+</instructions>
+
+<output_format>
+### {section}
+- **[Key Term/Concept]:** [Synthesized detail with citation tag]
+- **[Key Term/Concept]:** [Synthesized detail with citation tag]
+- [Additional scannable details or short sentences...]
+</output_format>"""
 SOURCES = ("paper", "model_card", "github_readme")
 
 
@@ -39,9 +67,12 @@ def grouped_references(predictions: DataFrame, key: str = "model_id", text_col:
 
 
 def generation_prompt(section: Column, spec: Column, items: Column) -> Column:
-    """G1: the references as bullets under a section's specification."""
+    """G1: the references as bullets, with a section's name and specification, in the standing prompt."""
     bullets = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
-    return F.concat(F.lit('Write the section "'), section, F.lit('" of a model card.\n\n<section_specifications>\n'), spec, F.lit("\n</section_specifications>\n\n<reference_text>\n"), bullets, F.lit("\n</reference_text>"))
+    out = F.lit(PROMPT)
+    for mark, value in (("{section}", section), ("{spec}", spec), ("{references}", bullets)):
+        out = F.replace(out, F.lit(mark), value)
+    return out
 
 
 def section_text(section: Column, items: Column, generated: Column, error: Column | None = None) -> Column:

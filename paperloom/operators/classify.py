@@ -6,29 +6,36 @@ row a paragraph or broadcast joins; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import links as L
 from ..functions import vectors as V
+from ..shipping import ship
 from .lexicon import BENEFICIAL_PAIRS, GAP_THRESHOLD, LABELS, PHRASES
 
 
-def phrase_hits(text: Column, phrases: tuple[str, ...]) -> Column:
+def phrase_hits(low: Column, tokens: Column, phrases: tuple[str, ...]) -> Column:
     """C5 for one label: a phrase of several words counts as a substring, a single one as a token."""
-    low, tokens = F.lower(text), L.token_set(text)
     several, single = [p for p in phrases if " " in p], [p for p in phrases if " " not in p]
-    out = F.lit(0.0)
-    if several:
-        out = out + F.size(F.filter(F.array(*map(F.lit, several)), lambda p: F.contains(low, p)))
-    if single:
-        out = out + F.size(F.array_intersect(tokens, F.array(*map(F.lit, single))))
+    out = F.size(F.array_intersect(tokens, F.array(*map(F.lit, single)))).cast("double") if single else F.lit(0.0)
+    for p in several:
+        out = out + F.contains(low, F.lit(p)).cast("double")
     return out
 
 
-def keyword_scores(text: Column) -> Column:
+def keyword_scores(low: Column, tokens: Column) -> Column:
     """Array of (label_ord, label, score) in schema order."""
-    return F.array(*[F.struct(F.lit(i).alias("label_ord"), F.lit(x).alias("label"), phrase_hits(text, PHRASES[x]).alias("score")) for i, x in enumerate(LABELS)])
+    return F.array(*[F.struct(F.lit(i).alias("label_ord"), F.lit(x).alias("label"), phrase_hits(low, tokens, PHRASES[x]).alias("score")) for i, x in enumerate(LABELS)])
+
+
+def with_keyword_scores(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """Adds C5's array. Lower-cased text and tokens are columns of their own, so each is made once a row."""
+    low = rows.withColumn("_low", F.lower(text_col)).withColumn("_tokens", L.token_set(F.col("_low")))
+    return low.withColumn(name, keyword_scores(F.col("_low"), F.col("_tokens"))).drop("_low", "_tokens")
 
 
 def classify_by_keywords(paragraphs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -37,14 +44,32 @@ def classify_by_keywords(paragraphs: DataFrame, text_col: str = "text") -> DataF
     Ties go to the earlier label. confidence is the best score's share of all, top2_confidence the
     second score itself; without any hit the first label has confidence 0.
     """
-    ranked = F.array_sort(F.transform(keyword_scores(F.col(text_col)), lambda s: F.struct((-s["score"]).alias("neg"), s["label_ord"].alias("label_ord"), s["label"].alias("label"))))
+    rows = with_keyword_scores(paragraphs, text_col, "_k")
+    rows = rows.withColumn("_r", F.array_sort(F.transform("_k", lambda s: F.struct((-s["score"]).alias("neg"), s["label_ord"].alias("label_ord"), s["label"].alias("label"))))).drop("_k")
     total = F.aggregate("_r", F.lit(0.0), lambda a, s: a - s["neg"])
     best, second = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
-    return (
-        paragraphs.withColumn("_r", ranked)
-        .withColumns({"predicted_label": best["label"], "confidence": F.when(total > 0, F.round(-best["neg"] / total, 4)).otherwise(F.lit(0.0)), "top2_label": second["label"], "top2_confidence": -second["neg"]})
-        .drop("_r")
-    )
+    return rows.withColumns({"predicted_label": best["label"], "confidence": F.when(total > 0, F.round(-best["neg"] / total, 4)).otherwise(F.lit(0.0)), "top2_label": second["label"], "top2_confidence": -second["neg"]}).drop("_r")
+
+
+def embed_texts(rows: DataFrame, make_encoder, text_col: str = "text", name: str = "embedding", batch: int = 64) -> DataFrame:
+    """Adds a vector column. ``make_encoder()`` runs once a Python worker task and returns a
+    function from up to ``batch`` texts to vectors; null texts keep a null vector. A table of
+    precomputed vectors joined by identifier serves as well."""
+
+    @F.pandas_udf("array<float>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = make_encoder()
+        for texts in batches:
+            out: list = [None] * len(texts)
+            held = [i for i, t in enumerate(texts) if isinstance(t, str)]
+            for at in range(0, len(held), batch):
+                part = held[at : at + batch]
+                for i, v in zip(part, encoder([texts.iloc[i] for i in part])):
+                    out[i] = [float(x) for x in v]
+            yield pd.Series(out, dtype=object)
+
+    ship(rows.sparkSession)
+    return rows.withColumn(name, encode(F.col(text_col)))
 
 
 def label_centroids(vectors: DataFrame, label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
@@ -94,7 +119,8 @@ def classify_by_vectors(paragraphs: DataFrame, centroids: DataFrame, id_cols: li
     unit = paragraphs.withColumn("_v", V.l2_normalise(V.as_double(F.col(vector_col)))).join(F.broadcast(table))
     scored = unit.withColumn("_s", F.array_sort(F.transform("_c", lambda c: F.struct((-V.dot(F.col("_v"), c["centroid"])).alias("neg"), c["label"].alias("label")))))
     first, second = F.get("_s", F.lit(0)), F.coalesce(F.get("_s", F.lit(1)), F.get("_s", F.lit(0)))
-    rows = scored.withColumns({"label1": first["label"], "score1": -first["neg"], "label2": second["label"], "score2": -second["neg"]}).withColumn("_k", F.map_from_entries(F.transform(keyword_scores(F.col(text_col)), lambda k: F.struct(k["label"], k["score"]))))
+    scored = with_keyword_scores(scored, text_col, "_kw")
+    rows = scored.withColumns({"label1": first["label"], "score1": -first["neg"], "label2": second["label"], "score2": -second["neg"]}).withColumn("_k", F.map_from_entries(F.transform("_kw", lambda k: F.struct(k["label"], k["score"]))))
     rows = apply_rerank(rows, F.coalesce(F.element_at("_k", F.col("label1")), F.lit(0.0)), F.coalesce(F.element_at("_k", F.col("label2")), F.lit(0.0)), threshold, pairs)
     final = F.when(F.col("final_label") == F.col("label2"), F.col("score2")).otherwise(F.col("score1"))
     weight = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.exp(-s["neg"] - F.col("score1")))

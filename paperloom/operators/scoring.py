@@ -25,6 +25,8 @@ For each item in the <checklist>:
 4. Handling File Names: If a file name (e.g., requirements.txt, data.csv) appears in reference_text and standard conventions suggest it contains the required info, treat this as Score 1 (Pass).
 5. Handling Placeholders: If placeholders like [1:CODE], [2:MATH], or [3:LINK] appear and surrounding text confirms they represent the required item, treat this as Score 1 (Pass).
 </constraints>"""
+#: What a scorer is asked to return. Points run from 1 to 22; scores are 0, 0.5 or 1.
+RESPONSE_SCHEMA = "evaluations array<struct<point_number:int,evidence_quote:string,reasoning:string,score:double>>"
 NO_OUTPUT = "No structured output returned."
 
 

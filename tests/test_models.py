@@ -176,3 +176,18 @@ def test_named_queries_match_duckdb(spark, sf_dir):
         frame = db.sql(ORACLE_SQL[name]).df()
         theirs = sorted(tuple(tidy(v.item() if hasattr(v, "item") else v) for v in r) for r in frame[cols].itertuples(index=False))
         assert mine == theirs and mine, name
+
+
+def test_embedding_and_rules(spark):
+    from paperloom.operators import config
+
+    rows = spark.createDataFrame([(0, "ab"), (1, None), (2, "abc")], "k int, text string")
+    got = {r["k"]: r["embedding"] for r in K.embed_texts(rows, lambda: (lambda texts: [[len(t), 1.0] for t in texts]), batch=1).collect()}
+    assert got == {0: [2.0, 1.0], 1: None, 2: [3.0, 1.0]}
+    rules = config.rules_from_json('{"labels": ["a"], "beneficial_pairs": [["a", "b"], ["c"], 3], "model_name": "m"}')
+    assert (rules.threshold, rules.pairs) == (0.0, (("a", "b"),))
+    assert config.resolve_model_name(" ", "s ", "x") == "s" and config.resolve_model_name(None, "", "x") == "x"
+    assert config.resolve_rules(rules, "other", {}) is rules and config.cache_key(False, "m") == "local:m"
+    assert config.use_remote(None, "remote") and not config.use_remote(False, "remote")
+    prompt = spark.range(1).select(A.generation_prompt(F.lit("S"), F.lit("spec"), F.array(F.lit("r1"), F.lit("r2"))).alias("p")).first()["p"]
+    assert '"S" section' in prompt and "- r1\n- r2" in prompt and "{" not in prompt
