@@ -97,12 +97,15 @@ def clean_item(text: Column) -> Column:
 def is_bibliography(text: Column) -> Column:
     """signs of a reference, and three commas or more than 100 characters."""
     commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
-    return text.rlike("(?i)(?:" + "|".join(BIBLIOGRAPHY) + ")") & ((commas >= 3) | (F.length(text) > 100))
+    # the cheap test first: few sentences get to the expression
+    return ((commas >= 3) | (F.length(text) > 100)) & text.rlike("(?i)(?:" + "|".join(BIBLIOGRAPHY) + ")")
 
 
 def is_metadata(text: Column, hits: int = 2) -> Column:
     """F8: front-matter keys, every occurrence counted."""
-    return F.regexp_count(text, F.lit("(?i)" + "|".join(k.replace(".", r"\.") for k in METADATA_KEYS))) >= hits
+    # every key ends with a colon, so texts with fewer colons need no expression
+    colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+    return (colons >= hits) & (F.regexp_count(text, F.lit("(?i)" + "|".join(k.replace(".", r"\.") for k in METADATA_KEYS))) >= hits)
 
 
 def is_unwanted_section(name: Column) -> Column:

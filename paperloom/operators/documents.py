@@ -57,22 +57,31 @@ def wanted_sections(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return sections.withColumn("_start", start).filter((F.col("_start").isNull() | (F.col("section_ord") > F.col("_start"))) & ~T.is_unwanted_section(F.col("heading"))).drop("_start")
 
 
-def _cleaned(rows: DataFrame, markdown: bool = False) -> DataFrame:
-    """T1, F8 (markdown) and F7 over a text column; emptied rows go."""
-    rows = rows.withColumn("text", T.clean_item(F.col("text"))).filter("text <> ''")
-    if markdown:
-        rows = rows.filter(~T.is_metadata(F.col("text")))
-    return rows.filter(~T.is_bibliography(F.col("text")))
+def _cleaned(items: Column, markdown: bool = False) -> Column:
+    """T1, F8 (markdown) and F7 over an array of (level, pos, part, text); emptied items go.
+
+    Inside the array each text is cleaned once; a filter after the explode would clean it again.
+    """
+    tidy = F.transform(items, lambda x: F.struct(x["level"].alias("level"), x["pos"].alias("pos"), x["part"].alias("part"), T.clean_item(x["text"]).alias("text")))
+    wanted = lambda t: (t != "") & ~T.is_bibliography(t) & (~T.is_metadata(t) if markdown else F.lit(True))
+    return F.filter(tidy, lambda x: wanted(x["text"]))
+
+
+def _item(level: str, pos: Column, part: Column, text: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), pos.cast("int").alias("pos"), part.cast("int").alias("part"), text.alias("text"))
 
 
 def three_levels(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, level, section_ord, pos, part, text) with level section, paragraph or sentence."""
+    """(id, level, section_ord, pos, part, text) with level section, paragraph or sentence.
+
+    The three levels leave a section's row in one explode, so the sections are made once.
+    """
+    zero = F.lit(0)
     solid = F.filter("blocks", lambda b: ~T.is_table_row(b))
-    whole = sections.filter(F.size(solid) > 0).select(id_col, F.lit("section").alias("level"), "section_ord", F.lit(0).alias("pos"), F.lit(0).alias("part"), F.array_join(solid, " ").alias("text"))
-    block = sections.select(id_col, "section_ord", F.posexplode("blocks").alias("pos", "text"))
-    paragraphs = block.filter(T.has_min_words(F.col("text")) & ~T.is_table_row(F.col("text"))).select(id_col, F.lit("paragraph").alias("level"), "section_ord", "pos", F.lit(0).alias("part"), "text")
-    sentences = block.select(id_col, F.lit("sentence").alias("level"), "section_ord", "pos", F.posexplode(T.kept_sentences(F.col("text"))).alias("part", "text"))
-    return _cleaned(whole.unionByName(paragraphs).unionByName(sentences))
+    whole = F.filter(F.array(_item("section", zero, zero, F.array_join(solid, " "))), lambda x: F.size(solid) > 0)
+    paragraphs = F.filter(F.transform("blocks", lambda b, i: _item("paragraph", i, zero, b)), lambda x: T.has_min_words(x["text"]) & ~T.is_table_row(x["text"]))
+    sentences = F.flatten(F.transform("blocks", lambda b, i: F.transform(T.kept_sentences(b), lambda t, j: _item("sentence", i, j, t))))
+    return sections.select(id_col, "section_ord", F.explode(_cleaned(F.concat(whole, paragraphs, sentences))).alias("x")).select(id_col, "x.level", "section_ord", "x.pos", "x.part", "x.text")
 
 
 def preprocess_papers(papers: DataFrame, id_col: str = "doc_id", text_col: str = "text", languages: Column | None = None) -> DataFrame:
@@ -109,11 +118,12 @@ def parse_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def markdown_levels(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, level, pos, text) of parsed markdown."""
-    section = parsed.select(id_col, F.lit("section").alias("level"), F.posexplode("sections").alias("pos", "text"))
-    paragraph = parsed.select(id_col, F.lit("paragraph").alias("level"), F.posexplode("paragraphs").alias("pos", "text"))
-    sentence = parsed.select(id_col, F.lit("sentence").alias("level"), F.posexplode(T.kept_sentences(F.array_join("sections", " "), T.MARKDOWN_PLACEHOLDER)).alias("pos", "text"))
-    return _cleaned(section.unionByName(paragraph).unionByName(sentence), markdown=True)
+    """(id, level, pos, text) of parsed markdown, in one explode: the parser runs once."""
+    zero = F.lit(0)
+    of = lambda level, texts: F.transform(texts, lambda t, i: _item(level, i, zero, t))
+    sentences = T.kept_sentences(F.array_join("sections", " "), T.MARKDOWN_PLACEHOLDER)
+    items = _cleaned(F.concat(of("section", F.col("sections")), of("paragraph", F.col("paragraphs")), of("sentence", sentences)), markdown=True)
+    return parsed.select(id_col, F.explode(items).alias("x")).select(id_col, "x.level", "x.pos", "x.text")
 
 
 def preprocess_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", languages: Column | None = None) -> DataFrame:

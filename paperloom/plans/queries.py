@@ -55,9 +55,8 @@ def gathered(rows: DataFrame, key: str, *order: str, value: str = "text") -> Dat
 def flagship(spark, sf_dir):
     """Gate, sentences, filters and cleaning, counted by language and source."""
     kept = documents.language_gate(docs(spark, sf_dir))
-    sentences = kept.select("lang", "source", F.explode(T.kept_sentences(F.col("text"))).alias("s"))
-    clean = sentences.withColumn("s", T.clean_item(F.col("s"))).filter("s <> ''").filter(~T.is_bibliography(F.col("s")))
-    return clean.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
+    clean = F.filter(F.transform(T.kept_sentences(F.col("text")), T.clean_item), lambda s: (s != "") & ~T.is_bibliography(s))
+    return kept.select("lang", "source", F.explode(clean).alias("s")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
 
 
 @query
