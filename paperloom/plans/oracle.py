@@ -344,6 +344,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY doc_id) AS ordinal FROM l WHERE link IS NOT NULL""",
 }
 
+ORACLE_SQL["link_selection"] = f"""
+    WITH p AS ({ORACLE_SQL['paper_rank']}), g AS ({ORACLE_SQL['github_rank']}), c AS (SELECT doc_id, arg_min(url, rank) AS primary_paper, list(url ORDER BY pos) AS urls FROM p GROUP BY doc_id),
+    h AS (SELECT doc_id, max(link) FILTER (is_primary) AS primary_github FROM g GROUP BY doc_id)
+    SELECT doc_id, primary_paper, primary_github, array_to_string(list_filter(urls, lambda u: u <> primary_paper), ' ') AS secondary_papers FROM c LEFT JOIN h USING (doc_id)"""
+
+LATEX = r"'\\[a-zA-Z0-9]+'"
+MERGED = rf"string_split(list_reduce(list_prepend(regexp_replace(l[1], {LATEX}, '', 'g'), l[2:]), lambda a, x: CASE WHEN regexp_matches(regexp_replace(a, '\s+$', ''), {ENDED}) THEN a || chr(1) || regexp_replace(x, {LATEX}, '', 'g') ELSE a || ' ' || x END), chr(1))"
+ENGLISH_PAPER = r"(length(paper) < 50 OR coalesce(length(regexp_replace(substr(paper, 1, 5000), '[^A-Za-z]', '', 'g')) / CAST(nullif(length(regexp_replace(substr(paper, 1, 5000), '[^\p{L}]', '', 'g')), 0) AS DOUBLE), 1.0) >= 0.70)"
+ORACLE_SQL["paper_levels"] = f"""
+    WITH e AS (SELECT doc_id FROM ({PAPER}) WHERE {ENGLISH_PAPER}), {HEADING_LINES},
+    b AS (SELECT doc_id, section_ord, heading, list({numbered('line', 'base')} ORDER BY pos) AS l FROM s WHERE NOT is_head AND doc_id IN (SELECT doc_id FROM e) GROUP BY ALL),
+    m AS (SELECT *, {MERGED} AS blocks, max(CASE WHEN heading = 'introduction' THEN section_ord END) OVER (PARTITION BY doc_id) AS start FROM b),
+    w AS (SELECT doc_id, blocks, list_filter(blocks, lambda z: NOT {table_row('z')}) AS solid FROM m WHERE (start IS NULL OR section_ord > start) AND NOT ({UNWANTED})),
+    x AS (SELECT doc_id, 'section' AS level, array_to_string(solid, ' ') AS text FROM w WHERE len(solid) > 0
+        UNION ALL SELECT doc_id, 'paragraph', unnest(list_filter(solid, lambda z: {words('z')} > 3)) FROM w
+        UNION ALL SELECT doc_id, 'sentence', unnest(flatten(list_transform(blocks, lambda z: {kept_sentences('z')}))) FROM w),
+    c AS (SELECT doc_id, level, {cleaned('text')} AS t FROM x)
+    SELECT doc_id, level, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS n_chars FROM c WHERE t <> '' AND NOT {bibliography('t')} GROUP BY ALL"""
+
 #: Columns that DuckDB types more widely than Spark.
 NARROWED = {
     "heading_sections": {"section_ord": "INTEGER"}, "section_filter": {"section_ord": "INTEGER"}, "arxiv_ids": {"pos": "INTEGER"}, "github_links": {"pos": "INTEGER"}, "other_papers": {"pos": "INTEGER"},
