@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import links as L
@@ -14,37 +14,47 @@ PAPER_FREQUENCY, PAPER_LABEL, PAPER_BIBTEX = 2, 5, 5
 GITHUB_TOKEN, GITHUB_LABEL, GITHUB_FIRST, GITHUB_LEAST = 3, 5, 2, 3
 
 
+def _candidates(text: Column, bibtex: Column) -> Column:
+    """Array of (id, url), archive identifiers first, then other papers."""
+    archive = F.transform(F.array_distinct(F.concat(L.arxiv_ids(text), bibtex)), lambda x: F.struct(x.alias("id"), L.arxiv_pdf_url(x).alias("url")))
+    return F.concat(archive, L.other_paper_urls(text))
+
+
+def _bibtex(text: Column, wanted: bool) -> Column:
+    return markup.arxiv_ids_of_bibtex(text) if wanted else F.array().cast("array<string>")
+
+
 def paper_candidates(cards: DataFrame, key: str = "doc_id", text_col: str = "card", bibtex: bool = True) -> DataFrame:
-    """(key, pos, candidate, url), archive identifiers first, then other papers."""
-    ids = L.arxiv_ids(F.col(text_col))
-    if bibtex:
-        ids = F.concat(ids, markup.arxiv_ids_of_bibtex(F.col(text_col)))
-    archive = F.transform(F.array_distinct(ids), lambda x: F.struct(x.alias("id"), L.arxiv_pdf_url(x).alias("url")))
-    return cards.select(key, F.posexplode(F.concat(archive, L.other_paper_urls(F.col(text_col)))).alias("pos", "c")).select(key, "pos", F.col("c.id").alias("candidate"), F.col("c.url").alias("url"))
+    """(key, pos, candidate, url); other papers may repeat."""
+    rows = cards.select(key, F.col(text_col).alias("_t"), _bibtex(F.col(text_col), bibtex).alias("_b"))
+    return rows.select(key, F.posexplode(_candidates(F.col("_t"), F.col("_b"))).alias("pos", "c")).select(key, "pos", F.col("c.id").alias("candidate"), F.col("c.url").alias("url"))
 
 
-def rank_papers(cards: DataFrame, candidates: DataFrame, key: str = "doc_id", text_col: str = "card", bibtex: bool = True, frequency: int = PAPER_FREQUENCY, label: int = PAPER_LABEL, source: int = PAPER_BIBTEX) -> DataFrame:
+def rank_papers(cards: DataFrame, key: str = "doc_id", text_col: str = "card", bibtex: bool = True, frequency: int = PAPER_FREQUENCY, label: int = PAPER_LABEL, source: int = PAPER_BIBTEX) -> DataFrame:
     """R2: (key, candidate, url, pos, score, rank) of distinct candidates.
 
     Score: occurrences (one at least) times a weight, a bonus for a labelled line, one for a BibTeX
-    entry, and the ordinal by place from the end, raised by how early the place is. Candidates meet
-    their card once; the card's text does not pass a second shuffle.
+    entry, and the ordinal by place from the end, raised by how early the place is. All that needs
+    the card's text is measured in the card's own row; only the measures are shuffled.
     """
-    body = T.strip_front_matter(F.col(text_col))
-    cards = cards.select(key, body.alias("_body"), L.labelled_paper_refs(body).alias("_labels"), (markup.arxiv_ids_of_bibtex(F.col(text_col)) if bibtex else F.array().cast("array<string>")).alias("_bibtex"))
-    first = candidates.groupBy(key, "candidate").agg(F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url"))
-    c = F.col("candidate")
-    rows = first.join(cards, key).select(
-        key,
-        "candidate",
-        "url",
-        "pos",
-        T.count_literal(F.col("_body"), c).alias("n"),
-        (F.position(c, F.col("_body")) - 1).alias("at"),
-        F.length("_body").alias("length"),
-        F.exists("_labels", lambda x: F.contains(c, x) | F.contains(x, c)).alias("labelled"),
-        F.array_contains("_bibtex", c).alias("cited"),
+    rows = cards.select(key, F.col(text_col).alias("_t"), _bibtex(F.col(text_col), bibtex).alias("_b"))
+    rows = rows.select(key, "_b", T.strip_front_matter(F.col("_t")).alias("_body"), _candidates(F.col("_t"), F.col("_b")).alias("_c"))
+    rows = rows.withColumn("_labels", L.labelled_paper_refs(F.col("_body"))).withColumn("_ids", F.transform("_c", lambda c: c["id"]))
+    measured = F.transform(
+        "_c",
+        lambda c, i: F.struct(
+            c["id"].alias("candidate"),
+            c["url"].alias("url"),
+            i.alias("pos"),
+            T.count_literal(F.col("_body"), c["id"]).alias("n"),
+            (F.position(c["id"], F.col("_body")) - 1).alias("at"),
+            F.length("_body").alias("length"),
+            F.exists("_labels", lambda x: F.contains(c["id"], x) | F.contains(x, c["id"])).alias("labelled"),
+            F.array_contains("_b", c["id"]).alias("cited"),
+            (F.array_position("_ids", c["id"]) == i + 1).alias("first"),
+        ),
     )
+    rows = rows.select(key, F.explode(F.filter(measured, lambda m: m["first"])).alias("m")).select(key, "m.*")
     placed = Window.partitionBy(key).orderBy(F.when(F.col("at") >= 0, F.col("at")).asc_nulls_last(), "pos")
     count = F.sum((F.col("at") >= 0).cast("int")).over(Window.partitionBy(key))
     ordinal = count - F.row_number().over(placed) + 1
@@ -98,8 +108,7 @@ def select_links(cards: DataFrame, key: str = "doc_id", text_col: str = "card",
     Cards without a paper are left out (F10). ``papers`` holds titles and abstracts; without it
     papers are chosen by rank alone and no repository is looked for in an abstract.
     """
-    candidates = paper_candidates(cards, key, text_col, bibtex)
-    ranked = rank_papers(cards, candidates, key, text_col, bibtex)
+    ranked = rank_papers(cards, key, text_col, bibtex)
     if papers is not None:
         named = match_titles(ranked.join(cards.select(key, model_col), key), papers, key, model_col)
         hits = F.sum(F.col("matched").cast("int")).over(Window.partitionBy(key))

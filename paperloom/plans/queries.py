@@ -223,8 +223,7 @@ def bibtex_ids(spark, sf_dir):
 
 @query
 def paper_rank(spark, sf_dir):
-    rows = card_rows(spark, sf_dir)
-    return ranking.rank_papers(rows, ranking.paper_candidates(rows, bibtex=False), bibtex=False)
+    return ranking.rank_papers(card_rows(spark, sf_dir), bibtex=False)
 
 
 @query

@@ -68,7 +68,7 @@ def test_github_rank(spark):
 def test_paper_rank(spark):
     front = "---\nx: 1\n---\n"
     df = cards(spark, front + "https://arxiv.org/abs/1111.11111 then https://arxiv.org/abs/2222.22222\nPaper: https://arxiv.org/abs/2222.22222", "https://arxiv.org/abs/3333.33333 https://arxiv.org/abs/4444.44444")
-    ranked = R.rank_papers(df, R.paper_candidates(df), bibtex=True)
+    ranked = R.rank_papers(df)
     top = {r["doc_id"]: r["candidate"] for r in ranked.filter("rank = 1").collect()}
     assert top == {0: "2222.22222", 1: "3333.33333"}
 
