@@ -214,12 +214,14 @@ def fit(texts: list[str], toxic: list[int], langs: list[str | None], epochs: int
     weight = np.where(y > 0, min(8.0, (1 - y.mean()) / y.mean()) ** 0.5, 1.0)
     numbers = {i: numbered([texts[i]]) for i in train.tolist()}
     params = [embed, *filters, *shift, out, bias]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params[1:]]
     count, scale = 0, 0.0
     for _ in range(max(epochs, -(-LEAST_STEPS * batch // max(1, len(train))))):
         rng.shuffle(train)
         for at in range(0, len(train), batch):
-            grads = [np.zeros_like(p) for p in params]
+            grads = [None, *(np.zeros_like(p) for p in params[1:])]
+            touched: list[np.ndarray] = []
+            pulls: list[np.ndarray] = []
             some = train[at : at + batch].tolist()
             for i in some:
                 table, ids, n = numbers[i]
@@ -251,16 +253,18 @@ def fit(texts: list[str], toxic: list[int], langs: list[str | None], epochs: int
                     for j in range(len(f)):
                         at_words = ids[tops[k] + j]
                         grads[1 + k][j] += (vectors[tops[k] + j] * back[k][:, None]).T
-                        np.add.at(grads[0], table[at_words], (f[j].T * back[k][:, None])[:, None, :])
+                        touched.append(table[at_words].ravel())
+                        pulls.append(np.repeat(f[j].T * back[k][:, None], N_FEATURES, axis=0))
             count += 1
-            grads[0][0] = 0
-            for p, g, (m, v) in zip(params, grads, moments):
-                if p is embed:  # one scale for all rows: words that recur in the texts move further than rare ones
-                    rows = np.flatnonzero(g.any(axis=1))
-                    size = float((g[rows] ** 2).mean()) if len(rows) else 0.0
-                    scale = size if count == 1 else 0.9 * scale + 0.1 * size
-                    p[rows] -= EMBED_RATE * g[rows] / (math.sqrt(scale) + 1e-8)
-                    continue
+            if touched:  # one scale for all rows: words that recur in the texts move further than rare ones
+                rows, of = np.unique(np.concatenate(touched), return_inverse=True)
+                g = np.zeros((len(rows), DIM))
+                np.add.at(g, of, np.concatenate(pulls))
+                g[rows == 0] = 0
+                size = float((g**2).mean())
+                scale = size if count == 1 else 0.9 * scale + 0.1 * size
+                embed[rows] -= EMBED_RATE * g / (math.sqrt(scale) + 1e-8)
+            for p, g, (m, v) in zip(params[1:], grads[1:], moments):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g**2 - v)
                 p -= rate * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.99**count)) + 1e-8)
