@@ -3,7 +3,7 @@
 Normalised bytes are range-partitioned by sampled splitters, an external sort places equal texts
 side by side, and each row is compared in full with its neighbour. The splitters are drawn from
 (first bytes, 64-bit hash, salt), which orders rows as the sort does but keeps the sample that
-reaches the driver narrow, whatever the texts' lengths.
+reaches the driver narrow, whatever the texts' lengths. Texts are shuffled once.
 
 A text that more than ``hot_rows`` rows share (or 1/100,000 of all rows, if that is more) is dealt
 over salts, so no group lands in one task; the heads of its runs, at most one per salt and
@@ -12,7 +12,7 @@ distinct text, are then merged by a second full comparison.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import ascii_lower, cut
@@ -20,53 +20,83 @@ from ._common import ascii_lower, cut
 PREFIX_BYTES = 32
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hot_rows: int = 500, max_hot: int = 100_000) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+def _norm(text: Column) -> Column:
+    return ascii_lower(text).cast("binary")
 
-    Texts are equal when identical after lower-casing A-Z. ``keep`` names the row that stays, that
-    with the smallest ("min") or largest ("max") identifier. Null text counts as empty. A null
-    identifier is smaller than any other. Of rows with the same text and identifier one stays.
-    An empty table gives no rows. Other columns are ignored.
-    """
+
+def _order(keep: str) -> Column:
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
-    best = F.min if keep == "min" else F.max
-    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).cast("binary").alias("norm"))
-    rows = rows.withColumn("h", F.xxhash64("norm"))
+    return F.col("id").asc_nulls_first() if keep == "min" else F.col("id").desc_nulls_last()
+
 
-    # More rows than the threshold can share at most max_hot hashes: the broadcast has a proven bound.
-    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    total = docs.select(F.lit(1)).count()
-    limit = max(hot_rows, -(-total // max_hot))
-    hot = cut(counts.filter(F.col("n") > limit).select("h", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
+def _hot_hashes(rows: DataFrame, hot_rows: int, max_hot: int) -> DataFrame:
+    """(h, salts) of hashes that more rows share than the threshold; max_hot rows at most, so it may be broadcast."""
+    limit = max(hot_rows, -(-rows.select(F.lit(1)).count() // max_hot))
+    return cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("h", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
 
+
+def _heads(rows: DataFrame, hot: DataFrame, keep: str) -> DataFrame:
+    """Sorts rows (id, text, h, ...) and adds salt (-1 unless hot), norm, head and run: the first row of
+    each run of equal texts within (prefix, h, salt), and the run's number there."""
+    draw = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")))
     keyed = (
         rows.join(F.broadcast(hot), "h", "left")
-        .withColumn("salt", F.when(F.col("salts").isNull(), -1).otherwise(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.col("salts")).cast("int")))
-        .select("id", "norm", "h", "salt", F.substring("norm", 1, PREFIX_BYTES).alias("prefix"), F.sha2("norm", 256).alias("text_sha256"))
+        .withColumn("salt", F.when(F.col("salts").isNull(), -1).otherwise(F.pmod(draw, F.col("salts")).cast("int")))
+        .withColumn("prefix", F.substring(_norm(F.col("text")), 1, PREFIX_BYTES))
+        .drop("salts")
     )
-    ranged = keyed.repartitionByRange("prefix", "h", "salt")
-
-    order = F.col("id").asc_nulls_first() if keep == "min" else F.col("id").desc_nulls_last()
-    beside = Window.partitionBy("prefix", "h", "salt").orderBy("norm", order)
+    # the normalised bytes are made after the shuffle, which moves the text alone
+    ranged = keyed.repartitionByRange("prefix", "h", "salt").withColumn("norm", _norm(F.col("text")))
+    beside = Window.partitionBy("prefix", "h", "salt").orderBy("norm", _order(keep))
     before = F.lag("norm").over(beside)
-    runs = (
-        ranged.withColumn("head", before.isNull() | (before != F.col("norm")))
-        .withColumn("run", F.sum(F.col("head").cast("int")).over(beside.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("id", "prefix", "h", "salt", "run", "head", "text_sha256", F.when(F.col("head") & (F.col("salt") >= 0), F.col("norm")).alias("hot_norm"))
-    )
+    return ranged.withColumn("head", before.isNull() | (before != F.col("norm"))).withColumn("run", F.sum(F.col("head").cast("int")).over(beside.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hot_rows: int = 500, max_hot: int = 100_000) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z. ``keep`` names the row that stays, that
+    with the smallest ("min") or largest ("max") identifier. Null text counts as empty. A null
+    identifier is smaller than any other. Of rows with the same text and identifier one stays.
+    An empty table gives no rows. Other columns are ignored.
+    """
+    best = F.min if keep == "min" else F.max
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64(_norm(F.col("text"))))
+    hot = _hot_hashes(rows, hot_rows, max_hot)
+    runs = _heads(rows, hot, keep).select("id", "prefix", "h", "salt", "run", "head", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("head") & (F.col("salt") >= 0), F.col("norm")).alias("hot_norm"))
     within = Window.partitionBy("prefix", "h", "salt", "run")
-    grouped = runs.select("id", "h", "salt", "run", "head", "text_sha256", "hot_norm", best("id").over(within).alias("keep_id"), F.count(F.lit(1)).over(within).alias("group_size"))
-    if hot.isEmpty():
-        out = grouped
-    else:
+    # a null identifier is the least, which min() would pass over
+    first = F.when(F.max(F.col("id").isNull()).over(within), F.lit(None)).otherwise(F.min("id").over(within)) if keep == "min" else F.max("id").over(within)
+    grouped = runs.select("id", "h", "salt", "run", "head", "text_sha256", "hot_norm", first.alias("keep_id"), F.count(F.lit(1)).over(within).alias("group_size"))
+    if not hot.isEmpty():
         grouped = cut(grouped)
         same = Window.partitionBy("hot_norm")
-        merged = grouped.filter(F.col("hot_norm").isNotNull()).select("h", "salt", "run", best("keep_id").over(same).alias("all_keep"), F.sum("group_size").over(same).alias("all_size"))
-        out = (
+        merged_keep = F.when(F.max(F.col("keep_id").isNull()).over(same), F.lit(None)).otherwise(F.min("keep_id").over(same)) if keep == "min" else best("keep_id").over(same)
+        merged = grouped.filter(F.col("hot_norm").isNotNull()).select("h", "salt", "run", merged_keep.alias("all_keep"), F.sum("group_size").over(same).alias("all_size"))
+        grouped = (
             grouped.drop("hot_norm")
             .join(F.broadcast(merged), ["h", "salt", "run"], "left")
-            .withColumn("keep_id", F.coalesce("all_keep", "keep_id"))
+            .withColumn("keep_id", F.when(F.col("all_size").isNull(), F.col("keep_id")).otherwise(F.col("all_keep")))
             .withColumn("group_size", F.coalesce("all_size", "group_size"))
         )
-    return out.select(F.col("id").alias(id_col), F.col("keep_id"), F.col("group_size"), (F.col("head") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+    return grouped.select(F.col("id").alias(id_col), F.col("keep_id"), F.col("group_size"), (F.col("head") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hot_rows: int = 500, max_hot: int = 100_000) -> DataFrame:
+    """The rows that exact_dedup keeps, with all their columns, straight out of the sort: no join by identifier.
+
+    Defined on odd rows as exact_dedup is.
+    """
+    best = F.min if keep == "min" else F.max
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("rest")).withColumn("h", F.xxhash64(_norm(F.col("text"))))
+    hot = _hot_hashes(rows, hot_rows, max_hot)
+    heads = _heads(rows, hot, keep).filter("head")
+    if not hot.isEmpty():
+        # one row a hot text, combined before the shuffle; identifiers and digests of at most max_hot texts are broadcast
+        texts = rows.join(F.broadcast(hot), "h").groupBy("h", _norm(F.col("text")).alias("norm")).agg(best("id").alias("best"), F.max(F.col("id").isNull()).alias("null_id"))
+        least = F.when(F.col("null_id"), F.lit(None)).otherwise(F.col("best")) if keep == "min" else F.col("best")
+        stay = texts.select(F.col("h").alias("sh"), F.sha2("norm", 256).alias("sha"), least.alias("sid"))
+        told = heads.withColumn("digest", F.when(F.col("salt") >= 0, F.sha2("norm", 256)))
+        heads = told.join(F.broadcast(stay), (F.col("h") == F.col("sh")) & (F.col("digest") == F.col("sha")), "left").filter((F.col("salt") < 0) | F.col("id").eqNullSafe(F.col("sid")))
+    return heads.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ def odd_docs(spark):
 
 ODD = [
     (1, "The same text.", "en", "a"), (2, "the SAME text.", "en", "b"), (3, None, None, None), (4, "", "fr", "a"), (5, " \n\t ", "fr", None),
-    (6, "The same text.", "en", "a"), (6, "The same text.", "en", "a"), (7, "x " * 60_000, "de", "b"), (None, "no identifier here", "es", "c"), (8, "Ünïcode ßtraße 日本語 🙂 \x00 \r\n<|im_end|>", None, ""),
+    (6, "The same text.", "en", "a"), (6, "The same text.", "en", "a"), (7, "x " * 60_000, "de", "b"), (None, "no identifier here", "es", "c"), (None, "the same text.", "es", "c"), (8, "Ünïcode ßtraße 日本語 🙂 \x00 \r\n<|im_end|>", None, ""),
 ]
 
 

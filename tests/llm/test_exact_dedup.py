@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from paperloom.llm.exact_dedup import exact_dedup
+from paperloom.llm.exact_dedup import distinct_documents, exact_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -32,12 +32,19 @@ def test_against_brute_force(spark, keep, hot):
     rows += rows[:5]
     got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, hot_rows=hot)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, keep)
+    left = distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, hot_rows=hot)
+    text = dict(rows)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(((r[0], text[r[0]]) for r in brute(rows, keep) if r[3]), key=str)
 
 
 def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     for hot in (1, 500):
-        assert sorted(map(tuple, exact_dedup(odd, keep="max", hot_rows=hot).collect()), key=str) == brute(rows, "max")
-    assert exact_dedup(none).count() == 0
+        for keep in ("max", "min"):
+            assert sorted(map(tuple, exact_dedup(odd, keep=keep, hot_rows=hot).collect()), key=str) == brute(rows, keep)
+            left = distinct_documents(odd, keep=keep, hot_rows=hot)
+            assert left.columns == odd.columns
+            assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted((r[0] for r in brute(rows, keep) if r[3]), key=str)
+    assert exact_dedup(none).count() == 0 and distinct_documents(none).count() == 0
     with pytest.raises(ValueError):
         exact_dedup(odd, keep="any")
