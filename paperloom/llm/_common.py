@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,8 +76,8 @@ def text_column_udf(schema: str, make: Callable[[], Callable[[list[str | None]],
     return run
 
 
-def steps(texts: list) -> Iterator[list[str | None]]:
-    """Cut a list of texts into runs of about STEP_CHARS characters; at least one text each."""
+def steps(texts: Iterable) -> Iterator[list[str | None]]:
+    """Cut texts into runs of about STEP_CHARS characters; at least one text each."""
     part: list[str | None] = []
     held = 0
     for t in texts:

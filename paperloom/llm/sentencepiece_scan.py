@@ -34,7 +34,7 @@ GIANT_CHARS = 32_768
 CHUNK_CHARS = 8_192
 RUN_CHUNKS = 256
 #: Pairs of tokens whose verdict a worker keeps.
-MAX_PAIRS = 500_000
+MAX_PAIRS = 100_000
 START = (0, 0)
 
 
@@ -267,7 +267,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lib = sentencepiece.SentencePieceProcessor(model_proto=proto.value)
         for batch in batches:
             at = 0
-            for texts in steps(batch.column(1).to_pylist()):
+            for texts in steps(x.as_py() for x in batch.column(1)):  # only a step's texts are held as Python strings
                 got = lib.encode(texts)
                 back = lib.decode(got)
                 counts = np.fromiter(map(len, got), np.int64, len(got))
@@ -331,7 +331,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(proto.value)
-        for batch in batches:
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
             out = []
             for r in batch.to_pylist():
                 a, b, c, d = r["states"]
