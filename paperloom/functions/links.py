@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # --- fixed values: patterns, segments and extensions ---------------------------------------------
 ARXIV_URL = r"https?://arxiv\.org/(abs|pdf)/(\d+\.\d+)"
 HUB_PAPER_URL = r"https?://(?:huggingface\.co|hf\.co)/papers/(\d+\.\d+)"
@@ -87,7 +89,7 @@ def abstract_github_links(text: Column) -> Column:
 
 def labelled_paper_refs(text: Column) -> Column:
     """Distinct identifiers and other addresses on lines labelled as the paper."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "").rlike(PAPER_LABEL))
+    lines = F.filter(F.split(text, "\n"), lambda x: strip(x).rlike(PAPER_LABEL))
     urls = lambda x: F.filter(F.transform(find_all(x, URL), lambda u: F.rtrim(u, F.lit("/"))), lambda u: ~F.contains(F.lower(u), F.lit("arxiv.org")))
     return F.array_distinct(F.flatten(F.transform(lines, lambda x: F.concat(find_all(x, ARXIV_ID, 1), urls(x)))))
 

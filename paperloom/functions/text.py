@@ -36,16 +36,25 @@ PAPER_PLACEHOLDER = r"^\[\d+:(CODE|MATH|LINK)\]$"
 MARKDOWN_PLACEHOLDER = r"^\[\d+:(CODE|TABLE)\]\.*$"
 CODE_PLACEHOLDER = r"^\[\d+:CODE\]\.*$"
 NUL = "\x00"
+#: White space as Unicode strings know it, as a class and as characters. A class written out is
+#: tested faster than one that is looked up by Unicode property.
+SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """White space at either end goes."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def space(text: Column) -> Column:
     """Runs of Unicode white space become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
 def words(text: Column) -> Column:
     """Words between Unicode white space."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(text, SPACE + "+"), lambda x: x != "")
 
 
 def n_words(text: Column) -> Column:
@@ -71,7 +80,7 @@ def looks_english(text: Column, min_length: int = 50, ratio: float = 0.70) -> Co
 
 def declared_english(languages: Column) -> Column:
     """F2, of an array of names: null where nothing is declared, else whether one of them is English."""
-    clean = F.filter(F.transform(languages, lambda x: F.replace(F.lower(F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))), F.lit("_"), F.lit("-"))), lambda x: x.isNotNull() & (x != ""))
+    clean = F.filter(F.transform(languages, lambda x: F.replace(F.lower(strip(x)), F.lit("_"), F.lit("-"))), lambda x: x.isNotNull() & (x != ""))
     english = F.exists(clean, lambda x: x.isin(*ENGLISH) | x.startswith("en-"))
     return F.when(languages.isNull() | (F.size(clean) == 0), F.lit(None).cast("boolean")).otherwise(english)
 
@@ -83,7 +92,7 @@ def passes_language_gate(languages: Column, text: Column) -> Column:
 
 def is_table_row(text: Column) -> Column:
     """a pipe at either end, or three of them."""
-    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    trimmed = strip(text)
     pipes = F.length(trimmed) - F.length(F.replace(trimmed, F.lit("|"), F.lit("")))
     return (trimmed.startswith("|") & trimmed.endswith("|")) | (pipes >= 3)
 
@@ -124,12 +133,12 @@ def restore_abbreviations(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Array of sentences, cut after . ! ? before white space; blank ones dropped."""
-    return F.filter(F.split(text, r"(?<=[.!?])(?U:\s)+"), lambda s: F.regexp_replace(s, r"(?U)\s", "") != "")
+    return F.filter(F.split(text, f"(?<=[.!?]){SPACE}+"), lambda s: strip(s) != "")
 
 
 def guarded_sentences(text: Column) -> Column:
     """Sentences with abbreviations kept whole, trimmed."""
-    return F.transform(sentences(protect_abbreviations(text)), lambda s: F.regexp_replace(restore_abbreviations(s), r"(?U)^\s+|\s+$", ""))
+    return F.transform(sentences(protect_abbreviations(text)), lambda s: strip(restore_abbreviations(s)))
 
 
 def kept_sentences(text: Column, placeholder: str = PAPER_PLACEHOLDER) -> Column:
@@ -192,7 +201,7 @@ def merge_spans(blocks: Column) -> Column:
 
     def step(held: Column, block: Column) -> Column:
         text = F.when(held["open"].isNull(), F.regexp_replace(block, r"\\[a-zA-Z0-9]+", "")).otherwise(F.concat(held["open"], F.lit(" "), block))
-        ended = F.regexp_replace(text, r"(?U)\s+$", "").rlike(SENTENCE_END)
+        ended = F.rtrim(text, F.lit(SPACES)).rlike(SENTENCE_END)
         return F.struct(F.when(ended, F.concat(held["done"], F.array(text))).otherwise(held["done"]).alias("done"), F.when(ended, F.lit(None).cast("string")).otherwise(text).alias("open"))
 
     return F.aggregate(blocks, start, step, lambda held: F.when(held["open"].isNull(), held["done"]).otherwise(F.concat(held["done"], F.array(held["open"]))))

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .batched import batched
+from .text import SPACE, strip
 
 # --- fixed values ---------------------------------------------------------------------------------
 NULL_NAMES = ("", "nan", "none", "null")
@@ -78,7 +79,7 @@ def shorten(text: Column, most: int = 2000) -> Column:
 
 def code_body(block: Column) -> Column:
     """What stands between the outer fences."""
-    t = F.regexp_replace(block, r"(?U)^\s+|\s+$", "")
+    t = strip(block)
     inner = F.regexp_extract(t, r"(?s)\A```[^\n]*\n(.*)```", 1)
     return F.when(t.rlike(r"(?s)\A```[^\n]*\n.*```"), F.regexp_replace(inner, r"^\n+|\n+\z", "")).otherwise(t)
 
@@ -95,9 +96,9 @@ def upgrade_pp(text: Column) -> Column:
 
 def strip_unresolved_code(text: Column) -> Column:
     """P6."""
-    out = F.regexp_replace(text, r"(?U)\s*\[(?:PP|RP)_\d+:CODE\]\s*", " ")
+    out = F.regexp_replace(text, rf"{SPACE}*\[(?:PP|RP)_\d+:CODE\]{SPACE}*", " ")
     out = F.regexp_replace(F.regexp_replace(out, r"```[^\n`]*\n\s*```", ""), r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+    return strip(out)
 
 
 def normalise_formula(text: Column) -> Column:

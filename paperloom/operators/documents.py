@@ -22,7 +22,7 @@ def language_gate(docs: DataFrame, text_col: str = "text", languages: Column | N
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, line) of the non-blank lines, trimmed."""
     lines = docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    return lines.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).filter("line <> ''")
+    return lines.withColumn("line", T.strip(F.col("line"))).filter("line <> ''")
 
 
 def heading_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, values
+from ..functions.text import number_matches, strip
 
 KINDS = "LINK|EMAIL|CODE|MATH|TABLE"
 BARE = rf"\[\d+:(?:{KINDS})\]"
@@ -15,8 +16,6 @@ DOLLAR = rf"(?i)\$(?:[A-Z]+_)?\d+:(?:{KINDS})\$"
 
 def number_in_document(blocks: DataFrame, pattern: str, kind: str, id_col: str = "doc_id", pos_col: str = "pos", text_col: str = "text") -> DataFrame:
     """Replaces matches by [n:KIND] with n counting through the document; one shuffle by document."""
-    from ..functions.text import number_matches
-
     n = F.regexp_count(text_col, F.lit(pattern))
     w = Window.partitionBy(id_col).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, 0)
     return blocks.withColumn("_n", n).withColumn("_base", F.sum("_n").over(w) - F.col("_n")).withColumn(text_col, number_matches(F.col(text_col), pattern, kind, F.col("_base"))).drop("_n", "_base")
@@ -28,7 +27,7 @@ def canonical_placeholders(entries: DataFrame, id_col: str = "model_id") -> Data
     Values are trimmed and blank ones dropped. Equal values of a source and kind share a number;
     numbers follow the first place of each value.
     """
-    clean = entries.withColumn("value", F.regexp_replace("value", r"(?U)^\s+|\s+$", "")).filter("value <> ''")
+    clean = entries.withColumn("value", strip(F.col("value"))).filter("value <> ''")
     group = Window.partitionBy(id_col, "source", "kind")
     first = F.min("pos").over(Window.partitionBy(id_col, "source", "kind", "value"))
     return (
@@ -70,7 +69,7 @@ def apply_replacements(text: Column, held: Column) -> Column:
     def value(token: Column, shown: Column) -> Column:
         got = F.coalesce(F.element_at(held, token), shown)
         fenced = token.endswith(":CODE]") & F.contains(got, F.lit("```"))
-        return F.when(fenced, F.concat(F.lit("\n\n"), F.regexp_replace(got, r"(?U)^\s+|\s+$", ""), F.lit("\n\n"))).otherwise(got)
+        return F.when(fenced, F.concat(F.lit("\n\n"), strip(got), F.lit("\n\n"))).otherwise(got)
 
     def dollar(token: Column) -> Column:
         inner = F.substring(token, F.lit(2), F.length(token) - 2)

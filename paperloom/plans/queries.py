@@ -12,7 +12,7 @@ from ..functions import markup, values
 from ..functions import text as T
 from ..operators import assemble, cards, classify, documents, placeholders, ranking, scoring, tuning
 from ..shipping import ship
-from ..sources.readers import read_table
+from ..sources.readers import read_table, spread
 from ..sources.retrieval import repository_files
 from . import derived
 
@@ -30,7 +30,7 @@ def query(fn: Query) -> Query:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows out where a table has fewer files than the cluster has cores.
+
+    A file of one row group is read by one task, and so would be parsed by one. A table of many
+    files is left as it is: no shuffle at scale.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows._jdf.inputFiles()) < cores else rows
+
+
 def read_json_resource(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object over several lines."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
