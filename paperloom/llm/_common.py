@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..shipping import ship
 
 #: Words of the word-based contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Characters that one step of a vectorised UDF holds as arrays.
+#: Characters that one step over a long text holds as arrays.
 STEP_CHARS = 1_000_000
+#: Bytes of text that one step of a vectorised UDF turns into Python strings.
+STEP_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,35 +63,45 @@ def text_column_udf(schema: str, make: Callable[[], Callable[[list[str | None]],
     """A vectorised UDF from a text column to a struct.
 
     ``make`` runs once per Python worker task and returns a function from a list of texts to a
-    dict of equally long columns. Batches are cut so that a step holds about STEP_CHARS characters.
+    dict of equally long columns. Spark bounds an Arrow batch by bytes
+    (spark.sql.execution.arrow.maxBytesPerBatch); of a batch, about STEP_BYTES at a time become
+    Python strings.
     """
     ship(SparkSession.active())
-    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    returned = to_arrow_type(T._parse_datatype_string(schema))
 
-    @F.pandas_udf(schema)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fn = make()
-        for series in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            for part in steps(series.tolist()):
-                got = fn(part)
-                for n in names:
-                    out[n].extend(got[n])
-            yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in out.items()}, columns=names)
+        for texts in batches:
+            parts = []
+            for part in steps(texts):
+                got = fn(part.to_pylist())
+                parts.append(pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in returned], fields=list(returned)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], returned)
 
     return run
 
 
-def steps(texts: Iterable) -> Iterator[list[str | None]]:
-    """Cut texts into runs of about STEP_CHARS characters; at least one text each."""
-    part: list[str | None] = []
-    held = 0
-    for t in texts:
-        t = t if isinstance(t, str) else None
-        part.append(t)
-        held += len(t or "")
-        if held >= STEP_CHARS:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+def steps(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a text array that hold about STEP_BYTES bytes; at least one text each."""
+    if not len(texts):
+        return
+    held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(held[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(held, before + STEP_BYTES, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
+def working_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh path under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that working_folder named, in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

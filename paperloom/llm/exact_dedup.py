@@ -1,102 +1,238 @@
 """Exact deduplication by a distributed sort of the contents (operator 10, native).
 
 Normalised bytes are range-partitioned by sampled splitters, an external sort places equal texts
-side by side, and each row is compared in full with its neighbour. The splitters are drawn from
-(first bytes, 64-bit hash, salt), which orders rows as the sort does but keeps the sample that
-reaches the driver narrow, whatever the texts' lengths. Texts are shuffled once.
-
-A text that more than ``hot_rows`` rows share (or 1/100,000 of all rows, if that is more) is dealt
-over salts, so no group lands in one task; the heads of its runs, at most one per salt and
-distinct text, are then merged by a second full comparison.
+side by side in each range, and each row is compared in full with its neighbour. Texts are
+shuffled once, and no hash takes part in the order.
+
+The splitters come from a sample of rows drawn by a hash of the identifier. Any byte string can
+part a range, so a splitter need only be long enough to tell two sampled texts apart: the driver
+takes the first bytes of the sampled texts and comes back for more only of those it cannot tell
+apart and that would fill a range between them. A text that takes up half a range or more by
+itself, as a large group of copies does, gets ranges of its own over which its rows are dealt. The heads of the runs there, one a range and text, are then merged by
+a second full comparison.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import ascii_lower, cut
 
-PREFIX_BYTES = 32
+#: Bytes of text that a range is meant to hold.
+RANGE_BYTES = 64 << 20
+#: One row in so many is sampled, between the least and most rows of a sample. Four sampled rows a range or more: the
+#: greatest sample bounds the number of ranges and what the driver holds, while a range may grow, as its sort spills.
+SAMPLE_EVERY, LEAST_SAMPLE, MAX_SAMPLE, ROWS_A_RANGE = 1_000, 10_000, 200_000, 4
+#: Bytes that a row has beside its text.
+ROW_BYTES = 64
+#: Bytes of a sampled text that the driver takes first, and by what the number grows for texts it cannot tell apart.
+KEY_BYTES, MORE = 256, 8
 
 
 def _norm(text: Column) -> Column:
     return ascii_lower(text).cast("binary")
 
 
-def _order(keep: str) -> Column:
+def _check(keep: str) -> None:
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
+
+
+def _order(keep: str) -> Column:
     return F.col("id").asc_nulls_first() if keep == "min" else F.col("id").desc_nulls_last()
 
 
-def _hot_hashes(rows: DataFrame, hot_rows: int, max_hot: int) -> DataFrame:
-    """(h, salts) of hashes that more rows share than the threshold; max_hot rows at most, so it may be broadcast."""
-    limit = max(hot_rows, -(-rows.select(F.lit(1)).count() // max_hot))
-    return cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("h", F.ceil(F.col("n") / limit).cast("int").alias("salts")))
+def _extreme(keep: str, over=None) -> Column:
+    """The identifier that stays; a null one is the least, which min() would pass over."""
+    at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    return at(F.max("id")) if keep == "max" else F.when(at(F.max(F.col("id").isNull())), F.lit(None)).otherwise(at(F.min("id")))
+
+
+def _draw() -> Column:
+    return F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("content sort"))
+
 
+@dataclass
+class HotText:
+    hash: int
+    length: int
+    first: int
+    ranges: int
 
-def _heads(rows: DataFrame, hot: DataFrame, keep: str) -> DataFrame:
-    """Sorts rows (id, text, h, ...) and adds salt (-1 unless hot), norm, head and run: the first row of
-    each run of equal texts within (prefix, h, salt), and the run's number there."""
-    draw = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    keyed = (
-        rows.join(F.broadcast(hot), "h", "left")
-        .withColumn("salt", F.when(F.col("salts").isNull(), -1).otherwise(F.pmod(draw, F.col("salts")).cast("int")))
-        .withColumn("prefix", F.substring(_norm(F.col("text")), 1, PREFIX_BYTES))
-        .drop("salts")
-    )
+
+@dataclass
+class Splitters:
+    """Ranges of normalised bytes. Range r holds what is not below cuts[r - 1] and below cuts[r].
+
+    ``hot`` lists the texts whose rows are dealt over ranges of their own.
+    """
+
+    cuts: list[bytes] = field(default_factory=list)
+    hot: list[HotText] = field(default_factory=list)
+    n_ranges: int = 1
+
+    def start(self, text: Column) -> Column:
+        """As many normalised bytes of a text as the cuts need."""
+        return _norm(F.substring(text, 1, max(map(len, self.cuts), default=0)))
+
+    def place(self, start: Column) -> Column:
+        """Number of the range of a text that starts so: cuts not above it, counted among about the square root of all, then in one group."""
+        if not self.cuts:
+            return F.lit(0)
+        step = max(1, int(len(self.cuts) ** 0.5))
+        groups = [self.cuts[at : at + step] for at in range(0, len(self.cuts), step)]
+        literal = lambda cuts: F.array(*[F.lit(bytearray(c)) for c in cuts])
+        not_above = lambda cuts: F.size(F.filter(cuts, lambda c: c <= start))
+        group = not_above(literal([g[0] for g in groups]))
+        within = not_above(F.get(F.array(*[literal(g) for g in groups]), group - 1))
+        return F.when(group == 0, 0).otherwise((group - 1) * step + within).cast("int")
+
+    def place_hot(self, text: Column) -> Column:
+        """One of the ranges of a hot text, drawn by the identifier; null for others. Only texts of a hot text's length are hashed."""
+        if not self.hot:
+            return F.lit(None).cast("int")
+        table = F.map_from_arrays(F.array(*[F.lit(h.hash) for h in self.hot]), F.array(*[F.struct(F.lit(h.first).alias("first"), F.lit(h.ranges).alias("n")) for h in self.hot]))
+        mine = F.try_element_at(table, F.when(F.coalesce(F.octet_length(text), F.lit(0)).isin(sorted({h.length for h in self.hot})), F.xxhash64(_norm(text))))
+        return F.when(mine.isNotNull(), mine["first"] + F.pmod(_draw(), mine["n"]).cast("int"))
+
+
+def _shares(sample: list[tuple[bytes, int, int]], n_ranges: int) -> tuple[list[bytes], dict[int, int]]:
+    """Cuts at equal shares of the sample's bytes, and ranges of the hot texts by hash.
+
+    ``sample``: (first bytes, hash of the whole, length), sorted. A text that takes up half a range
+    or more by itself is hot; the others are cut at shares of what they hold together. A cut is the
+    shortest beginning of its text that lies above the sampled text before.
+    """
+    weight: dict[int, int] = {}
+    seen: dict[int, int] = {}
+    for _, h, n in sample:
+        weight[h] = weight.get(h, 0) + n + ROW_BYTES
+        seen[h] = seen.get(h, 0) + 1
+    full = max(1.0, sum(weight.values()) / n_ranges)
+    hot = {h: int(w / full) + 1 for h, w in weight.items() if seen[h] > 1 and 2 * w >= full}
+    cuts: list[bytes] = []
+    held, before = 0, b""
+    for key, h, n in sample:
+        if h in hot:
+            continue
+        if held >= full and key > before:
+            same = next((k for k, (x, y) in enumerate(zip(before, key)) if x != y), len(before))
+            cuts.append(key[: same + 1])
+            held = 0
+        held, before = held + n + ROW_BYTES, key
+    return cuts, hot
+
+
+def _unclear(sample: list[tuple[bytes, int, int]], key_bytes: int, n_ranges: int, hot: dict[int, int]) -> list[bytes]:
+    """First bytes that different sampled texts share which together fill a range or more."""
+    full = sum(n + ROW_BYTES for _, _, n in sample) / n_ranges
+    held: dict[bytes, list[int]] = {}
+    hashes: dict[bytes, set[int]] = {}
+    for key, h, n in sample:
+        if len(key) >= key_bytes and h not in hot:
+            held.setdefault(key, []).append(n + ROW_BYTES)
+            hashes.setdefault(key, set()).add(h)
+    return [k for k, w in held.items() if len(hashes[k]) > 1 and sum(w) >= full]
+
+
+def find_splitters(rows: DataFrame, range_bytes: int = RANGE_BYTES, max_sample: int = MAX_SAMPLE, key_bytes: int = KEY_BYTES) -> Splitters:
+    """Splitters of rows (id, text), from one scan of the texts.
+
+    At least spark.sql.shuffle.partitions ranges. The driver holds up to about ``max_sample`` keys.
+    """
+    spark = rows.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_rows = rows.select(F.lit(1)).count()  # from the footers, without the texts
+    if not n_rows:
+        return Splitters()
+    share = min(1.0, min(max_sample, max(LEAST_SAMPLE, ROWS_A_RANGE * least, n_rows // SAMPLE_EVERY)) / n_rows)
+    drawn = F.pmod(_draw(), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
+    norm = _norm(F.col("text"))
+    sample = cut(rows.filter(drawn).select(norm.alias("norm"), F.xxhash64(norm).alias("h"), F.octet_length("text").cast("long").alias("n")))
+    keys = lambda df, n: [(bytes(r["key"]), r["h"], r["n"] or 0) for r in df.select(F.substring("norm", 1, n).alias("key"), "h", "n").collect()]
+    held = sorted(keys(sample, key_bytes))
+    if not held:
+        return Splitters()
+    n_ranges = max(least, min(len(held) // ROWS_A_RANGE, int(sum(n for *_, n in held) / len(held) * n_rows / range_bytes)))
+    cuts, hot = _shares(held, n_ranges)
+    while unclear := _unclear(held, key_bytes, n_ranges, hot):
+        longer = keys(sample.filter(F.substring("norm", 1, key_bytes).isin([bytearray(k) for k in unclear])), key_bytes * MORE)
+        known = set(unclear)
+        held = sorted([x for x in held if x[0][:key_bytes] not in known] + longer)
+        key_bytes *= MORE
+        cuts, hot = _shares(held, n_ranges)
+    out = Splitters(cuts, n_ranges=len(cuts) + 1)
+    length = {h: n for _, h, n in held}
+    for h, n in sorted(hot.items()):
+        out.hot.append(HotText(h, length[h], out.n_ranges, n))
+        out.n_ranges += n
+    return out
+
+
+def _sorted_runs(rows: DataFrame, splitters: Splitters, keep: str) -> DataFrame:
+    """Rows (id, text, ...) in their ranges, with range, norm, head (first of a run of equal texts) and run (its number in the range)."""
+    placed = rows.withColumn("start", splitters.start(F.col("text"))).withColumn("range", F.coalesce(splitters.place_hot(F.col("text")), splitters.place(F.col("start")))).drop("start")
     # the normalised bytes are made after the shuffle, which moves the text alone
-    ranged = keyed.repartitionByRange("prefix", "h", "salt").withColumn("norm", _norm(F.col("text")))
-    beside = Window.partitionBy("prefix", "h", "salt").orderBy("norm", _order(keep))
+    ranged = placed.repartitionById(splitters.n_ranges, "range").withColumn("norm", _norm(F.col("text")))
+    beside = Window.partitionBy("range").orderBy("norm", _order(keep))
     before = F.lag("norm").over(beside)
-    return ranged.withColumn("head", before.isNull() | (before != F.col("norm"))).withColumn("run", F.sum(F.col("head").cast("int")).over(beside.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranged.withColumn("head", before.isNull() | (before != F.col("norm"))).withColumn("run", F.sum(F.col("head").cast("long")).over(beside.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _first_hot(splitters: Splitters) -> int:
+    return splitters.hot[0].first if splitters.hot else splitters.n_ranges
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hot_rows: int = 500, max_hot: int = 100_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", **ranges) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. ``keep`` names the row that stays, that
     with the smallest ("min") or largest ("max") identifier. Null text counts as empty. A null
     identifier is smaller than any other. Of rows with the same text and identifier one stays.
-    An empty table gives no rows. Other columns are ignored.
+    An empty table gives no rows. Other columns are ignored. ``ranges``: see find_splitters.
     """
-    best = F.min if keep == "min" else F.max
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64(_norm(F.col("text"))))
-    hot = _hot_hashes(rows, hot_rows, max_hot)
-    runs = _heads(rows, hot, keep).select("id", "prefix", "h", "salt", "run", "head", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("head") & (F.col("salt") >= 0), F.col("norm")).alias("hot_norm"))
-    within = Window.partitionBy("prefix", "h", "salt", "run")
-    # a null identifier is the least, which min() would pass over
-    first = F.when(F.max(F.col("id").isNull()).over(within), F.lit(None)).otherwise(F.min("id").over(within)) if keep == "min" else F.max("id").over(within)
-    grouped = runs.select("id", "h", "salt", "run", "head", "text_sha256", "hot_norm", first.alias("keep_id"), F.count(F.lit(1)).over(within).alias("group_size"))
-    if not hot.isEmpty():
+    _check(keep)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    splitters = find_splitters(rows, **ranges)
+    in_hot = F.col("range") >= _first_hot(splitters)
+    runs = _sorted_runs(rows, splitters, keep).select("id", "range", "run", "head", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("head") & in_hot, F.col("norm")).alias("hot_norm"))
+    within = Window.partitionBy("range", "run")
+    grouped = runs.select("id", "range", "run", "head", "text_sha256", "hot_norm", _extreme(keep, within).alias("keep_id"), F.count(F.lit(1)).over(within).alias("group_size"))
+    if splitters.hot:
         grouped = cut(grouped)
+        heads = grouped.filter(F.col("hot_norm").isNotNull()).select(F.col("keep_id").alias("id"), "range", "run", "group_size", "hot_norm")
         same = Window.partitionBy("hot_norm")
-        merged_keep = F.when(F.max(F.col("keep_id").isNull()).over(same), F.lit(None)).otherwise(F.min("keep_id").over(same)) if keep == "min" else best("keep_id").over(same)
-        merged = grouped.filter(F.col("hot_norm").isNotNull()).select("h", "salt", "run", merged_keep.alias("all_keep"), F.sum("group_size").over(same).alias("all_size"))
+        # one row a hot range, but for texts that share a hot one's 64-bit hash
+        merged = heads.select("range", "run", _extreme(keep, same).alias("all_keep"), F.sum("group_size").over(same).alias("all_size"))
         grouped = (
             grouped.drop("hot_norm")
-            .join(F.broadcast(merged), ["h", "salt", "run"], "left")
+            .join(F.broadcast(merged), ["range", "run"], "left")
             .withColumn("keep_id", F.when(F.col("all_size").isNull(), F.col("keep_id")).otherwise(F.col("all_keep")))
             .withColumn("group_size", F.coalesce("all_size", "group_size"))
         )
-    return grouped.select(F.col("id").alias(id_col), F.col("keep_id"), F.col("group_size"), (F.col("head") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+    # rows that repeat a hot text's identifier fall into one range, as they draw alike: one of them is a head
+    stays = F.col("head") & F.col("id").eqNullSafe(F.col("keep_id"))
+    return grouped.select(F.col("id").alias(id_col), F.col("keep_id"), F.col("group_size"), stays.alias("kept"), "text_sha256")
 
 
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hot_rows: int = 500, max_hot: int = 100_000) -> DataFrame:
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", **ranges) -> DataFrame:
     """The rows that exact_dedup keeps, with all their columns, straight out of the sort: no join by identifier.
 
     Defined on odd rows as exact_dedup is.
     """
-    best = F.min if keep == "min" else F.max
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("rest")).withColumn("h", F.xxhash64(_norm(F.col("text"))))
-    hot = _hot_hashes(rows, hot_rows, max_hot)
-    heads = _heads(rows, hot, keep).filter("head")
-    if not hot.isEmpty():
-        # one row a hot text, combined before the shuffle; identifiers and digests of at most max_hot texts are broadcast
-        texts = rows.join(F.broadcast(hot), "h").groupBy("h", _norm(F.col("text")).alias("norm")).agg(best("id").alias("best"), F.max(F.col("id").isNull()).alias("null_id"))
-        least = F.when(F.col("null_id"), F.lit(None)).otherwise(F.col("best")) if keep == "min" else F.col("best")
-        stay = texts.select(F.col("h").alias("sh"), F.sha2("norm", 256).alias("sha"), least.alias("sid"))
-        told = heads.withColumn("digest", F.when(F.col("salt") >= 0, F.sha2("norm", 256)))
-        heads = told.join(F.broadcast(stay), (F.col("h") == F.col("sh")) & (F.col("digest") == F.col("sha")), "left").filter((F.col("salt") < 0) | F.col("id").eqNullSafe(F.col("sid")))
-    return heads.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])
+    _check(keep)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("rest"))
+    splitters = find_splitters(rows.select("id", "text"), **ranges)
+    heads = _sorted_runs(rows, splitters, keep).filter("head")
+    columns = [F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns]
+    if not splitters.hot:
+        return heads.select(*columns)
+    # the heads of hot ranges, one a range and text, meet by their whole text
+    cold = heads.filter(F.col("range") < _first_hot(splitters))
+    hot = heads.filter(F.col("range") >= _first_hot(splitters))
+    best = Window.partitionBy("norm").orderBy(_order(keep), "range")
+    hot = hot.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
+    return cold.select(*columns).union(hot.select(*columns))

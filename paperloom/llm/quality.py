@@ -1,38 +1,43 @@
 """Quality rules (operator 8): word and line counts, and zstandard compression bands.
 
-Compressed size over raw size is taken of the whole document and of fixed chunks. Natural prose
-lies in a band that falls with the length, as the compressor has more to refer to. A document is
-rejected when its whole ratio, or that of a large part of its chunks, lies outside the band for its
-length: below it is repetitive, above it is incompressible (encoded or random).
-"""
+Compressed size over raw size is taken of the whole document and of fixed chunks. Ratios fall with
+the length, as the compressor has more to refer to, so each length class (a quarter of an octave)
+has limits of its own. They are calibrated on the corpus: a histogram of all documents that pass
+the base rules gives the quartiles of each class, and the band reaches some interquartile ranges
+beyond them. Prose is dense around its class's median; repetitive and symbol-salted text and tables
+fall below the band, encoded and random text lies above it. Absolute limits hold beside, so that a
+corpus of junk does not pass for the norm.
+
+A document is rejected when its whole ratio, or that of a large part of its chunks, is out of band.
+""" 
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_column_udf
+from ._common import cut, text_column_udf
 
-#: (bytes from, least ratio, greatest ratio): fixed values. Below the first length no ratio is
-#: judged, since a frame's header and the literals dominate it.
-BANDS = ((256, 0.25, 0.90), (512, 0.25, 0.80), (1024, 0.22, 0.73), (4096, 0.18, 0.71), (16384, 0.15, 0.70), (65536, 0.12, 0.68))
+#: Ratios out of these are rejected whatever the corpus holds.
+LEAST, GREATEST = 0.12, 0.90
+#: Bytes under which no ratio is judged, since a frame's header and the literals dominate it.
+LEAST_BYTES = 256
 CHUNK_BYTES = 4096
+#: Interquartile ranges that the band reaches beyond the quartiles. Above it is wider, as names, numbers and keys lengthen that tail.
+BELOW, ABOVE = 3.0, 4.0
 #: Share of chunks out of their band from which a document is rejected.
 BAD_CHUNKS = 0.5
+#: Ratios that a class's quartiles rest on at least; classes with fewer take in their neighbours'.
+LEAST_RATIOS = 200
+CLASSES_AN_OCTAVE = 4
+#: Bins of the histogram between ratio 0 and 1; greater ratios share the last.
+BINS = 1_000
 LEVEL = 3
 SYMBOLS = b"#*$%&|<>"
-SPACES = b" \t\n\x0b\x0c\r"
-
-
-def band(n_bytes: int, bands: tuple = BANDS) -> tuple[float, float]:
-    """Least and greatest ratio for a length; 0 and infinity where none is judged."""
-    found = (0.0, float("inf"))
-    for start, low, high in bands:
-        if n_bytes >= start:
-            found = (low, high)
-    return found
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -62,54 +67,39 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 class Measure:
-    """Counts and compression verdict of texts; holds one compressor."""
+    """Counts and compression ratios of texts; holds one compressor."""
 
-    def __init__(self, bands: tuple = BANDS, chunk_bytes: int = CHUNK_BYTES, bad_chunks: float = BAD_CHUNKS):
-        self.bands, self.chunk_bytes, self.bad_chunks = bands, chunk_bytes, bad_chunks
+    def __init__(self, chunk_bytes: int = CHUNK_BYTES):
+        self.chunk_bytes = chunk_bytes
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
     def ratio(self, raw: bytes | memoryview) -> float:
         return len(self.compressor.compress(raw)) / len(raw)
 
-    def outside(self, raw: bytes | memoryview) -> tuple[bool, float | None]:
-        if len(raw) < self.bands[0][0]:
-            return False, None
-        low, high = band(len(raw), self.bands)
-        got = self.ratio(raw)
-        return not low <= got <= high, got
-
     def row(self, text: str | None) -> dict:
         raw = (text or "").encode("utf-8", "surrogatepass")
         words = raw.split()  # bytes.split() cuts at ASCII white space only
-        chars = len(text or "") - (len(raw) - sum(map(len, words)))
         lines = [x for x in raw.split(b"\n") if x.strip()]
-        bad, whole = self.outside(raw)
-        chunks = out = 0
-        view = memoryview(raw)
-        for at in range(0, len(raw), self.chunk_bytes):
-            part = view[at : at + self.chunk_bytes]
-            if len(part) >= self.bands[0][0]:
-                chunks += 1
-                out += self.outside(part)[0]
-        share = out / chunks if chunks else None
         repeats = repeated_words(words)
-        failed = len(words) < 50 or 100 * repeats > 50 * len(words)
+        view = memoryview(raw)
+        chunks = [view[at : at + self.chunk_bytes] for at in range(0, len(raw), self.chunk_bytes)] if len(raw) > self.chunk_bytes else []
         return {
-            "n_words": len(words), "word_chars": chars, "n_symbols": len(raw) - len(raw.translate(None, SYMBOLS)),
-            "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeats, "base_failed": failed,
-            "kept": not failed and not bad and (share is None or share < self.bad_chunks),
-            "zstd_ratio": whole, "bad_chunk_share": share,
+            "n_words": len(words), "word_chars": len(text or "") - (len(raw) - sum(map(len, words))), "n_symbols": len(raw) - len(raw.translate(None, SYMBOLS)),
+            "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeats, "base_failed": len(words) < 50 or 100 * repeats > 50 * len(words),
+            "n_bytes": len(raw), "zstd_ratio": self.ratio(raw) if len(raw) >= LEAST_BYTES else None,
+            "chunks": [{"bytes": len(c), "ratio": self.ratio(c)} for c in chunks if len(c) >= LEAST_BYTES],
         }
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, zstd_ratio double, bad_chunk_share double"
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_bytes long, zstd_ratio double, chunks array<struct<bytes:long,ratio:double>>"
 
 
-def quality_columns(text: Column, bands: tuple = BANDS, chunk_bytes: int = CHUNK_BYTES, bad_chunks: float = BAD_CHUNKS) -> Column:
-    """Struct of the counts and the verdict of a text column; see SCHEMA."""
+def quality_measures(text: Column, chunk_bytes: int = CHUNK_BYTES) -> Column:
+    """Struct of the counts and ratios of a text column; see SCHEMA. A text of one chunk has no chunks beside the whole."""
 
     def make():
-        measure = Measure(bands, chunk_bytes, bad_chunks)
+        measure = Measure(chunk_bytes)
 
         def run(texts: list[str | None]) -> dict[str, list]:
             rows = [measure.row(t) for t in texts]
@@ -120,12 +110,92 @@ def quality_columns(text: Column, bands: tuple = BANDS, chunk_bytes: int = CHUNK
     return text_column_udf(SCHEMA, make)(text)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+def length_class(n_bytes: Column) -> Column:
+    return F.floor(F.log2(n_bytes.cast("double")) * CLASSES_AN_OCTAVE).cast("int")
+
+
+@dataclass
+class Bands:
+    """Least and greatest ratio by length class, from class ``first`` on; one list for whole documents, one for chunks."""
+
+    first: int
+    whole: list[tuple[float, float]]
+    chunk: list[tuple[float, float]]
+
+    def outside(self, n_bytes: Column, ratio: Column, of: str) -> Column:
+        """Whether a ratio is out of its class's band; longer lengths than any seen take the last class's."""
+        bands = getattr(self, of)
+        out = (ratio < LEAST) | (ratio > GREATEST)
+        if not bands:
+            return out
+        at = F.greatest(F.lit(1), F.least(F.lit(len(bands)), length_class(n_bytes) - self.first + 1))
+        low, high = (F.element_at(F.array(*[F.lit(b[k]) for b in bands]), at) for k in (0, 1))
+        return out | (ratio < low) | (ratio > high)
+
+
+def quartiles(counts: np.ndarray) -> tuple[float, float]:
+    """First and third quartile of a histogram over BINS + 1 bins, linear within a bin."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    found = []
+    for share in (0.25, 0.75):
+        want = share * total[-1]
+        at = int(np.searchsorted(total, want, "left"))
+        at = max(1, at)
+        found.append((at - 1 + (want - total[at - 1]) / max(1, counts[at - 1])) / BINS)
+    return found[0], found[1]
+
+
+def class_bands(histogram: np.ndarray, below: float = BELOW, above: float = ABOVE, least: int = LEAST_RATIOS) -> list[tuple[float, float]]:
+    """Band of each class (row of ``histogram``); a class takes in neighbours on both sides until ``least`` ratios are there."""
+    out = []
+    for c in range(len(histogram)):
+        for reach in range(len(histogram)):
+            mine = histogram[max(0, c - reach) : c + reach + 1].sum(axis=0)
+            if mine.sum() >= least:
+                break
+        if mine.sum() < least:
+            out.append((LEAST, GREATEST))
+            continue
+        low, high = quartiles(mine)
+        out.append((low - below * (high - low), high + above * (high - low)))
+    return out
+
+
+def calibrate(measured: DataFrame, below: float = BELOW, above: float = ABOVE, least: int = LEAST_RATIOS) -> Bands:
+    """Bands from all documents that pass the base rules. Counts by class and bin reach the driver: at most 2 x 128 x 1,001 rows."""
+    passing = measured.filter("not base_failed and zstd_ratio is not null")
+    cell = lambda of, n, ratio: F.struct(F.lit(of).alias("of"), length_class(n).alias("class"), F.least(F.lit(BINS), F.floor(ratio * BINS)).cast("int").alias("bin"))
+    whole = F.array(cell("whole", F.col("n_bytes"), F.col("zstd_ratio")))
+    chunks = F.transform("chunks", lambda c: cell("chunk", c["bytes"], c["ratio"]))
+    counts = passing.select(F.explode(F.concat(whole, chunks)).alias("c")).groupBy("c.of", "c.class", "c.bin").count().collect()
+    if not counts:
+        return Bands(0, [], [])
+    first, last = min(r["class"] for r in counts), max(r["class"] for r in counts)
+    bands = {}
+    for of in ("whole", "chunk"):
+        histogram = np.zeros((last - first + 1, BINS + 1), np.int64)
+        for r in counts:
+            if r["of"] == of:
+                histogram[r["class"] - first, r["bin"]] += r["count"]
+        bands[of] = class_bands(histogram, below, above, least)
+    return Bands(first, bands["whole"], bands["chunk"])
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, below: float = BELOW, above: float = ABOVE, bad_chunks: float = BAD_CHUNKS, least: int = LEAST_RATIOS) -> DataFrame:
     """One row per document: id, counts, base_failed, kept, zstd_ratio, bad_chunk_share.
 
-    Null text counts as empty: no words, so base_failed. zstd_ratio and bad_chunk_share are null
-    for texts below the first band's length. Whole texts are read. No shuffle, so hot groups,
-    repeated rows and ties do not matter; an empty table gives no rows; other columns are ignored.
+    Null text counts as empty: no words, so base_failed. zstd_ratio is null below LEAST_BYTES and
+    bad_chunk_share for texts of one chunk. Whole texts are compressed once; their counts and ratios
+    are kept in the shared folder while the bands are calibrated on all of them. Only counts of
+    ratios are shuffled, so hot groups, repeated rows and ties do not matter; an empty table gives
+    no rows; other columns are ignored. In a table with fewer than ``least`` documents that pass the
+    base rules only the absolute limits judge.
     """
-    return docs.select(F.col(id_col), quality_columns(F.col(text_col), **limits).alias("q")).select(id_col, "q.*")
-
+    measured = cut(docs.select(F.col(id_col).alias("id"), quality_measures(F.col(text_col), chunk_bytes).alias("q")).select("id", "q.*"))
+    bands = calibrate(measured, below, above, least)
+    bad = F.coalesce(bands.outside(F.col("n_bytes"), F.col("zstd_ratio"), "whole"), F.lit(False))
+    n_bad = F.size(F.filter("chunks", lambda c: bands.outside(c["bytes"], c["ratio"], "chunk")))
+    share = F.when(F.size("chunks") > 0, n_bad / F.size("chunks"))
+    judged = measured.withColumn("bad_chunk_share", share)
+    kept = ~F.col("base_failed") & ~bad & (F.coalesce("bad_chunk_share", F.lit(0.0)) < bad_chunks)
+    return judged.select(F.col("id").alias(id_col), *BASE, kept.alias("kept"), "zstd_ratio", "bad_chunk_share")

@@ -267,7 +267,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lib = sentencepiece.SentencePieceProcessor(model_proto=proto.value)
         for batch in batches:
             at = 0
-            for texts in steps(x.as_py() for x in batch.column(1)):  # only a step's texts are held as Python strings
+            for part in steps(batch.column(1)):
+                texts = part.to_pylist()
                 got = lib.encode(texts)
                 back = lib.decode(got)
                 counts = np.fromiter(map(len, got), np.int64, len(got))
@@ -283,7 +284,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, id_, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for row in range(batch.num_rows):  # one giant text at a time becomes a Python string
+                key, id_, text = (batch.column(k)[row].as_py() for k in range(3))
                 held: list[tuple] = []
                 for part in split_marked(marked(text), chunk_chars, longest):
                     held.append((key, id_, MARK not in text, *part))

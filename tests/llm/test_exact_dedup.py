@@ -3,8 +3,9 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from paperloom.llm.exact_dedup import distinct_documents, exact_dedup
+from paperloom.llm.exact_dedup import distinct_documents, exact_dedup, find_splitters
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -25,24 +26,46 @@ def brute(rows, keep):
 
 
 @pytest.mark.parametrize("keep", ["min", "max"])
-@pytest.mark.parametrize("hot", [3, 500])
-def test_against_brute_force(spark, keep, hot):
+@pytest.mark.parametrize("ranges", [{}, {"key_bytes": 2}, {"max_sample": 40}])
+def test_against_brute_force(spark, keep, ranges):
     rng = random.Random(5)
     rows = [(i, rng.choice(["Aa", "aA", "É", "é", "", None, "b" * 40 + rng.choice("cC"), f"own {i}"])) for i in range(400)]
     rows += rows[:5]
-    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, hot_rows=hot)
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, **ranges)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, keep)
-    left = distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, hot_rows=hot)
+    left = distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, **ranges)
     text = dict(rows)
     assert sorted(map(tuple, left.collect()), key=str) == sorted(((r[0], text[r[0]]) for r in brute(rows, keep) if r[3]), key=str)
 
 
+def test_texts_that_differ_late(spark):
+    """Texts equal in their first 32 bytes and far beyond, a third of all rows in one group of copies."""
+    rng = random.Random(6)
+    head = "The same Header stands on top of every text of this source. " * 20
+    rows = [(i, head + rng.choice("Aa") + str(rng.randrange(60))) for i in range(200)] + [(i, head.upper() + "copy") for i in range(200, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = find_splitters(docs.withColumnRenamed("doc_id", "id"), range_bytes=40_000)
+    assert found.hot and len(found.cuts) >= 4 and all(len(c) > len(head) for c in found.cuts)
+    assert sorted(map(tuple, exact_dedup(docs, keep="max", range_bytes=40_000).collect()), key=str) == brute(rows, "max")
+    assert "xxhash64" not in next(x for x in exact_dedup(docs, keep="max")._jdf.queryExecution().executedPlan().toString().split("\n") if "Sort [" in x)
+
+
+def test_ranges_are_in_the_order_of_the_bytes(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abCZé日 ") for _ in range(rng.randrange(12))) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = find_splitters(docs, range_bytes=200)
+    got = docs.withColumn("start", found.start(F.col("text"))).select("text", found.place(F.col("start")).alias("r")).collect()
+    norm = lambda t: t.translate(LOWER).encode()
+    assert all(r["r"] == sum(c <= norm(r["text"]) for c in found.cuts) for r in got) and len({r["r"] for r in got}) > 10
+
+
 def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    for hot in (1, 500):
+    for ranges in ({}, {"range_bytes": 40}):
         for keep in ("max", "min"):
-            assert sorted(map(tuple, exact_dedup(odd, keep=keep, hot_rows=hot).collect()), key=str) == brute(rows, keep)
-            left = distinct_documents(odd, keep=keep, hot_rows=hot)
+            assert sorted(map(tuple, exact_dedup(odd, keep=keep, **ranges).collect()), key=str) == brute(rows, keep)
+            left = distinct_documents(odd, keep=keep, **ranges)
             assert left.columns == odd.columns
             assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted((r[0] for r in brute(rows, keep) if r[3]), key=str)
     assert exact_dedup(none).count() == 0 and distinct_documents(none).count() == 0
