@@ -32,7 +32,7 @@ BELOW, ABOVE = 3.0, 4.0
 #: Share of chunks out of their band from which a document is rejected.
 BAD_CHUNKS = 0.5
 #: Ratios that a class's quartiles rest on at least; classes with fewer take in their neighbours'.
-LEAST_RATIOS = 200
+LEAST_RATIOS = 100
 CLASSES_AN_OCTAVE = 4
 #: Bins of the histogram between ratio 0 and 1; greater ratios share the last.
 BINS = 1_000
@@ -145,17 +145,34 @@ def quartiles(counts: np.ndarray) -> tuple[float, float]:
     return found[0], found[1]
 
 
+def trend(histogram: np.ndarray) -> np.ndarray:
+    """Bin at which each class's middle is expected: a parabola over the classes' mean bins, weighted by their counts."""
+    n = histogram.sum(axis=1)
+    classes = np.arange(len(histogram))
+    some = n > 0
+    means = (histogram[some] @ np.arange(histogram.shape[1])) / n[some]
+    return np.polyval(np.polyfit(classes[some], means, min(2, int(some.sum()) - 1), w=np.sqrt(n[some])), classes)
+
+
 def class_bands(histogram: np.ndarray, below: float = BELOW, above: float = ABOVE, least: int = LEAST_RATIOS) -> list[tuple[float, float]]:
-    """Band of each class (row of ``histogram``); a class takes in neighbours on both sides until ``least`` ratios are there."""
+    """Band of each class (row of ``histogram``).
+
+    A class of fewer than ``least`` ratios takes in its neighbours', moved by what the trend says
+    that the two classes differ.
+    """
+    if histogram.sum() < least:
+        return [(LEAST, GREATEST)] * len(histogram)
+    expected = trend(histogram)
     out = []
     for c in range(len(histogram)):
         for reach in range(len(histogram)):
-            mine = histogram[max(0, c - reach) : c + reach + 1].sum(axis=0)
-            if mine.sum() >= least:
+            near = range(max(0, c - reach), min(len(histogram), c + reach + 1))
+            if histogram[near].sum() >= least:
                 break
-        if mine.sum() < least:
-            out.append((LEAST, GREATEST))
-            continue
+        mine = np.zeros(BINS + 1, np.int64)
+        for d in near:
+            bins = np.flatnonzero(histogram[d])
+            np.add.at(mine, np.clip(bins + round(expected[c] - expected[d]), 0, BINS), histogram[d, bins])
         low, high = quartiles(mine)
         out.append((low - below * (high - low), high + above * (high - low)))
     return out

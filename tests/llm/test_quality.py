@@ -1,7 +1,9 @@
+import functools
 import math
 import random
 import re
 
+import numpy as np
 import zstandard
 
 from paperloom.llm.quality import ABOVE, BELOW, GREATEST, LEAST, LEAST_RATIOS, Measure, quality_rules, repeated_words
@@ -76,15 +78,19 @@ def brute_kept(rows, chunk=4096):
     grade = lambda n: math.floor(math.log2(n) * 4)
     seen = {of: [(grade(n), min(1000, math.floor(r * 1000))) for i, x in judged.items() if not failed[i] and x["whole"] for n, r in x[of]] for of in ("whole", "chunk")}
     grades = [c for of in seen for c, _ in seen[of]]
-
-    def limits(of, n):
-        c = max(min(grades), min(max(grades), grade(n)))
-        for reach in range(max(grades) - min(grades) + 1):
-            bins = sorted(b for g, b in seen[of] if abs(g - c) <= reach)
+    span = range(min(grades), max(grades) + 1)
+    curve = {}
+    for of in seen:
+        by = {g: [b for c, b in seen[of] if c == g] for g in span}
+        known = [g for g in span if by[g]]
+        curve[of] = np.poly1d(np.polyfit(known, [np.mean(by[g]) for g in known], min(2, len(known) - 1), w=[len(by[g]) ** 0.5 for g in known]))
+
+    @functools.cache
+    def limits(of, c):
+        for reach in range(len(span)):
+            bins = sorted(min(1000, max(0, b + round(curve[of](c) - curve[of](g)))) for g, b in seen[of] if abs(g - c) <= reach)
             if len(bins) >= LEAST_RATIOS:
                 break
-        if len(bins) < LEAST_RATIOS:
-            return LEAST, GREATEST
         ends = []
         for share in (0.25, 0.75):
             want = share * len(bins)
@@ -93,7 +99,7 @@ def brute_kept(rows, chunk=4096):
         return ends[0] - BELOW * (ends[1] - ends[0]), ends[1] + ABOVE * (ends[1] - ends[0])
 
     def bad(of, n, r):
-        low, high = limits(of, n)
+        low, high = limits(of, max(span[0], min(span[-1], grade(n))))
         return r < LEAST or r > GREATEST or r < low or r > high
 
     out = {}
