@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from paperloom.llm.toxicity import THRESHOLD, fit, fit_toxicity, toxicity_score
+from paperloom.llm import toxicity
+from paperloom.llm.toxicity import _EDGE, BITS, DIM, FILTERS, THRESHOLD, WIDTHS, ToxicityModel, features, fit, fit_toxicity, toxicity_score
 from paperloom.llm.queries import op3_toxicity
 
 
@@ -30,6 +31,55 @@ def test_held_out_accuracy_and_batches():
     assert np.allclose(alone, scores[:40], atol=1e-5)
 
 
+def brute_logit(model, text):
+    """Forward pass by loops, from the parameters alone."""
+    words = [features(w) for w in (text or "").lower().translate(_EDGE).split()]
+    if not words:
+        return model.wordless, len(model.languages)
+    vectors = [sum(model.embed[f] for f in w) for w in words] + [np.zeros(DIM)] * max(WIDTHS)
+    logit = model.bias
+    for k, w in enumerate(WIDTHS):
+        for c in range(FILTERS):
+            best = max(sum(float(vectors[i + j] @ model.filters[k][j][:, c]) for j in range(w)) for i in range(len(words)))
+            logit += max(0.0, best + model.shift[k][c]) * model.out[k * FILTERS + c]
+    told = [sum(float(model.word_log_prob[w[0], n]) for w in words) for n in range(len(model.languages))]
+    return logit, int(np.argmax(told)) if told else 0
+
+
+def random_model(languages):
+    rng = np.random.default_rng(3)
+    embed = rng.normal(size=(1 << BITS, DIM))
+    embed[0] = 0
+    return ToxicityModel(embed, [rng.normal(size=(w, DIM, FILTERS)) for w in WIDTHS], [rng.normal(size=FILTERS) for _ in WIDTHS], rng.normal(size=FILTERS * len(WIDTHS)), 0.3, languages, rng.normal(size=(1 << BITS, len(languages))).astype(np.float32), rng.normal(size=len(languages) + 1), -1.5)
+
+
+def test_forward_pass_against_brute_force():
+    rng = random.Random(4)
+    texts = [None, "", " \n", "!!", "one", "two words"] + [" ".join(rng.choice(["Bad,", "word", "être", "(x)", "日本語", "...", "longer-word"]) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    for languages in ([], ["de", "en"]):
+        model = random_model(languages)
+        for piece_chars in (None, 1, 17, 40):  # whole, and in pieces
+            logit, guess = model.scorer().logits(texts, piece_chars)
+            want = [brute_logit(model, t) for t in texts]
+            assert np.allclose(logit, [w[0] for w in want], atol=1e-3), piece_chars
+            assert guess.tolist() == [w[1] for w in want]
+        z = np.array([w[0] - model.cuts[w[1]] for w in want]) + np.log(THRESHOLD / (1 - THRESHOLD))
+        assert np.allclose(model.score(texts), 1 / (1 + np.exp(-np.clip(z, -30, 30))), atol=1e-3)
+
+
+def test_fit_takes_long_texts_in_part_and_one_text_an_identifier(spark):
+    seen = {}
+    docs = spark.createDataFrame([(1, "a" * 50 + " " + "b" * 50, "en"), (2, "short", "en"), (2, "other", "en"), (3, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    real = toxicity.fit
+    toxicity.fit = lambda *a: seen.update(texts=a[0], y=a[1]) or real(*a)
+    try:
+        fit_toxicity(docs, labels, max_chars=20)
+    finally:
+        toxicity.fit = real
+    assert sorted(map(len, seen["texts"])) == [5, 20] and sorted(seen["y"]) == [0, 1]
+
+
 def test_one_label_and_wordless(spark, odd, none):
     for toxic, above in ((0, False), (1, True)):
         model = fit(["a b", "c"], [toxic, toxic], ["en", None])
