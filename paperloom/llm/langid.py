@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from ._common import STEP_CHARS, ship, text_column_udf
 
 UNKNOWN = "und"
+#: Characters times languages that a step of scoring holds as an array of floats.
+STEP_CELLS = 4_000_000
 ORDERS = (1, 2, 3)
 _FOLD: list[np.ndarray] = []
 
@@ -57,53 +60,71 @@ class LanguageModel:
     log_prior: np.ndarray
     bits: int
 
+    @property
+    def step_chars(self) -> int:
+        """Characters whose gathered rows make up STEP_CELLS cells."""
+        return max(1, STEP_CELLS // max(1, len(self.languages)))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and posterior probability of each text; und and 0.0 where there is no letter."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return names, scores
-        arrays = [code_points(t) if t else np.zeros(0, np.uint32) for t in texts]
-        letters = [bool((a != 32).any()) for a in arrays]
-        totals = np.zeros((len(texts), len(self.languages)))
-        for i, a in enumerate(arrays):  # only a text longer than a step is summed piece by piece
-            if len(a) > STEP_CHARS:
-                totals[i] = self._sum_long(a)
-        short = [i for i, a in enumerate(arrays) if letters[i] and len(a) <= STEP_CHARS]
-        if short:
-            # a space between texts; n-grams are cut at the text's own end
-            lengths = np.array([len(arrays[i]) for i in short])
-            joined = np.concatenate([arrays[i] for i in short] + [np.full(max(ORDERS), 32, np.uint32)])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            for order in ORDERS:
-                rows = self.log_prob[buckets(joined, order, self.bits)]
-                ends = starts + np.maximum(lengths - order + 1, 0)
-                edges = np.stack([starts, ends], 1).ravel()
-                sums = np.add.reduceat(rows, edges, axis=0, dtype=np.float64)[::2]
-                totals[short] += np.where((ends > starts)[:, None], sums, 0.0)
-        totals += self.log_prior
-        top = totals.max(axis=1, keepdims=True)
-        post = np.exp(totals - top)
+        group: list[tuple[int, np.ndarray]] = []
+        held = 0
+        for i, t in enumerate(texts):
+            points = code_points(t or "")
+            if not (points != 32).any():
+                continue
+            if len(points) > self.step_chars:
+                self._tell([i], self._sum_long(points)[None], names, scores)
+                continue
+            if held + len(points) > self.step_chars:
+                self._tell([k for k, _ in group], self._sum_short([a for _, a in group]), names, scores)
+                group, held = [], 0
+            group.append((i, points))
+            held += len(points)
+        if group:
+            self._tell([k for k, _ in group], self._sum_short([a for _, a in group]), names, scores)
+        return names, scores
+
+    def _tell(self, at: list[int], totals: np.ndarray, names: list[str], scores: list[float]) -> None:
+        totals = totals + self.log_prior
+        post = np.exp(totals - totals.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
         best = totals.argmax(axis=1)
-        for i, has in enumerate(letters):
-            if has:
-                names[i], scores[i] = self.languages[best[i]], float(post[i, best[i]])
-        return names, scores
+        for row, i in enumerate(at):
+            names[i], scores[i] = self.languages[best[row]], float(post[row, best[row]])
+
+    def _sum_short(self, arrays: list[np.ndarray]) -> np.ndarray:
+        """Log-likelihoods of several texts: one gather and a segmented sum an order; n-grams are cut at each text's end."""
+        lengths = np.array([len(a) for a in arrays])
+        joined = np.concatenate([*arrays, np.full(max(ORDERS), 32, np.uint32)])
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        totals = np.zeros((len(arrays), len(self.languages)))
+        for order in ORDERS:
+            ends = starts + np.maximum(lengths - order + 1, 0)
+            rows = self.log_prob[buckets(joined, order, self.bits)]
+            sums = np.add.reduceat(rows, np.stack([starts, ends], 1).ravel(), axis=0, dtype=np.float64)[::2]
+            totals += np.where((ends > starts)[:, None], sums, 0.0)
+        return totals
 
     def _sum_long(self, a: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.languages))
-        for at in range(0, len(a), STEP_CHARS):
+        for at in range(0, len(a), self.step_chars):
             for order in ORDERS:
-                out += self.log_prob[buckets(a[at : at + STEP_CHARS + order - 1], order, self.bits)].sum(axis=0, dtype=np.float64)
+                out += self.log_prob[buckets(a[at : at + self.step_chars + order - 1], order, self.bits)].sum(axis=0, dtype=np.float64)
         return out
 
 
 def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows_per_language: int = 5_000, max_languages: int = 1_000, bits: int = 15, smoothing: float = 0.5) -> LanguageModel:
     """Fit on at most about ``max_rows_per_language`` rows a language, drawn by a hash of the identifier.
 
-    Rows with null text or language are ignored; priors come from all rows. Without any row the
-    model knows no language. More than ``max_languages`` distinct languages raise a ValueError, as
-    the matrix that is broadcast has one column for each.
+    Rows with null text or language are ignored; priors come from all rows, so repeated rows count as
+    often as they stand. An empty table gives a model that knows no language. Other columns are
+    ignored. The matrix that is broadcast has a column of 4 x 2^bits bytes for each language; more
+    than ``max_languages`` raise a ValueError before anything of their size is made, and a caller with
+    more memory may raise the number.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -122,7 +143,9 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang, text in zip(langs, texts):
-                mine = held.setdefault(lang, np.zeros(1 << bits, np.int64))
+                if lang not in held:
+                    held[lang] = np.zeros(1 << bits, np.int32)
+                mine = held[lang]
                 points = code_points(text)
                 for at in range(0, len(points), STEP_CHARS):
                     for order in ORDERS:
@@ -131,20 +154,30 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
             at = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(mine[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    summed = drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    matrix = np.zeros((1 << bits, len(languages)))
+    summed = drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+    def column(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One language's log-probabilities, as float32 bytes."""
+        counts = np.full(1 << bits, smoothing)
+        counts[pdf["bucket"]] += pdf["n"]
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "log_prob": [np.log(counts / counts.sum()).astype("<f4").tobytes()]})
+
+    # a row of 4 x 2^bits bytes a language reaches the driver; a language without a counted n-gram is even over the buckets
+    log_prob = np.full((1 << bits, len(languages)), -math.log(1 << bits), np.float32)
     at = {x: i for i, x in enumerate(languages)}
-    matrix[summed["bucket"].to_numpy(), [at[x] for x in summed["lang"].to_pylist()]] = summed["n"].to_numpy()
-    log_prob = np.log(matrix + smoothing) - np.log(matrix.sum(axis=0) + smoothing * (1 << bits))
+    for r in summed.groupBy("lang").applyInPandas(column, "lang string, log_prob binary").toLocalIterator():
+        log_prob[:, at[r["lang"]]] = np.frombuffer(bytes(r["log_prob"]), "<f4")
     total = sum(sizes.values())
-    return LanguageModel(languages, log_prob.astype(np.float32), np.array([math.log(sizes[x] / total) for x in languages]), bits)
+    return LanguageModel(languages, log_prob, np.array([math.log(sizes[x] / total) for x in languages]), bits)
 
 
 def predict_language(model: LanguageModel, docs: DataFrame, text_col: str = "text") -> Column:
     """Struct (lang_pred, score) of a text column. No shuffle: the model is broadcast.
 
     Null text, empty text and text without a letter give ('und', 0.0), and so does every text if
-    the model knows no language. Texts of any length are scored whole.
+    the model knows no language. Ties go to the language first in code-point order. Texts of any
+    length are scored whole; a step holds a bounded number of characters times languages. Repeated
+    rows get equal values; an empty table gives no rows; only the text column is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

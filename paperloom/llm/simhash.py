@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, text_column_udf
+from ._common import cut, salted_join, text_column_udf
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -259,8 +259,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. An empty table gives no rows; other columns are ignored.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")))
-    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(fingerprint_links(fps, max_bits, max_bucket))
-    rooted = cut(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a component may hold many of the fingerprints, a fingerprint many of the rows: both are dealt over salts
+    linked = cut(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    smallest = cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = cut(salted_join(linked.select("fp", F.col("n").alias("n_rows"), "root"), smallest, "root", F.col("fp")).select("fp", F.col("n_rows").alias("n"), "component_id"))
+    got = salted_join(rows, named, "fp", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    return got.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from paperloom.llm.langid import LanguageModel, buckets, code_points, fit_language_model, predict_language
@@ -28,6 +30,51 @@ def test_batch_equals_one_by_one_and_pieces():
     assert np.allclose(model._sum_long(points), whole, atol=1e-3)
 
 
+def brute_bucket(gram, bits):
+    h = gram[0]
+    for c in gram[1:]:
+        h = (h * 0x200003 + c) % 2**64
+    return ((h + len(gram)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits)
+
+
+def brute_grams(text, bits):
+    points = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in text]
+    return [brute_bucket(points[i : i + n], bits) for n in (1, 2, 3) for i in range(len(points) - n + 1)]
+
+
+def test_fit_and_posterior_against_brute_force(spark):
+    """Counts, smoothing, priors and posteriors by dictionaries."""
+    rows = [(1, "der die das", "de"), (2, "the and of", "en"), (3, "the über", "de"), (3, "the über", "de"), (4, "", "fr"), (5, None, "en"), (6, "lost", None), (7, "x", "en"), (8, "12 34", "es")]
+    bits = 10
+    model = fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bits=bits)
+    used = [(t, la) for _, t, la in rows if t is not None and la is not None]
+    langs = sorted({la for _, la in used})
+    assert model.languages == langs
+    counts = {la: {} for la in langs}
+    for t, la in used:
+        for b in brute_grams(t, bits):
+            counts[la][b] = counts[la].get(b, 0) + 1
+    log_prob = {la: [math.log((counts[la].get(b, 0) + 0.5) / (sum(counts[la].values()) + 0.5 * 2**bits)) for b in range(2**bits)] for la in langs}
+    for k, la in enumerate(langs):
+        assert np.allclose(model.log_prob[:, k], log_prob[la], atol=1e-5)
+    texts = ["the die", "über x", "é", "zzz", "a1", "The, THE the!"]
+    names, scores = model.predict(texts)
+    for t, name, score in zip(texts, names, scores):
+        total = {la: math.log(sum(x == la for _, x in used) / len(used)) + sum(log_prob[la][b] for b in brute_grams(t, bits)) for la in langs}
+        top = max(total.values())
+        post = {la: math.exp(v - top) / sum(math.exp(x - top) for x in total.values()) for la, v in total.items()}
+        assert name == max(langs, key=total.get) and abs(score - post[name]) < 1e-3
+
+
+def test_many_languages_go_in_small_steps():
+    rng = np.random.default_rng(1)
+    model = LanguageModel([f"l{k:03}" for k in range(300)], rng.normal(size=(1 << 8, 300)).astype(np.float32), np.zeros(300), 8)
+    assert model.step_chars < 14_000
+    texts = ["some words " * 40, "more of them " * 3_000, "and short"] * 5
+    together, alone = model.predict(texts), [model.predict([t]) for t in texts]
+    assert together[0] == [a[0][0] for a in alone] and np.allclose(together[1], [a[1][0] for a in alone], atol=1e-6)
+
+
 def test_odd_rows(spark, odd, none):
     model = fit_language_model(odd)
     got = {r["doc_id"]: r["p"] for r in odd.select("doc_id", predict_language(model, odd).alias("p")).collect()}
