@@ -59,21 +59,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, draw: Column, hot_share: int = 1_000, salts: int = 64) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has a row for each value of the long column ``key`` and the number of its rows, ``n``.
+def salted_join(rows: DataFrame, table: DataFrame, key: str, draw: Column, how: str = "inner", hot_share: int = 1_000, salts: int = 64) -> DataFrame:
+    """Join of ``rows`` with ``table``, which has one row for a value of the column ``key`` and the number of its rows, ``n``.
 
-    A key with more than 1 / ``hot_share`` of all rows is hot, so there are fewer than ``hot_share`` of these:
-    their rows are dealt over salts by ``draw``, and their rows of ``table`` repeated for each salt.
-    ``table`` is evaluated twice. Columns n and salt are left out of the result.
+    A key with more than 1 / ``hot_share`` of the rows that ``table`` counts is hot, so there are fewer than
+    ``hot_share`` of these: their rows are dealt over salts by ``draw``, and their rows of ``table`` repeated
+    for each salt. ``table`` is evaluated more than once. Column n is left out of the result.
     """
     total = table.agg(F.sum("n")).first()[0] or 0
     hot = [r[key] for r in table.filter(F.col("n") > total / hot_share).select(key).collect()]
     if not hot:
-        return rows.join(table.drop("n"), key)
-    is_hot = F.col(key).isin(hot)
+        return rows.join(table.drop("n"), key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     dealt = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(draw), F.lit(salts))).otherwise(F.lit(0)))
     repeated = table.drop("n").withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(repeated, [key, "salt"]).drop("salt")
+    return dealt.join(repeated, [key, "salt"], how).drop("salt")
 
 
 def text_column_udf(schema: str, make: Callable[[], Callable[[list[str | None]], dict[str, list]]]) -> Callable[[Column], Column]:

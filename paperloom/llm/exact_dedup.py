@@ -224,10 +224,10 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Defined on odd rows as exact_dedup is.
     """
     _check(keep)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("rest"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest"))
     splitters = find_splitters(rows.select("id", "text"), **ranges)
     heads = _sorted_runs(rows, splitters, keep).filter("head")
-    columns = [F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns]
+    columns = [F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns]
     if not splitters.hot:
         return heads.select(*columns)
     # the heads of hot ranges, one a range and text, meet by their whole text

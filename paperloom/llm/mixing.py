@@ -3,41 +3,25 @@
 Words are dealt in blocks of equal length. Blocks go to sources by the highest quotients of their
 targets, and a source's blocks to its shards by the highest quotients of the shards' words: integer
 quotas. Within a shard, documents stand in a seeded order and their words form one stream of
-blocks. A quota of q of the n blocks takes every block q div n times, and q mod n of them, chosen
-by a seeded permutation, once more.
+blocks. A quota of q of the n blocks takes every block q div n times, and the q mod n blocks with
+the smallest seeded hashes once more.
 
-Sources and shards are all that reaches the driver. There are at most ``max_shards`` shards beside
-one a source: beyond some size shards grow instead. A hot source is many shards, so no window over
-a shard holds a large part of the rows.
+The level of the targets and the divisor of the quotas are numbers found by searches whose steps
+are aggregates over the table of sources, so there may be any number of these. A hot source is
+many shards, so no window over a shard holds a large part of the rows.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, cut
+from ._common import WORD, cut, ship
 
-#: Multipliers of the permutations, primes above any number of blocks in a shard: fixed values.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
-
-
-def fill_targets(sizes: np.ndarray, weights: np.ndarray, share: float = 1.5, most: float = 2.0) -> np.ndarray:
-    """Share ``share`` of all sizes by weight; no target above ``most`` times its size, the excess reshared."""
-    caps = most * sizes
-    left, weight = share * sizes.sum(), weights.sum()
-    out = caps.astype(float)
-    order = np.argsort(caps / weights, kind="stable")
-    for at, i in enumerate(order):
-        if caps[i] <= left * weights[i] / weight:
-            left, weight = left - caps[i], weight - weights[i]
-        else:
-            out[order[at:]] = left * weights[order[at:]] / weight
-            break
-    return out
+#: Points at which a step of a search evaluates its sums.
+GRID = 16
 
 
 def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
@@ -59,19 +43,78 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     out = above(high)
     while (rest := seats - int(out.sum())) > 0:
         quotient = np.where((out < caps) & (votes > 0), votes / (2 * out + 1), -1.0)
-        out[np.argsort(-quotient, kind="stable")[:rest]] += quotient[np.argsort(-quotient, kind="stable")[:rest]] >= 0
+        order = np.argsort(-quotient, kind="stable")[:rest]
+        out[order] += quotient[order] >= 0
     return out
 
 
-def _seeded(*of) -> int:
-    return zlib.crc32("\x1f".join(map(str, of)).encode())
+def _between(low: float, high: float) -> list[float]:
+    """Points of a grid strictly between two numbers; none where they are neighbours."""
+    return sorted({x for k in range(1, GRID + 1) if low < (x := low + (high - low) * k / (GRID + 1)) < high})
+
+
+def fill_level(sources: DataFrame, total: float) -> float:
+    """Level at which targets least(cap, level * weight) add up to ``total``; infinity where all caps do not reach it.
+
+    ``sources`` has columns cap (long) and weight.
+    """
+    reached = F.col("cap") / F.col("weight")  # the level at which a source is full
+    caps, weight, least = sources.agg(F.sum("cap"), F.sum("weight"), F.min("weight")).first()
+    if not weight or caps <= total:
+        return float("inf")
+    low, high = 0.0, total / least * 2
+    full = {low: sources.filter(reached <= 0).agg(F.count(F.lit(1)), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()}
+    full[high] = sources.filter(reached <= high).agg(F.count(F.lit(1)), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    held = lambda x: full[x][1] + x * (weight - full[x][2])
+    while full[low][0] != full[high][0] and (grid := _between(low, high)):
+        sums = sources.agg(*[f for x in grid for f in (F.count_if(reached <= x), F.coalesce(F.sum(F.when(reached <= x, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(reached <= x, F.col("weight"))), F.lit(0.0)))]).first()
+        full |= {x: sums[3 * k : 3 * k + 3] for k, x in enumerate(grid)}
+        low = max(x for x in [low, *grid] if held(x) <= total)
+        high = min(x for x in [*grid, high] if x > low)
+    _, filled, of_filled = full[low]
+    return (total - filled) / (weight - of_filled) if weight > of_filled else low
+
+
+def seat_counts(parties: DataFrame, seats: int) -> DataFrame:
+    """Adds the column quota to (number, votes, cap, ...): Sainte-Lague seats, at most ``cap``; ties go to the smaller number."""
+    above = lambda d: F.when(F.col("votes") > 0, F.least(F.col("cap"), F.greatest(F.ceil(F.col("votes") / d - 0.5), F.lit(0)))).otherwise(F.lit(0)).cast("long")
+    most, all_caps = parties.agg(F.max("votes"), F.sum(F.when(F.col("votes") > 0, F.col("cap")))).first()
+    seats = min(seats, all_caps or 0)
+    if seats <= 0:
+        return parties.withColumn("quota", F.lit(0).cast("long"))
+    low, high, given = 0.0, 4 * most, -1
+    while given != seats and (grid := _between(low, high)):
+        sums = dict(zip(grid, parties.agg(*[F.sum(above(d)) for d in grid]).first()))
+        high, given = min([(d, n) for d, n in sums.items() if n <= seats], default=(high, given))
+        low = max([d for d, n in sums.items() if n > seats], default=low)
+    quota = parties.withColumn("quota", above(high))
+    if given == seats or not low:
+        return quota
+    # quotients equal to the last bit: one seat more for the first of these
+    rest = seats - quota.agg(F.sum("quota")).first()[0]
+    tied = quota.filter(above(low) > F.col("quota")).orderBy("number").limit(int(rest)).select("number", F.lit(1).cast("long").alias("one"))
+    return quota.join(tied, "number", "left").withColumn("quota", F.col("quota") + F.coalesce("one", F.lit(0))).drop("one")
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 64, shard_words: int = 2_000_000, max_shards: int = 100_000, seed: int = 17) -> DataFrame:
+def numbered_sources(rows: DataFrame) -> DataFrame:
+    """(name, source_size, number) of rows (source, size): number from 0 in code-point order, null last."""
+    sizes = rows.groupBy(F.col("source").alias("name")).agg(F.sum("size").alias("source_size"))
+    placed = cut(sizes.repartitionByRange(F.col("name").asc_nulls_last()).sortWithinPartitions(F.col("name").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    # the id holds the range's number above 33 bits of places; the driver sees a count a range
+    of = F.shiftright("at", 33)
+    counts = sorted(placed.groupBy(of.alias("range")).count().collect())
+    before, offsets = 0, {}
+    for r, n in counts:
+        offsets[r], before = before, before + n
+    first = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in offsets.items() for x in pair]), of) if offsets else F.lit(0).cast("long")
+    return placed.select("name", "source_size", (first + F.col("at").bitwiseAND((1 << 33) - 1)).alias("number"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = 64, shard_words: int = 2_000_000, seed: int = 17) -> DataFrame:
     """One row per document: id, size, source_size, target, taken.
 
     Sources in code-point order, null last, have ``weights``, repeated. ``taken`` counts the words
@@ -80,43 +123,41 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mix in every run; repeated rows share their takings in either order. An empty table gives no
     rows; other columns are ignored.
     """
+    ship(docs.sparkSession)
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
-    spark = docs.sparkSession
-    sources = [(r["source"], r["size"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()]
-    sources.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = np.array([s for _, s in sources], dtype=np.int64)
-    weight = np.array([weights[i % len(weights)] for i in range(len(sources))], float)
-    targets = fill_targets(sizes, weight, share, most) if len(sources) else np.zeros(0)
-    words = max(shard_words, -(-int(sizes.sum()) // max_shards))
-    shards = np.maximum(1, -(-sizes // words))
-    table = spark.createDataFrame([(x, int(sizes[i]), float(targets[i]), i, int(shards[i])) for i, (x, _) in enumerate(sources)], "name string, source_size long, target double, number int, shards int")
-    table = F.broadcast(table) if len(sources) <= max_shards else table
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    sources = cut(numbered_sources(rows).withColumns({"weight": weight, "cap": most * F.col("source_size"), "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int")}))
+    total = share * (sources.agg(F.sum("source_size")).first()[0] or 0)
+    level = fill_level(sources, total)
+    targets = sources.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * level) if level != float("inf") else F.col("cap").cast("double"))
     draw = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
-    dealt = rows.join(table, F.col("source").eqNullSafe(F.col("name"))).select("id", "size", "source_size", "target", "number", draw.alias("draw"), F.pmod(F.xxhash64(draw, F.lit(1)), F.col("shards")).cast("int").alias("shard"))
-
-    held: dict[int, list[tuple[int, int]]] = {}
-    for r in dealt.groupBy("number", "shard").agg(F.sum("size").alias("size")).collect():
-        held.setdefault(r["number"], []).append((r["shard"], r["size"]))
-    blocks = {i: -(-np.array([s for _, s in sorted(x)], np.int64) // block_words) for i, x in held.items()}
-    most_blocks = np.array([most * blocks[i].sum() if i in blocks else 0 for i in range(len(sources))], np.int64)
-    quota = sainte_lague(targets, round(float(targets.sum()) / block_words), most_blocks) if len(sources) else most_blocks
-    plan = []
-    for i, x in held.items():
-        x.sort()
-        given = sainte_lague(np.array([s for _, s in x]), int(quota[i]), (most * blocks[i]).astype(np.int64))
-        for (shard, _), n, q in zip(x, blocks[i].tolist(), given.tolist()):
-            draw_seed = _seeded(seed, i, shard)
-            plan.append((i, shard, n, q // n if n else 0, q % n if n else 0, PRIMES[draw_seed % len(PRIMES)], draw_seed % n if n else 0))
-    quotas = spark.createDataFrame(plan, "number int, shard int, n long, times long, more long, a long, c long")
-    quotas = F.broadcast(quotas) if len(plan) <= 2 * max_shards else quotas
+    shard = F.pmod(F.xxhash64(draw, F.lit(1)), F.col("shards")).cast("int")
+    dealt = rows.join(targets, F.col("source").eqNullSafe(F.col("name"))).select("id", "size", "source_size", "target", "number", draw.alias("draw"), shard.alias("shard"))
+
+    shards = cut(dealt.groupBy("number", "shard").agg(F.sum("size").alias("words")).withColumn("n", F.ceil(F.col("words") / block_words).cast("long")))
+    parties = targets.select("number", F.col("target").alias("votes")).join(shards.groupBy("number").agg((most * F.sum("n")).alias("cap")), "number")
+    quotas = seat_counts(cut(parties), round((targets.agg(F.sum("target")).first()[0] or 0.0) / block_words))
+
+    def of_shards(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Quotas of one source's shards, each of which stands for ``shard_words`` words."""
+        pdf = pdf.sort_values("shard")
+        n = pdf["n"].to_numpy()
+        given = sainte_lague(pdf["words"].to_numpy(), int(pdf["quota"].iloc[0]), most * n)
+        return pd.DataFrame({"number": pdf["number"], "shard": pdf["shard"], "times": given // np.maximum(n, 1), "more": np.where(n > 0, given % np.maximum(n, 1), 0), "n": n})
+
+    given = shards.join(quotas.select("number", "quota"), "number").groupBy("number").applyInPandas(of_shards, "number long, shard int, times long, more long, n long")
+    # blocks of a shard up to the hash of the last chosen one are taken once more
+    hash_of = lambda b: F.xxhash64(F.lit(seed), F.col("number"), F.col("shard"), b.cast("long"))
+    last = F.when(F.col("more") > 0, F.element_at(F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), hash_of)), F.col("more").cast("int")))
+    plan = given.withColumn("last", last).drop("n")
 
     stream = Window.partitionBy("number", "shard").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = dealt.withColumn("stop", F.sum("size").over(stream)).join(quotas, ["number", "shard"])
+    laid = dealt.withColumn("stop", F.sum("size").over(stream)).join(plan, ["number", "shard"])
     start = F.col("stop") - F.col("size")
     block = lambda b: F.least(F.col("stop"), (b + 1) * block_words) - F.greatest(start, b * block_words)
-    chosen = lambda b: F.pmod(F.col("a") * b + F.col("c"), F.col("n")) < F.col("more")
-    extra = F.aggregate(F.sequence(F.floor(start / block_words), F.floor((F.col("stop") - 1) / block_words)), F.lit(0).cast("long"), lambda held, b: held + F.when(chosen(b), block(b)).otherwise(F.lit(0).cast("long")))
-    taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.col("times") * F.col("size") + F.when(F.col("more") > 0, extra).otherwise(F.lit(0).cast("long")))
+    none = F.lit(0).cast("long")
+    extra = F.aggregate(F.sequence(F.floor(start / block_words), F.floor((F.col("stop") - 1) / block_words)), none, lambda held, b: held + F.when(hash_of(b) <= F.col("last"), block(b)).otherwise(none))
+    taken = F.when(F.col("size") == 0, none).otherwise(F.col("times") * F.col("size") + F.when(F.col("more") > 0, extra).otherwise(none))
     return laid.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
 
 

@@ -3,8 +3,8 @@
 Each page gives three records that share concurrent-to identifiers: its response (or a revisit of
 an equal payload), the request and a metadata record. Records are written through Spark's own
 writer, whose commit protocol survives lost executors; "CR LF CR LF" after a record is the writer's
-line separator, and every file is one gzip stream. Reading parses whole files, of a bounded number
-of records each, record by record.
+line separator, and every file is one gzip stream of bounded length. Reading parses a file at a
+time, record by record.
 
 Assembly joins the records of a transaction to one nested row per capture: requests and metadata
 name their response by a concurrent-to identifier, or the response names them, or they name a
@@ -18,14 +18,15 @@ import base64
 import gzip
 import hashlib
 import io
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpoint_dir, cut, ship
+from ._common import cut, remove_folder, salted_join, ship, working_folder
 
 PRIMARY = ("response", "revisit", "resource")
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -33,6 +34,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes of records, before compression, after which the writer begins another file.
+FILE_BYTES = 64 << 20
 
 
 def base32_of_hex(hexed: Column) -> Column:
@@ -42,25 +45,24 @@ def base32_of_hex(hexed: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_payload: int = 0) -> DataFrame:
-    """Adds record_type, refers_to, payload_digest and payload_bytes under a struct column ``w``.
+    """The pages' columns and a struct ``w`` of record_type, refers_to, payload_digest and payload_bytes.
 
     Of pages with equal payloads of at least ``min_payload`` bytes that with the largest identifier
     is the response; the others revisit it. Rows that repeat that identifier are responses too.
-    Equal means an equal SHA-1 digest and length. Groups are counted before their shuffle, and only
-    digests that several rows share are joined back.
+    Equal means an equal SHA-1 digest and length. Groups are counted on digests and identifiers alone,
+    combined before their shuffle; only payloads that several rows share are joined back, the rows of
+    a hot one dealt over salts.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.withColumn("w", F.struct(base32_of_hex(F.sha1(payload)).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes")))
-    shared = (
-        rows.filter(F.col("w.payload_bytes") >= min_payload)
-        .groupBy(F.col("w.payload_digest").alias("w_digest"), F.col("w.payload_bytes").alias("w_bytes"))
-        .agg(F.max(id_col).alias("w_largest"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .drop("n")
-    )
-    joined = rows.join(shared, (F.col("w.payload_digest") == F.col("w_digest")) & (F.col("w.payload_bytes") == F.col("w_bytes")), "left")
-    again = F.col("w_largest").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("w_largest"))
-    return joined.withColumn("w", F.struct("w.payload_digest", "w.payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("w_largest")).alias("refers_to"))).drop("w_digest", "w_bytes", "w_largest")
+    digest, n_bytes = base32_of_hex(F.sha1(payload)), F.octet_length(payload).cast("long")
+    equal = F.concat(digest, F.lit(":"), n_bytes.cast("string"))
+    shared = cut(pages.filter(n_bytes >= min_payload).select(equal.alias("equal"), F.col(id_col).alias("id")).groupBy("equal").agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    rows = pages.select(F.struct(*pages.columns).alias("page"), equal.alias("equal"))
+    joined = salted_join(rows, shared, "equal", F.coalesce(F.col(f"page.{id_col}").cast("string"), F.lit("")), how="left")
+    again = F.col("largest").isNotNull() & ~F.col(f"page.{id_col}").eqNullSafe(F.col("largest"))
+    parts = F.split("equal", ":")
+    w = F.struct(parts[0].alias("payload_digest"), parts[1].cast("long").alias("payload_bytes"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("largest")).alias("refers_to"))
+    return joined.select("page.*", w.alias("w"))
 
 
 def _record(kind: Column, name: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -70,12 +72,12 @@ def _record(kind: Column, name: Column, headers: list[tuple[str, Column]], block
     return F.concat(*lines, F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = 0, records_per_file: int = 6_000) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_payload: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Write each page's transaction to gzip'd WARC files under ``path``.
 
     Payloads are the column's text in UTF-8; null is an empty one. A null address is left out of
-    the headers; line breaks in one become spaces. A file holds at most ``records_per_file``
-    records, which bounds what a reader holds.
+    the headers; line breaks in one become spaces. A file ends with the record that takes it to
+    ``file_bytes`` bytes before compression, which bounds what a reader holds, however long pages are.
     """
     source = pages.select(F.col(id_col), F.col(url_col), F.col(payload_col))
     rows = with_revisits(source, id_col, payload_col, min_payload)
@@ -106,7 +108,20 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         [*shown, ("WARC-Concurrent-To", F.concat(F.lit("<"), name("request"), F.lit(">"))), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("pageId: "), key, F.lit("\r\n")),
     )
-    rows.select(F.explode(F.array(held, request, metadata)).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).mode("errorifexists").text(path)
+    records = rows.select(F.explode(F.array(held, request, metadata)).alias("value"))
+    ship(pages.sparkSession)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the number of the task's file that a record goes to."""
+        before = 0
+        for batch in batches:
+            stops = before + np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64))
+            starts = np.concatenate([[before], stops[:-1]])
+            before = int(stops[-1]) if len(stops) else before
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts // file_bytes, pa.int32())], names=["value", "file"])
+
+    numbered = records.mapInArrow(number, "value string, file int")
+    numbered.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").partitionBy("file").mode("errorifexists").text(path)
 
 
 RECORD = "record_id string, warc_type string, concurrent_to array<string>, refers_to string, target_uri string, payload_digest string, payload_bytes long, computed_digest string, fields string, payload binary"
@@ -171,7 +186,7 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORD)
 
 
 def assemble_transactions(records: DataFrame) -> DataFrame:
@@ -211,12 +226,13 @@ def warc_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     payload read back, a revisit's those its record states.
     """
     spark = pages.sparkSession
-    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = working_folder(spark, "warc")
     write_archives(pages, path, id_col, url_col, payload_col, min_payload)
     if pages.isEmpty():
         records = spark.createDataFrame([], RECORD)
     else:
         records = cut(read_archives(spark, path, with_payload=False))
+    remove_folder(spark, path)  # what is asked for is in the checkpoint
     kind = pages.schema[id_col].dataType
     page = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^urn:page:(.*):response$', 1), '') as {kind.simpleString()})")
     return assemble_transactions(records).select(

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from paperloom.llm.mixing import fill_targets, mix_sources, sainte_lague
+from paperloom.llm.mixing import fill_level, mix_sources, numbered_sources, sainte_lague, seat_counts
 
 
 def brute_seats(votes, seats, caps):
@@ -31,7 +31,7 @@ def brute_targets(sizes, weights):
         fixed |= {i: 2.0 * sizes[i] for i in over}
 
 
-def test_apportionment_and_targets():
+def test_apportionment():
     rng = random.Random(6)
     for _ in range(200):
         n = rng.randrange(1, 9)
@@ -39,9 +39,64 @@ def test_apportionment_and_targets():
         caps = np.array([rng.randrange(0, 60) for _ in range(n)])
         seats = rng.randrange(0, 120)
         assert sainte_lague(votes, seats, caps).tolist() == brute_seats(votes, seats, caps)
-        sizes = [rng.randrange(1, 500) for _ in range(n)]
+
+
+def test_searches_over_the_table_of_sources(spark):
+    rng = random.Random(11)
+    for n in (1, 2, 3, 7, 40):
+        sizes = [rng.choice([0, rng.randrange(1, 500), 90_000]) for _ in range(n)]
         weights = [(3, 1, 2)[i % 3] for i in range(n)]
-        assert np.allclose(fill_targets(np.array(sizes), np.array(weights, float)), brute_targets(sizes, weights))
+        level = fill_level(spark.createDataFrame([(2 * s, float(w)) for s, w in zip(sizes, weights)], "cap long, weight double"), 1.5 * sum(sizes))
+        assert np.allclose([min(2 * s, w * level) for s, w in zip(sizes, weights)], brute_targets(sizes, weights))
+        votes, caps = [float(rng.choice([0, 7, 7, rng.random() * 1000])) for _ in range(n)], [rng.randrange(0, 60) for _ in range(n)]
+        for seats in (0, 3 * n, 10_000):
+            got = seat_counts(spark.createDataFrame(list(zip(range(n), votes, caps)), "number long, votes double, cap long"), seats)
+            assert [r["quota"] for r in got.orderBy("number").collect()] == brute_seats(votes, seats, caps), (votes, caps, seats)
+
+
+def test_sources_are_numbered_in_code_point_order(spark):
+    names = ["b", "", None, "é", "Z", "日", "a", "a"]
+    rows = spark.createDataFrame([(x, 1) for x in names], "source string, size long").repartition(3)
+    got = {r["name"]: (r["number"], r["source_size"]) for r in numbered_sources(rows).collect()}
+    assert got == {x: (i, names.count(x)) for i, x in enumerate(["", "Z", "a", "b", "é", "日", None])}
+
+
+def brute_taken(spark, docs, shard_words, block=64, seed=17):
+    """Takings of each document by loops; only the hashes come from Spark."""
+    ids = spark.createDataFrame([(i,) for i, *_ in docs], "id long").selectExpr("id", f"xxhash64({seed}, cast(id as string)) as draw").selectExpr("id", "draw", "xxhash64(draw, 1) as u").distinct().collect()
+    draw = {r["id"]: (r["draw"], r["u"]) for r in ids}
+    names = sorted({s for *_, s in docs}, key=lambda x: (x is None, x or ""))
+    size = {i: len((t or "").split()) for i, t, _ in docs}
+    totals = [sum(size[i] for i, _, s in docs if s == x) for x in names]
+    target = brute_targets(totals, [(3, 1, 2)[k % 3] for k in range(len(names))])
+    shards = {}
+    for i, _, s in docs:
+        k = names.index(s)
+        shards.setdefault((k, draw[i][1] % max(1, -(-totals[k] // shard_words))), []).append(i)
+    blocks = {key: -(-sum(size[i] for i in x) // block) for key, x in shards.items()}
+    quota = brute_seats(target, round(sum(target) / block), [2 * sum(n for (k, _), n in blocks.items() if k == j) for j in range(len(names))])
+    taken = {}
+    for j in range(len(names)):
+        mine = sorted(key for key in shards if key[0] == j)
+        given = brute_seats([sum(size[i] for i in shards[key]) for key in mine], quota[j], [2 * blocks[key] for key in mine])
+        for key, q in zip(mine, given):
+            n = blocks[key]
+            hashes = {r["b"]: r["h"] for r in spark.range(n).selectExpr("id as b", f"xxhash64({seed}, {key[0]}L, {key[1]}, id) as h").collect()}
+            more = set(sorted(hashes, key=hashes.get)[: q % n if n else 0])
+            at = 0
+            for i in sorted(shards[key], key=lambda i: (draw[i][0], i)):
+                words = range(at, at + size[i])
+                taken[i] = sum(q // n + (w // block in more) for w in words)
+                at += size[i]
+    return taken
+
+
+def test_takings_against_brute_force(spark):
+    rng = random.Random(8)
+    docs = [(i, "w " * rng.choice([0, 1, 30, 500]), rng.choice(["a", "b", "b", None])) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["taken"] for r in mix_sources(df, shard_words=3_000).collect()}
+    assert got == brute_taken(spark, docs, 3_000)
 
 
 def test_mix(spark):

@@ -22,16 +22,25 @@ def brute(rows, least=0):
 
 @pytest.mark.parametrize("least", [0, 3])
 def test_captures(spark, least):
-    df = spark.createDataFrame([(*r, "x") for r in PAGES], "page_id long, url string, html string, w string")
+    df = spark.createDataFrame([(*r, "x", "y", 1, "z") for r in PAGES], "page_id long, url string, html string, w string, equal string, n int, page string")
     got = warc_captures(df, min_payload=least)
     assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == brute(PAGES, least)
     assert got.filter("n_requests < 1 or n_metadata < 1").count() == 0
     assert warc_captures(df.limit(0)).count() == 0
 
 
+def test_hot_payload(spark):
+    """A third of the pages share one payload: their rows are dealt over salts."""
+    pages = [(i, "u", "hot" if i % 3 == 0 else f"own {i // 2}") for i in range(300)]
+    got = warc_captures(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == brute(pages)
+
+
 def test_payloads_come_back(spark, tmp_path):
     df = spark.createDataFrame(PAGES[:7], "page_id long, url string, html string")
-    write_archives(df, str(tmp_path / "w"), records_per_file=4)
+    write_archives(df.repartition(1), str(tmp_path / "w"), file_bytes=2_000)
+    files = [len(gzip.open(f).read()) for f in (tmp_path / "w").rglob("*.gz")]
+    assert len(files) >= 4 and sorted(files)[-2] < 4_000  # but for the one long page
     got = assemble_transactions(read_archives(spark, str(tmp_path / "w")))
     payloads = {r["record_id"]: bytes(r["payload"]) for r in got.filter("warc_type = 'response'").collect()}
     assert payloads["urn:page:5:response"] == PAGES[5][2].encode() and payloads["urn:page:6:response"] == PAGES[6][2].encode()
