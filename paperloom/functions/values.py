@@ -130,6 +130,12 @@ def parse_text_list(cells: pd.Series) -> pd.Series:
     return cells.map(one, na_action=None)
 
 
+def raw_link(cell: Column) -> Column:
+    """The first of a cell's list, or the cell itself, trimmed; missing ones are empty."""
+    s = F.trim(F.coalesce(F.get(parse_text_list(cell), F.lit(0)), cell, F.lit("")))
+    return F.when(F.lower(s).isin(*NULL_NAMES), F.lit("")).otherwise(s)
+
+
 @batched("string")
 def parse_object(cells: pd.Series) -> pd.Series:
     """JSON text of a cell kept as JSON or as a Python literal; null where it is neither."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values
 from . import placeholders as P
@@ -12,6 +13,7 @@ from .lexicon import LABELS, label_table
 # --- fixed values: standing texts ------------------------------------------------------------------
 EMPTY_TEXT = "[More information needed]"
 FAILED, FAILED_CHARS = "Generation Failed", 500
+NOT_CONFIGURED, EMPTY_ANSWER = "no generator is configured", "the generator returned an empty text"
 PROMPT = """<task>
     Synthesize the provided <reference_text> into a highly readable "{section}" section for a Model Card.
     Adhere strictly to the <section_specifications> and <formatting_rules>.
@@ -100,9 +102,34 @@ def assemble_cards(references: DataFrame, models: DataFrame, key: str = "model_i
     return got.select(key, "n_empty", F.array_join(F.transform("s", lambda x: x["text"]), "\n\n").alias("full_markdown"))
 
 
+def generate_cards(references: DataFrame, models: DataFrame, specs: dict[str, str], generate=None, key: str = "model_id") -> DataFrame:
+    """(key, sections, full_markdown, n_failed, success, error), a section for each of ``specs``, in that order.
+
+    ``generate`` maps (section, prompt) Columns to a Column of text, or to a struct (text, error); an
+    empty answer is an error too. A section without references has the standing text and asks
+    nothing; a failed one shows the error's first characters. Without ``generate`` nothing leaves
+    the cluster: no success, and an error instead of a card.
+    """
+    table = references.sparkSession.createDataFrame([(i, s, t) for i, (s, t) in enumerate(specs.items())], "section_ord int, section string, spec string")
+    wanted = models.select(key).distinct().withColumn("_s", F.explode(F.array(*[F.lit(s) for s in specs])))
+    rows = wanted.join(F.broadcast(table), F.col("_s") == F.col("section")).drop("_s")  # a handful of constants
+    rows = rows.join(references.select(key, "section", "items"), [key, "section"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    if generate is None:
+        return models.select(key).distinct().select(key, F.lit(None).cast("map<string,string>").alias("sections"), F.lit("").alias("full_markdown"), F.lit(0).cast("long").alias("n_failed"), F.lit(False).alias("success"), F.lit(NOT_CONFIGURED).alias("error"))
+    asked = rows.withColumn("prompt", F.when(F.size("items") > 0, generation_prompt(F.col("section"), F.col("spec"), F.col("items"))))
+    asked = asked.withColumn("_told", generate(F.col("section"), F.col("prompt")))
+    if not isinstance(asked.schema["_told"].dataType, T.StructType):
+        asked = asked.withColumn("_told", F.struct(F.col("_told").alias("text"), F.lit(None).cast("string").alias("error")))
+    text = F.trim(F.coalesce("_told.text", F.lit("")))
+    error = F.when(F.size("items") > 0, F.coalesce(F.col("_told.error"), F.when(text == "", F.lit(EMPTY_ANSWER))))
+    shown = asked.withColumn("_error", error).withColumn("_text", section_text(F.col("section"), F.col("items"), text, F.col("_error")))
+    got = shown.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section_ord", "section", F.col("_text").alias("text")))).alias("s"), F.count("_error").alias("n_failed"))
+    return got.select(key, F.map_from_entries(F.transform("s", lambda x: F.struct(x["section"], x["text"]))).alias("sections"), F.array_join(F.transform("s", lambda x: x["text"]), "\n\n").alias("full_markdown"), "n_failed", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+
+
 def label_counts(predictions: DataFrame, key: str = "model_id", label_col: str = "predicted_label") -> DataFrame:
     """A5: paragraphs by source and over all (source null) of each key."""
     return predictions.rollup(key, "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("applied_rerank_rule")).alias("n_reranked") if "applied_rerank_rule" in predictions.columns else F.lit(0).cast("long").alias("n_reranked"), F.countDistinct(label_col).alias("n_labels")).filter(F.col(key).isNotNull())
 
 
-__all__ = ["LABELS", "assemble_cards", "default_section", "generation_prompt", "grouped_references", "label_counts", "section_text", "source_order"]
+__all__ = ["LABELS", "assemble_cards", "default_section", "generate_cards", "generation_prompt", "grouped_references", "label_counts", "section_text", "source_order"]

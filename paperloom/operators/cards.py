@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import links as L
@@ -16,8 +16,8 @@ def keyed_cache(rows: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n")
+    """The first row of each key, combined before the shuffle; a null key is a key."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
 
 
 def normalise_reports(reports: DataFrame, order: str = "row_id") -> DataFrame:
@@ -65,6 +65,21 @@ def source_payloads(models: DataFrame, cards: DataFrame, papers: DataFrame, read
     )
 
 
+def classify_view(predictions: DataFrame, models: DataFrame, key: str = "model_id") -> DataFrame:
+    """K9: (model_id, primary_paper_url, primary_github_url, paper, model_card, github_readme, success): each source's predictions in order.
+
+    ``models``: (model_id, primary_paper, primary_github). A source without predictions has an empty list.
+    """
+    shown = ["pos", "text", "predicted_label", "confidence", "top2_label", "top2_confidence", "applied_rerank_rule"]
+    item = F.struct(*shown)
+    kind = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in predictions.select(*shown).schema)
+    lists = [F.array_sort(F.collect_list(F.when(F.col("source") == s, item))).alias(s) for s in ("paper", "model_card", "github_readme")]
+    told = predictions.groupBy(key).agg(*lists)
+    rows = models.select(key, F.col("primary_paper").alias("primary_paper_url"), F.col("primary_github").alias("primary_github_url")).join(told, key, "left")
+    empty = F.array().cast(f"array<struct<{kind}>>")
+    return rows.withColumns({s: F.coalesce(s, empty) for s in ("paper", "model_card", "github_readme")}).withColumn("success", F.lit(True))
+
+
 def artifact_view(artifacts: DataFrame) -> DataFrame:
     """F16: the response's columns and counts."""
     return artifacts.select("model_id", "author", "tags", "downloads", "likes", F.size(F.coalesce("discussions", F.array())).alias("discussions_count"), F.length(F.coalesce("model_card", F.lit(""))).alias("card_chars"))

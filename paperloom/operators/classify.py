@@ -1,7 +1,7 @@
 """Classification by embedding centroids with keyword reranking, and by keywords alone.
 
 Labels and phrases are constants of 7 and 157 rows. Scores against them are expressions over one
-row a paragraph or broadcast joins; nothing is collected.
+row a paragraph; the centroids are one value of a bounded number of labels.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from ..functions import vectors as V
 from ..shipping import ship
 from .lexicon import BENEFICIAL_PAIRS, GAP_THRESHOLD, LABELS, PHRASES
 
+#: Labels whose centroids a task may hold.
+MAX_LABELS = 10_000
+
 
 def phrase_hits(low: Column, tokens: Column, phrases: tuple[str, ...]) -> Column:
     """C5 for one label: a phrase of several words counts as a substring, a single one as a token."""
@@ -80,20 +83,39 @@ def label_centroids(vectors: DataFrame, label_col: str = "label", vector_col: st
     return rows.select("label", V.l2_normalise(F.col("mean")).alias("centroid"))
 
 
-def centroid_scores(docs: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, label, score) of every document and label; the centroids, one row a label, are broadcast."""
-    unit = docs.select(id_col, V.l2_normalise(V.as_double(F.col(vector_col))).alias("_v"))
-    return unit.join(F.broadcast(centroids)).select(id_col, F.col("label"), V.dot(F.col("_v"), F.col("centroid")).alias("score"))
+def centroid_array(centroids: DataFrame) -> Column:
+    """The centroids as one value, sorted by label: a scalar subquery, so that no join is needed.
+
+    More than MAX_LABELS labels raise an error, as the value reaches every task.
+    """
+    held = F.array_sort(F.collect_list(F.struct("label", "centroid")))
+    bounded = F.when(F.count(F.lit(1)) > MAX_LABELS, F.raise_error(F.lit(f"more than {MAX_LABELS} labels"))).otherwise(held)
+    return centroids.agg(bounded.alias("c")).scalar()
 
 
-def top_two(scores: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """(id, label1, score1, label2, score2); ties go to the smaller label, one label stands twice.
+def with_centroid_scores(docs: DataFrame, centroids: DataFrame, vector_col: str = "embedding", name: str = "_s") -> DataFrame:
+    """C4: adds an array of (neg, label) of all labels in the row itself, the best first; neg is minus the cosine, ties go to the smaller label.
 
-    The two best of a document are a sorted array of the partial groups, so rows shrink before the shuffle.
+    A null vector gives null.
     """
-    best = scores.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "label"))).alias("s"))
-    first, second = F.get("s", F.lit(0)), F.coalesce(F.get("s", F.lit(1)), F.get("s", F.lit(0)))
-    return best.select(id_col, first["label"].alias("label1"), (-first["neg"]).alias("score1"), second["label"].alias("label2"), (-second["neg"]).alias("score2"))
+    unit = docs.withColumn("_v", V.l2_normalise(V.as_double(F.col(vector_col)))).withColumn("_c", centroid_array(centroids))
+    return unit.withColumn(name, F.array_sort(F.transform("_c", lambda c: F.struct((-V.dot(F.col("_v"), c["centroid"])).alias("neg"), c["label"].alias("label"))))).drop("_v", "_c")
+
+
+def centroid_scores(docs: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, label, score, confidence) of every document and label, without a shuffle."""
+    rows = with_centroid_scores(docs, centroids, vector_col).select(id_col, "_s")
+    total = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.exp(F.col("_s")[0]["neg"] - s["neg"]))
+    rows = rows.withColumn("_total", total).withColumn("_top", F.get("_s", F.lit(0))["neg"]).select(id_col, "_total", "_top", F.explode("_s").alias("s"))
+    return rows.select(id_col, F.col("s.label").alias("label"), (-F.col("s.neg")).alias("score"), (F.exp(F.col("_top") - F.col("s.neg")) / F.col("_total")).alias("confidence"))
+
+
+def top_two(scored: DataFrame, name: str = "_s") -> DataFrame:
+    """Adds label1, score1, label2, score2 of with_centroid_scores' array, and confidence1 and confidence2 (C8); one label stands twice."""
+    first, second = F.get(name, F.lit(0)), F.coalesce(F.get(name, F.lit(1)), F.get(name, F.lit(0)))
+    rows = scored.withColumns({"label1": first["label"], "score1": -first["neg"], "label2": second["label"], "score2": -second["neg"]})
+    total = F.aggregate(name, F.lit(0.0), lambda a, s: a + F.exp(-s["neg"] - F.col("score1")))
+    return rows.withColumn("_total", total).withColumns({"confidence1": 1.0 / F.col("_total"), "confidence2": F.exp(F.col("score2") - F.col("score1")) / F.col("_total")}).drop("_total", name)
 
 
 def apply_rerank(tops: DataFrame, keyword1: Column, keyword2: Column, threshold: float | Column = GAP_THRESHOLD, pairs: tuple = BENEFICIAL_PAIRS) -> DataFrame:
@@ -104,27 +126,17 @@ def apply_rerank(tops: DataFrame, keyword1: Column, keyword2: Column, threshold:
     return tops.withColumn("rule", rule).withColumn("final_label", F.when(F.col("rule") & (keyword2 > keyword1), F.col("label2")).otherwise(F.col("label1")))
 
 
-def confidences(scores: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """(id, label, score, confidence)."""
-    return scores.withColumn("confidence", V.softmax_within(F.col("score"), id_col))
-
-
 def classify_by_vectors(paragraphs: DataFrame, centroids: DataFrame, id_cols: list[str], text_col: str = "text", vector_col: str = "embedding", threshold: float = GAP_THRESHOLD, pairs: tuple = BENEFICIAL_PAIRS) -> DataFrame:
     """Adds predicted_label, confidence (softmax at the final label), top2_label, top2_confidence (a raw cosine), applied_rerank_rule.
 
     ``centroids`` are by label name; a row without a vector keeps nulls. One row stays one row: the
-    scores of a paragraph are an array, made by broadcasting the few centroids as one row.
+    scores of a paragraph are an array.
     """
-    table = centroids.groupBy().agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("_c"))
-    unit = paragraphs.withColumn("_v", V.l2_normalise(V.as_double(F.col(vector_col)))).join(F.broadcast(table))
-    scored = unit.withColumn("_s", F.array_sort(F.transform("_c", lambda c: F.struct((-V.dot(F.col("_v"), c["centroid"])).alias("neg"), c["label"].alias("label")))))
-    first, second = F.get("_s", F.lit(0)), F.coalesce(F.get("_s", F.lit(1)), F.get("_s", F.lit(0)))
-    scored = with_keyword_scores(scored, text_col, "_kw")
-    rows = scored.withColumns({"label1": first["label"], "score1": -first["neg"], "label2": second["label"], "score2": -second["neg"]}).withColumn("_k", F.map_from_entries(F.transform("_kw", lambda k: F.struct(k["label"], k["score"]))))
+    scored = with_keyword_scores(top_two(with_centroid_scores(paragraphs, centroids, vector_col)), text_col, "_kw")
+    rows = scored.withColumn("_k", F.map_from_entries(F.transform("_kw", lambda k: F.struct(k["label"], k["score"]))))
     rows = apply_rerank(rows, F.coalesce(F.element_at("_k", F.col("label1")), F.lit(0.0)), F.coalesce(F.element_at("_k", F.col("label2")), F.lit(0.0)), threshold, pairs)
-    final = F.when(F.col("final_label") == F.col("label2"), F.col("score2")).otherwise(F.col("score1"))
-    weight = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.exp(-s["neg"] - F.col("score1")))
-    return rows.select(*paragraphs.columns, F.col("final_label").alias("predicted_label"), F.round(F.exp(final - F.col("score1")) / weight, 4).alias("confidence"), F.col("label2").alias("top2_label"), F.round("score2", 4).alias("top2_confidence"), F.col("rule").alias("applied_rerank_rule"))
+    final = F.when(F.col("final_label") == F.col("label2"), F.col("confidence2")).otherwise(F.col("confidence1"))
+    return rows.select(*paragraphs.columns, F.col("final_label").alias("predicted_label"), F.round(final, 4).alias("confidence"), F.col("label2").alias("top2_label"), F.round("score2", 4).alias("top2_confidence"), F.col("rule").alias("applied_rerank_rule"))
 
 
 def classify_sources(paragraphs: DataFrame, centroids: DataFrame | None = None, text_col: str = "text", vector_col: str = "embedding", **rules) -> DataFrame:

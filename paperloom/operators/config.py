@@ -1,10 +1,15 @@
-"""Rules of the classifier and how they are resolved, as plain driver-side values."""
+"""Rules of the classifier and how they are resolved, as plain driver-side values."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .lexicon import BENEFICIAL_PAIRS, GAP_THRESHOLD, LABELS
 
 
@@ -44,3 +49,35 @@ def resolve_rules(default: Rules, model_name: str, tuned: dict[str, Rules]) -> R
 def use_remote(argument: bool | None, setting: str | None) -> bool:
     """K5: the argument, else whether the job setting names the remote backend."""
     return argument if argument is not None else (setting or "").strip().lower() == "remote"
+
+
+def first_setting(names: tuple[str, ...], settings: dict[str, str]) -> str:
+    """K8: the first of the named job settings that is not blank, else empty. Settings are given, never read from the process."""
+    return next((settings[n].strip() for n in names if settings.get(n, "").strip()), "")
+
+
+@dataclass
+class TableSummariser:
+    """K6, K7: which backend summarises tables, and one instance of it a Python worker.
+
+    ``make(model_name, token)`` builds the backend on the worker that first needs it. Without a token
+    there is no backend, and ``column`` is None, so that summarise_tables keeps to its local summary.
+    """
+
+    make: Callable[[str, str], Callable[[str], str]]
+    model_name: str
+    token: str
+
+    @property
+    def column(self) -> Callable[[Column], Column] | None:
+        if not self.token:
+            return None
+        make, model_name, token, held = self.make, self.model_name, self.token, []
+
+        @F.pandas_udf("string")
+        def summarise(tables: pd.Series) -> pd.Series:
+            if not held:
+                held.append(make(model_name, token))
+            return tables.map(held[0], na_action="ignore")
+
+        return summarise

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values
 from .lexicon import checklist_table
@@ -28,6 +29,8 @@ For each item in the <checklist>:
 #: What a scorer is asked to return. Points run from 1 to 22; scores are 0, 0.5 or 1.
 RESPONSE_SCHEMA = "evaluations array<struct<point_number:int,evidence_quote:string,reasoning:string,score:double>>"
 NO_OUTPUT = "No structured output returned."
+#: What an evaluation without a scorer states.
+NOT_CONFIGURED = "no scorer is configured"
 
 
 def python_list(items: Column) -> Column:
@@ -83,14 +86,41 @@ def fill_and_score(items: DataFrame, models: DataFrame, key: str = "model_id") -
     return scored.unionByName(zero)
 
 
+def evaluate(references: DataFrame, models: DataFrame, score=None, key: str = "model_id", files: DataFrame | None = None) -> DataFrame:
+    """(key, success, error, total_score, section_scores, scores_by_point) of each model.
+
+    ``score`` maps a prompt Column to a Column of RESPONSE_SCHEMA as JSON text, or to a struct (answer,
+    error); without one, and where an error is stated, the model's evaluation is no success, has the
+    first error in checklist order and no scores. Sections in the order of the checklist.
+    """
+    prompts = build_prompts(references, key, files if files is not None else models.select(key).distinct().withColumn("files", F.array().cast("array<string>")))
+    told = score(F.col("prompt")) if score else F.struct(F.lit(None).cast("string").alias("answer"), F.lit(NOT_CONFIGURED).alias("error"))
+    answers = prompts.withColumn("_told", told)
+    if not isinstance(answers.schema["_told"].dataType, T.StructType):
+        answers = answers.withColumn("_told", F.struct(F.col("_told").cast("string").alias("answer"), F.lit(None).cast("string").alias("error")))
+    answers = answers.select(key, "section_ord", "section", "_told.answer", "_told.error")
+    errors = answers.groupBy(key).agg(F.min(F.when(F.col("error").isNotNull(), F.struct("section_ord", "error")))["error"].alias("error"))
+    filled = fill_and_score(read_answers(answers.filter("error is null"), key), models, key)
+    order = checklist_table(references.sparkSession).select("section", "section_ord").distinct()
+    sums = section_scores(filled, key).join(order, "section")
+    by_section = sums.groupBy(key).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("section_ord", "section", "score"))), lambda x: F.struct(x["section"], x["score"]))).alias("section_scores"))
+    points = last_scores(filled, key).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("point_number", "score")))).alias("scores_by_point"), F.round(F.sum("score"), 3).alias("total_score"))
+    joined = errors.join(by_section, key, "left").join(points, key, "left")
+    ok = F.col("error").isNull()
+    return joined.select(key, ok.alias("success"), "error", *[F.when(ok, F.col(c)).alias(c) for c in ("total_score", "section_scores", "scores_by_point")])
+
+
+def last_scores(items: DataFrame, key: str = "model_id") -> DataFrame:
+    """A4: (key, point_number, score), of a point that comes twice the last one, in checklist order."""
+    order = checklist_table(items.sparkSession).select("section", "section_ord").distinct()
+    return items.join(F.broadcast(order), "section").groupBy(key, "point_number").agg(F.max_by("score", F.struct("section_ord", "ord")).alias("score"))
+
+
 def section_scores(items: DataFrame, key: str = "model_id") -> DataFrame:
     """A3: (key, section, score), points that come twice summed twice."""
     return items.groupBy(key, "section").agg(F.round(F.sum("score"), 3).alias("score"))
 
 
 def total_scores(items: DataFrame, key: str = "model_id") -> DataFrame:
-    """A4: (key, total_score), of a point that comes twice the last one, in checklist order."""
-    order = checklist_table(items.sparkSession).select("section", "section_ord").distinct()
-    ranked = items.join(F.broadcast(order), "section")
-    last = ranked.groupBy(key, "point_number").agg(F.max_by("score", F.struct("section_ord", "ord")).alias("score"))
-    return last.groupBy(key).agg(F.round(F.sum("score"), 3).alias("total_score"))
+    """A4: (key, total_score) of last_scores."""
+    return last_scores(items, key).groupBy(key).agg(F.round(F.sum("score"), 3).alias("total_score"))

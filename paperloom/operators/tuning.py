@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 STEPS, STEP = 101, 0.001
 TEST_SHARE, LEAST_ROWS = 0.6, 20
+#: Labels that a task may hold as one value.
+MAX_LABELS = 10_000
 
 
 def stratified_split(rows: DataFrame, id_col: str = "doc_id", label_col: str = "label", share: float = TEST_SHARE, salt: str = "42") -> DataFrame:
@@ -14,13 +16,27 @@ def stratified_split(rows: DataFrame, id_col: str = "doc_id", label_col: str = "
 
     A label with several rows gives ``share`` of them (rounded half to even, at least one, not
     all) to the test part, in the order of a hash of the identifier; a single row is a test row.
+
+    No task holds a label: counts by label and the hash's first four digits tell the digits at which
+    a label is cut, and rows are ranked within (label, digits) only.
     """
-    draw = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":" + salt)))
-    w = Window.partitionBy(label_col)
-    n = F.count(F.lit(1)).over(w)
-    place = F.row_number().over(w.orderBy(draw, id_col))
+    draw = F.coalesce(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":" + salt))), F.lit(""))
+    drawn = rows.withColumns({"_draw": draw, "_digits": F.substring(draw, 1, 4)})
+    of = Window.partitionBy(label_col)
+    counts = drawn.groupBy(label_col, "_digits").agg(F.count(F.lit(1)).alias("_n"))
+    n = F.sum("_n").over(of)
     tests = F.when(n > 1, F.greatest(F.lit(1), F.least(n - 1, F.rint(n * share)))).otherwise(n)
-    return rows.withColumn("part", F.when(place <= tests, "test").otherwise("validation"))
+    before = F.coalesce(F.sum("_n").over(of.orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = counts.select(F.col(label_col).alias("_label"), F.col("_digits").alias("_at"), (tests - before).alias("_left"))
+    place = F.row_number().over(Window.partitionBy(label_col, "_digits").orderBy("_draw", id_col))
+    ranked = drawn.withColumn("_place", place).join(left, F.col(label_col).eqNullSafe(F.col("_label")) & (F.col("_digits") == F.col("_at")))
+    return ranked.select(*rows.columns, F.when(F.col("_place") <= F.col("_left"), "test").otherwise("validation").alias("part"))
+
+
+def label_list(labels: DataFrame, label_col: str = "label") -> Column:
+    """The schema's labels as one array: a scalar subquery. More than MAX_LABELS raise an error."""
+    held = F.array_sort(F.collect_set(label_col))
+    return labels.agg(F.when(F.size(held) > MAX_LABELS, F.raise_error(F.lit(f"more than {MAX_LABELS} labels"))).otherwise(held).alias("l")).scalar()
 
 
 def f1_by_label(rows: DataFrame, labels: DataFrame, keys: tuple[str, ...] = (), truth: str = "truth", predicted: str = "predicted", label_col: str = "label") -> DataFrame:
@@ -32,7 +48,7 @@ def f1_by_label(rows: DataFrame, labels: DataFrame, keys: tuple[str, ...] = (),
     sides = rows.select(*keys, F.explode(F.array(F.struct(F.col(truth).alias("l"), hit.alias("tp"), F.lit(0).alias("fp"), (1 - hit).alias("fn")), F.struct(F.col(predicted).alias("l"), F.lit(0).alias("tp"), (1 - hit).alias("fp"), F.lit(0).alias("fn")))).alias("s"))
     counts = sides.groupBy(*keys, F.col("s.l").alias("_l")).agg(*[F.sum(f"s.{c}").alias(c) for c in ("tp", "fp", "fn")])
     names = labels.select(F.col(label_col).alias("label"))
-    wanted = counts.select(*keys).distinct().join(F.broadcast(names)) if keys else names
+    wanted = counts.select(*keys).distinct().withColumn("label", F.explode(label_list(labels, label_col))) if keys else names
     joined = wanted.join(counts, [wanted["label"] == counts["_l"], *[wanted[k] == counts[k] for k in keys]], "left").select(*[wanted[k] for k in keys], "label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
     return joined.withColumn("f1", F.when(F.col("tp") == 0, 0.0).otherwise(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))))
 
@@ -63,8 +79,7 @@ def threshold_scores(rows: DataFrame, labels: DataFrame, swap: str = "swapped",
     moves = rows.select(F.explode(F.array(side("label1", F.lit(-1), 1), side("label1", step, -1), side(swap, step, 1))).alias("m")).filter("m.at is not null")
     change = moves.groupBy(F.col("m.l").alias("l"), F.col("m.at").alias("at")).agg(F.sum(F.col("m.right") * F.col("m.sign")).alias("tp"), F.sum(F.col("m.sign")).alias("n"))
     truths = rows.groupBy(F.col(truth).alias("l")).agg(F.count(F.lit(1)).alias("n_true"))
-    spark = rows.sparkSession
-    grid = spark.range(-1, STEPS).select(F.col("id").cast("int").alias("at")).join(F.broadcast(labels.select(F.col(label_col).alias("l"))))
+    grid = labels.select(F.col(label_col).alias("l"), F.explode(F.sequence(F.lit(-1), F.lit(STEPS - 1))).alias("at"))
     running = Window.partitionBy("l").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.join(change, ["l", "at"], "left").join(truths, "l", "left").select("l", "at", F.sum(F.coalesce("tp", F.lit(0))).over(running).alias("tp"), F.sum(F.coalesce("n", F.lit(0))).over(running).alias("n"), F.coalesce("n_true", F.lit(0)).alias("n_true"))
     f1 = F.when(F.col("tp") == 0, 0.0).otherwise(2.0 * F.col("tp") / (F.col("n") + F.col("n_true")))
@@ -87,15 +102,15 @@ def pair_impact(rows: DataFrame, threshold: float | Column, swap: str = "swapped
 def tune(rows: DataFrame, labels: DataFrame, id_col: str, truth: str = "truth", swap: str = "swapped") -> DataFrame:
     """C17: (part, rows, baseline, tuned, threshold): macro F1 before and after, by part; nothing below 20 rows.
 
-    The rule is found on the validation part. Threshold and pairs are one row and a few dozen rows
-    and reach the other plans as broadcasts.
+    The rule is found on the validation part. Number of rows and threshold are scalar subqueries; the
+    pairs are joined as Spark sees fit.
     """
-    total = rows.groupBy().agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_ROWS).drop("n").withColumn("_ok", F.lit(1))
-    parts = stratified_split(rows.join(F.broadcast(total)).drop("_ok"), id_col, truth)
+    enough = rows.agg((F.count(F.lit(1)) >= LEAST_ROWS).alias("ok")).scalar()
+    parts = stratified_split(rows.withColumn("_ok", enough).filter("_ok").drop("_ok"), id_col, truth)
     checked = parts.filter("part = 'validation'")
-    best = best_threshold(threshold_scores(checked, labels, swap, truth)).select("threshold")
-    pairs = pair_impact(checked.join(F.broadcast(best)), F.col("threshold"), swap, truth).select("label1", "label2", F.lit(True).alias("listed"))
-    told = parts.join(F.broadcast(best)).join(F.broadcast(pairs), ["label1", "label2"], "left")
+    best = best_threshold(threshold_scores(checked, labels, swap, truth)).select("threshold").scalar()
+    pairs = pair_impact(checked.withColumn("threshold", best), F.col("threshold"), swap, truth).select("label1", "label2", F.lit(True).alias("listed"))
+    told = parts.withColumn("threshold", best).join(pairs, ["label1", "label2"], "left")
     told = told.withColumn("predicted", F.when((F.col("score1") - F.col("score2") <= F.col("threshold")) | F.coalesce("listed", F.lit(False)), F.col(swap)).otherwise(F.col("label1")))
     before = macro_f1(told.withColumn("base", F.col("label1")), labels, ("part",), truth=truth, predicted="base").withColumnRenamed("macro_f1", "baseline")
     after = macro_f1(told, labels, ("part",), truth=truth).withColumnRenamed("macro_f1", "tuned")

@@ -272,9 +272,8 @@ def _centroids(spark, sf_dir):
 
 
 def _tops(spark, sf_dir):
-    vectors = read_table(spark, sf_dir, "embeddings")
-    tops = classify.top_two(classify.centroid_scores(vectors, _centroids(spark, sf_dir)))
-    return tops.join(vectors.select("vec_id", F.col("label").alias("truth")), "vec_id")
+    scored = classify.with_centroid_scores(read_table(spark, sf_dir, "embeddings"), _centroids(spark, sf_dir))
+    return classify.top_two(scored).withColumnRenamed("label", "truth").drop("embedding")
 
 
 def _keyword_scores() -> tuple[Column, Column]:
@@ -303,9 +302,8 @@ def centroid_top2(spark, sf_dir):
 @query
 def gap_rerank_rule(spark, sf_dir):
     got = classify.apply_rerank(_tops(spark, sf_dir), *_keyword_scores(), 0.01, ((1, 2), (3, 4)))
-    shares = classify.confidences(classify.centroid_scores(read_table(spark, sf_dir, "embeddings"), _centroids(spark, sf_dir)))
-    final = shares.select("vec_id", F.col("label").alias("final_label"), F.round("confidence", 6).alias("confidence"))
-    return got.join(final, ["vec_id", "final_label"]).select("vec_id", "final_label", "rule", "confidence")
+    confidence = F.when(F.col("final_label") == F.col("label2"), F.col("confidence2")).otherwise(F.col("confidence1"))
+    return got.select("vec_id", "final_label", "rule", F.round(confidence, 6).alias("confidence"))
 
 
 @query

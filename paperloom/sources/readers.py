@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """Deals rows out where a table has fewer files than the cluster has cores.
 
-    A file of one row group is read by one task, and so would be parsed by one. A table of many
-    files is left as it is: no shuffle at scale.
+    A file of one row group is read by one task, and so would be parsed by one. A table whose scan
+    has a task for each core is left as it is: no shuffle at scale.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows._jdf.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def read_json_resource(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -66,6 +67,27 @@ def read_payloads(spark: SparkSession, path: str, key_col: str) -> DataFrame:
     return rows.select(F.col(key_col).alias("key"), F.struct(*lists).alias("payload"), F.monotonically_increasing_id().alias("row_id"))
 
 
+def read_four(spark: SparkSession, files: dict[str, tuple[str, str]]) -> dict[str, DataFrame]:
+    """Payload tables by name, of {name: (path, key column)}; a file that is not there gives an empty table."""
+    empty = f"key string, payload struct<{', '.join(f'{c}: array<string>' for c in LIST_COLUMNS)}>, row_id long"
+    out = {}
+    for name, (path, key_col) in files.items():
+        try:
+            out[name] = read_payloads(spark, path, key_col)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            out[name] = spark.createDataFrame([], empty)
+    return out
+
+
+def read_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, tree, success) of layout JSON files, one tree a file; text that is no JSON object with children is no success."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("tree"))
+    children = F.get_json_object("tree", "$.children")
+    return rows.withColumn("success", F.coalesce(F.startswith(F.trim(children), F.lit("[")), F.lit(False)))
+
+
 def read_pdfs(spark: SparkSession, path: str, parse) -> DataFrame:
     """(path, content, success) of PDF files. ``parse`` maps bytes to text; one that raises gives no success.
 

@@ -25,20 +25,29 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def progress_rows(done: DataFrame, phase: str, total: int, order: str = "step") -> DataFrame:
-    """(phase, completed, total, remaining) of each finished step, in order."""
-    return done.select(F.lit(phase).alias("phase"), F.col(order).alias("completed"), F.lit(total).alias("total"), F.greatest(F.lit(total) - F.col(order), F.lit(0)).alias("remaining"))
+def progress_rows(done: DataFrame, phase: str, total: int, order: str = "step", *others: str) -> DataFrame:
+    """(phase, completed, total, remaining, others) of each finished step, in order."""
+    return done.select(F.lit(phase).alias("phase"), F.col(order).alias("completed"), F.lit(total).alias("total"), F.greatest(F.lit(total) - F.col(order), F.lit(0)).alias("remaining"), *others)
 
 
 def write_progress(stream: DataFrame, path: str, checkpoint: str, phase: str, total: int):
-    """An NDJSON event for each micro-batch. A batch that is replayed writes its own folder again."""
+    """NDJSON events of each micro-batch: progress, and with the last one of ``total`` the result; an error event where a batch fails.
 
-    def note(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.groupBy().agg(F.count(F.lit(1)).alias("rows")).withColumn("step", F.lit(epoch + 1))
-        events = progress_rows(rows, phase, total).crossJoin(rows.select("rows"))
+    A batch that is replayed writes its own folder again.
+    """
+
+    def write(events: DataFrame, epoch: int) -> None:
         events.coalesce(1).write.mode("overwrite").json(f"{path}/epoch={epoch}")
-        spark.catalog.clearCache()
+
+    def note(batch: DataFrame, epoch: int) -> None:
+        try:
+            step = batch.agg(F.count(F.lit(1)).alias("rows")).withColumn("step", F.lit(epoch + 1))
+            done = progress_rows(step, phase, total, "step", "rows").withColumn("type", F.lit("progress"))
+            result = F.when(F.col("remaining") == 0, F.array(F.lit("progress"), F.lit("result"))).otherwise(F.array(F.lit("progress")))
+            write(done.withColumn("type", F.explode(result)), epoch)
+        except Exception as e:
+            write(batch.sparkSession.createDataFrame([("error", phase, str(e)[:300])], "type string, phase string, message string"), epoch)
+            raise
 
     return stream.writeStream.foreachBatch(note).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

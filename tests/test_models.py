@@ -153,7 +153,9 @@ def test_streams(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, stages.sentence_stage(docs).collect()))
     p = stages.write_progress(stages.read_stream(spark, str(tmp_path / "in"), docs.schema), str(tmp_path / "events"), str(tmp_path / "cp2"), "read", 3)
     p.awaitTermination(120)
-    events = spark.read.json(f"{tmp_path}/events/*").orderBy("completed").collect()
+    told = spark.read.json(f"{tmp_path}/events/*")
+    assert [(r["completed"], r["total"]) for r in told.filter("type = 'result'").collect()] == [(3, 3)]
+    events = told.filter("type = 'progress'").orderBy("completed").collect()
     assert [(r["completed"], r["remaining"]) for r in events] == [(1, 2), (2, 1), (3, 0)] and sum(r["rows"] for r in events) == docs.count()
     timed = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp_ntz("ts"))
     assert stages.windowed_counts(timed).first()["n"] == 1
