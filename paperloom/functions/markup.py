@@ -110,10 +110,12 @@ _ATX = re.compile(r"^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 _ITEM = re.compile(r"^ {0,3}(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)")
 _DELIMITER = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+#: First characters of lines that may be more than a paragraph's, and characters with which inline markup begins.
+_OPENERS, _MARKS = frozenset("`~#*-_+<>=0123456789"), re.compile(r"[\\`!\[<*_~]")
 _INLINE = re.compile(
-    r"(?P<escape>\\[!-/:-@\[-`{-~])|(?P<tick>`+)(?P<code>.+?)(?<!`)(?P=tick)(?!`)|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)]*)\)"
+    r"(?=[\\`!\[<*_~])(?:(?P<escape>\\[!-/:-@\[-`{-~])|(?P<tick>`+)(?P<code>.+?)(?<!`)(?P=tick)(?!`)|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)]*)\)"
     r"|\[(?P<text>(?:[^\[\]]|\[[^\[\]]*\]|!\[[^\]]*\]\([^)]*\))*)\]\((?P<href>[^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+[\"'(][^)]*)?\)"
-    r"|<(?P<auto>(?:https?://|mailto:)[^<>\s]+)>|(?P<mark>\*{1,3}|_{1,3}(?=\w)|(?<=\w)_{1,3}(?!\w)|~~)|(?P<tag></?[A-Za-z][^<>]*>)",
+    r"|<(?P<auto>(?:https?://|mailto:)[^<>\s]+)>|(?P<mark>\*{1,3}|_{1,3}(?=\w)|(?<=\w)_{1,3}(?!\w)|~~)|(?P<tag></?[A-Za-z][^<>]*>))",
     re.S,
 )
 
@@ -133,10 +135,13 @@ def markdown_blocks(text: str) -> list[tuple[str, str, str]]:
     while at < len(lines):
         line = lines[at]
         at += 1
-        if not line.strip():
+        bare = line.lstrip()
+        if not bare:
             close()
             continue
-        if fence := _FENCE.match(line):
+        if bare[0] not in _OPENERS and "|" not in line and line[0] not in " \t":  # nothing but a paragraph's line
+            held.append(line)
+        elif fence := _FENCE.match(line):
             close()
             body = []
             while at < len(lines) and not re.match(rf"^ {{0,3}}{re.escape(fence.group(1)[0])}{{{len(fence.group(1))},}}\s*$", lines[at]):
@@ -211,8 +216,11 @@ class _Numbers:
         return f"[{len(held) - 1}:{kind}]"
 
     def plain(self, text: str) -> str:
-        text = _URL.sub(lambda m: self.put(self.links, "LINK", m.group(0)), text)
-        return _EMAIL.sub(lambda m: self.put(self.emails, "EMAIL", m.group(0)), text) + " "
+        if "://" in text:
+            text = _URL.sub(lambda m: self.put(self.links, "LINK", m.group(0)), text)
+        if "@" in text:
+            text = _EMAIL.sub(lambda m: self.put(self.emails, "EMAIL", m.group(0)), text)
+        return text + " "
 
     def address(self, url: str, shown: str) -> str:
         if url.startswith("mailto:") and _EMAIL.match(url[7:]):
@@ -222,6 +230,8 @@ class _Numbers:
         return self.inline(shown)
 
     def inline(self, text: str) -> str:
+        if not _MARKS.search(text):
+            return self.plain(text) if text else ""
         out, run, at = [], "", 0
         for m in _INLINE.finditer(text):
             run += text[at : m.start()]

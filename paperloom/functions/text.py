@@ -49,7 +49,8 @@ def strip(text: Column) -> Column:
 
 def space(text: Column) -> Column:
     """Runs of Unicode white space become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    # a run of one plain space is one space already, so it is passed over
+    return F.trim(F.regexp_replace(text, f" {SPACE}++|[{SPACE}&&[^ ]]{SPACE}*+", " "))
 
 
 def words(text: Column) -> Column:
@@ -62,15 +63,16 @@ def n_words(text: Column) -> Column:
 
 
 def has_min_words(text: Column, more_than: int = 3) -> Column:
-    """more than three words."""
-    return n_words(text) > more_than
+    """more than three words. The search ends at the fourth, so no list of words is made."""
+    return text.rlike(rf"\A{SPACE}*+(?:[^{SPACE}]++{SPACE}++){{{more_than}}}[^{SPACE}]")
 
 
 def ascii_letter_ratio(text: Column, sample: int = 5000) -> Column:
     """ASCII letters among the letters of the first characters; null without a letter."""
-    letters = F.regexp_replace(F.substring(text, 1, sample), r"[^\p{L}]", "")
-    ascii_only = F.regexp_replace(letters, "[^A-Za-z]", "")
-    return F.try_divide(F.length(ascii_only).cast("double"), F.length(letters).cast("double"))
+    head = F.substring(text, 1, sample)
+    letters, ascii_only = (F.length(F.regexp_replace(head, run, "")).cast("double") for run in (r"[^\p{L}]++", "[^A-Za-z]++"))
+    # of bytes alone all letters are ASCII
+    return F.when(F.octet_length(head) == F.length(head), F.when(head.rlike("[A-Za-z]"), F.lit(1.0))).otherwise(F.try_divide(ascii_only, letters))
 
 
 def looks_english(text: Column, min_length: int = 50, ratio: float = 0.70) -> Column:
@@ -99,15 +101,22 @@ def is_table_row(text: Column) -> Column:
 
 def clean_item(text: Column) -> Column:
     """Citations and wrapping quotes go, white space collapses. Empty results are for the caller to drop."""
-    out = F.regexp_replace(F.regexp_replace(text, CITE_BRACKET, ""), CITE_INLINE, "")
-    return space(F.regexp_replace(out, QUOTED_ITEM, "$1"))
+    # few texts hold the characters with which these begin
+    out = F.when(F.contains(text, F.lit("[")), F.regexp_replace(text, CITE_BRACKET, "")).otherwise(text)
+    out = F.when(F.contains(text, F.lit("(")), F.regexp_replace(out, CITE_INLINE, "")).otherwise(out)
+    return space(F.when(F.contains(text, F.lit("'")), F.regexp_replace(out, QUOTED_ITEM, "$1")).otherwise(out))
 
 
 def is_bibliography(text: Column) -> Column:
     """signs of a reference, and three commas or more than 100 characters."""
     commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
-    # the cheap test first: few sentences get to the expression
-    return ((commas >= 3) | (F.length(text) > 100)) & text.rlike("(?i)(?:" + "|".join(BIBLIOGRAPHY) + ")")
+    # what every match holds is looked for first, so few texts get to the expression
+    literals = ("et al", "doi", "arxiv", "pp.", "vol.", "in proceedings of", "conference on", "journal of", "http://", "https://")
+    named = F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in literals]))
+    likely = named | text.rlike(r"\d{4}|\s[a-zA-Z]\.")
+    # where only finding counts, a word's last character stands for the word
+    found = "(?i)(?:" + "|".join(BIBLIOGRAPHY).replace(r"[\w-]+,", r"[\w-],") + ")"
+    return ((commas >= 3) | (F.length(text) > 100)) & likely & text.rlike(found)
 
 
 def is_metadata(text: Column, hits: int = 2) -> Column:

@@ -98,8 +98,11 @@ def with_centroid_scores(docs: DataFrame, centroids: DataFrame, vector_col: str
 
     A null vector gives null.
     """
-    unit = docs.withColumn("_v", V.l2_normalise(V.as_double(F.col(vector_col)))).withColumn("_c", centroid_array(centroids))
-    return unit.withColumn(name, F.array_sort(F.transform("_c", lambda c: F.struct((-V.dot(F.col("_v"), c["centroid"])).alias("neg"), c["label"].alias("label"))))).drop("_v", "_c")
+    # vector and length are columns of their own, each used more than once, so that neither is made anew for every label
+    rows = docs.withColumn("_v", V.as_double(F.col(vector_col))).withColumn("_n", F.sqrt(V.dot(F.col("_v"), F.col("_v")))).withColumn("_c", centroid_array(centroids))
+    cosine = lambda c: F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(V.dot(F.col("_v"), c["centroid"]) / F.col("_n"))
+    scored = F.transform("_c", lambda c: F.struct((-cosine(c)).alias("neg"), c["label"].alias("label")))
+    return rows.withColumn(name, F.when(F.col("_v").isNotNull(), F.array_sort(scored))).drop("_v", "_n", "_c")
 
 
 def centroid_scores(docs: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
