@@ -27,7 +27,16 @@ def test_ties_repeats_and_empty(spark):
     rows = [(None, 1, "user", "b", 0), (None, 1, "user", "a", 0), (None, 1, "user", "a", 0), (None, None, "assistant", "z", 0)]
     (r,) = read(spark, rows).collect()
     assert [x["text"] for x in r["t"]] == ["z", "a", "a", "b"]
-    assert read(spark, rows[:0] or [(0, 0, "u", "t", 0)]).filter("conv_id = 9").count() == 0
+    assert read(spark, rows[:0]).count() == 0
+    assert format_conversations(spark.createDataFrame([], f"conv_id long, turn long, role string, content array<{PART}>")).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "word <&| " * 60_000
+    names = ["conv", "parts", "pos", "seen", "line", "offset", "n_attached", "head_chars", "t", "formatted"]
+    rows = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string").selectExpr("*", *[f"'{n}' as {n}" for n in names])
+    (r,) = format_conversations(rows.withColumn("content", text_parts(F.col("text")))).withColumn("turns", parse_formatted(F.col("formatted"))).withColumn("loss", masked_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    assert [x["text"] for x in r["turns"]] == [long, long] and r["loss"] == long
 
 
 def test_typed_parts(spark):
