@@ -331,7 +331,7 @@ sql(
     r"""
     WITH s AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<script>var t="</p>";', '<script>var t="' || chr(1) || '/p>";', 'g') AS h FROM pages),
     t AS (SELECT page_id, replace(regexp_replace(regexp_replace(h, '<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), chr(1), '<') AS t FROM s),
-    u AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM t)
+    u AS (SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM t)
     SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM u
     """,
 )
