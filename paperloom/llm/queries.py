@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import LOWER, UPPER, id_remainder, table
+from .bpe_trie import encode_bpe
 from .chat import format_conversations, masked_text, parse_formatted, text_parts
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, predict_language
@@ -94,6 +95,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document and their decoding, as digests. Null and empty texts have no ids; odd rows as in bpe_tokens."""
+    return encode_bpe(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
@@ -105,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
