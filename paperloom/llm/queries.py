@@ -17,6 +17,7 @@ from .mixing import mix_sources
 from .quality import quality_rules
 from .sentencepiece_scan import encode_documents
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .toxicity import THRESHOLD, fit_toxicity, toxicity_score
 from .warc import warc_captures
 
@@ -95,6 +96,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words and forms. Null text has no words; odd rows as in spelling_variants."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document and their decoding, as digests. Null and empty texts have no ids; odd rows as in bpe_tokens."""
     return encode_bpe(table(spark, sf_dir, "documents")).select(
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_spelling": op11_spelling,
     "op13_bpe": op13_bpe,
 }
 
@@ -150,4 +157,32 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY norm)
     """,
+    # crc32 by its table, from the bytes of the text: letters from U+00C0 to U+00FF have two
+    "op11_spelling": f"""
+        WITH RECURSIVE t AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS crc FROM range(256) r(i)),
+        runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS c
+            FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]{{5,}}')) AS run FROM documents) GROUP BY ALL
+        ),
+        bytes AS (SELECT run, c, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, unicode(x) - 64] END)) AS b FROM runs),
+        hashed AS (SELECT run, c, xor(list_reduce(b, lambda h, x: xor(h >> 8, crc[xor(h & 255, x) + 1]), 4294967295), 4294967295) AS h FROM bytes, t),
+        w AS (
+            SELECT word, CAST(sum(c) AS BIGINT) AS n
+            FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM hashed)
+            WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+        ),
+        gone AS (SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS p FROM w)),
+        near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM gone a JOIN gone b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+            UNION SELECT w.word, g.word, g.n FROM w JOIN gone g ON g.rest = w.word
+            UNION SELECT g.word, w.word, w.n FROM w JOIN gone g ON g.rest = w.word
+        ),
+        best AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, other_n, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k FROM near),
+        f AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+            FROM w LEFT JOIN best ON best.word = w.word AND k = 1
+        ),
+        way AS (SELECT word, word AS at_ FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.at_ WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, at_ AS root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word JOIN f AS last ON last.word = at_ WHERE last.form IS NULL
+    """,
 }
