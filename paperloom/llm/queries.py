@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ._common import LOWER, UPPER, id_remainder, table
 from .bpe_trie import encode_bpe
 from .chat import format_conversations, masked_text, parse_formatted, text_parts
+from .collocations import collocations
 from .exact_dedup import exact_dedup
 from .langid import fit_language_model, predict_language
 from .licenses import license_scan
@@ -101,6 +102,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best collocations of each language. Null text has no words, a null language is und; odd rows as in collocations."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document and their decoding, as digests. Null and empty texts have no ids; odd rows as in bpe_tokens."""
     return encode_bpe(table(spark, sf_dir, "documents")).select(
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_spelling": op11_spelling,
+    "op12_collocations": op12_collocations,
     "op13_bpe": op13_bpe,
 }
 
@@ -185,4 +192,28 @@ ORACLE_SQL: dict[str, str] = {
         way AS (SELECT word, word AS at_ FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.at_ WHERE f.form IS NOT NULL)
         SELECT f.word, f.form, at_ AS root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word JOIN f AS last ON last.word = at_ WHERE last.form IS NULL
     """,
+    "op12_collocations": f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+        totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+        f AS (
+            SELECT lang, p, CAST(count(*) AS BIGINT) AS f
+            FROM (SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda m: list_transform(range(1, len(ws) - m + 2), lambda i: ws[i : i + m - 1])))) AS p FROM w)
+            GROUP BY lang, p HAVING count(*) >= 30
+        ),
+        cuts AS (
+            SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.f // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1) c
+            JOIN f x ON x.lang = c.lang AND x.p = c.p[:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1 :]
+        ),
+        scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        covers AS (
+            SELECT lang, q, max(f) AS longer
+            FROM (SELECT lang, f, unnest(flatten(list_transform(range(2, len(p)), lambda m: list_transform(range(1, len(p) - m + 2), lambda i: p[i : i + m - 1])))) AS q FROM f WHERE len(p) > 2)
+            GROUP BY lang, q
+        ),
+        kept AS (SELECT s.*, array_to_string(s.p, ' ') AS phrase FROM scored s LEFT JOIN covers c ON c.lang = s.lang AND c.q = s.p WHERE longer IS NULL OR 100 * longer < 80 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
 }
