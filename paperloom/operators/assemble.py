@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import values
+from ..sources.calls import Service
 from . import placeholders as P
 from .lexicon import LABELS, label_table
+from .scoring import stored_answers
 
 # --- fixed values: standing texts ------------------------------------------------------------------
 EMPTY_TEXT = "[More information needed]"
@@ -105,8 +106,8 @@ def assemble_cards(references: DataFrame, models: DataFrame, key: str = "model_i
 def generate_cards(references: DataFrame, models: DataFrame, specs: dict[str, str], generate=None, key: str = "model_id") -> DataFrame:
     """(key, sections, full_markdown, n_failed, success, error), a section for each of ``specs``, in that order.
 
-    ``generate`` maps (section, prompt) Columns to a Column of text, or to a struct (text, error); an
-    empty answer is an error too. A section without references has the standing text and asks
+    ``generate`` is a Service, or maps (section, prompt) Columns to a Column of text, or to a struct
+    (text, error); each prompt is asked once and its answer stored. An empty answer is an error too. A section without references has the standing text and asks
     nothing; a failed one shows the error's first characters. Without ``generate`` nothing leaves
     the cluster: no success, and an error instead of a card.
     """
@@ -116,12 +117,13 @@ def generate_cards(references: DataFrame, models: DataFrame, specs: dict[str, st
     rows = rows.join(references.select(key, "section", "items"), [key, "section"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     if generate is None:
         return models.select(key).distinct().select(key, F.lit(None).cast("map<string,string>").alias("sections"), F.lit("").alias("full_markdown"), F.lit(0).cast("long").alias("n_failed"), F.lit(False).alias("success"), F.lit(NOT_CONFIGURED).alias("error"))
-    asked = rows.withColumn("prompt", F.when(F.size("items") > 0, generation_prompt(F.col("section"), F.col("spec"), F.col("items"))))
-    asked = asked.withColumn("_told", generate(F.col("section"), F.col("prompt")))
-    if not isinstance(asked.schema["_told"].dataType, T.StructType):
-        asked = asked.withColumn("_told", F.struct(F.col("_told").alias("text"), F.lit(None).cast("string").alias("error")))
-    text = F.trim(F.coalesce("_told.text", F.lit("")))
-    error = F.when(F.size("items") > 0, F.coalesce(F.col("_told.error"), F.when(text == "", F.lit(EMPTY_ANSWER))))
+    empty = F.size("items") == 0
+    asked = rows.filter(~empty).withColumn("prompt", generation_prompt(F.col("section"), F.col("spec"), F.col("items")))
+    told = stored_answers(asked, generate if isinstance(generate, Service) else lambda prompt: generate(F.col("section"), prompt), names=("text", "error"))
+    none = rows.filter(empty).select(key, "section_ord", "section", "items", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("error"))
+    asked = told.select(none.columns).union(none)
+    text = F.trim(F.coalesce("text", F.lit("")))
+    error = F.when(F.size("items") > 0, F.coalesce("error", F.when(text == "", F.lit(EMPTY_ANSWER))))
     shown = asked.withColumn("_error", error).withColumn("_text", section_text(F.col("section"), F.col("items"), text, F.col("_error")))
     got = shown.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section_ord", "section", F.col("_text").alias("text")))).alias("s"), F.count("_error").alias("n_failed"))
     return got.select(key, F.map_from_entries(F.transform("s", lambda x: F.struct(x["section"], x["text"]))).alias("sections"), F.array_join(F.transform("s", lambda x: x["text"]), "\n\n").alias("full_markdown"), "n_failed", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))

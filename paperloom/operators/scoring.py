@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values
-from .lexicon import checklist_table
+from ..lineage import cut
+from ..sources.calls import Service
+from .lexicon import CHECKLIST, checklist_table
 
 # --- fixed values: the prompt's wording -----------------------------------------------------------
 INSTRUCTIONS = """<instructions>
@@ -86,28 +88,54 @@ def fill_and_score(items: DataFrame, models: DataFrame, key: str = "model_id") -
     return scored.unionByName(zero)
 
 
+def stored_answers(prompts: DataFrame, score=None, by: str = "prompt", names: tuple[str, ...] = ("answer", "error")) -> DataFrame:
+    """Prompts with their answer and error, each asked once and stored, so that what reads them asks nothing.
+
+    ``score`` is a Service, or maps a prompt Column to a Column of text or of a struct of ``names``;
+    without one the error tells so.
+    """
+    if isinstance(score, Service):
+        told = score.answers(prompts, by).withColumnRenamed("answer", names[0]).drop("attempts")
+        return cut(told)
+    value = score(F.col(by)) if score else F.struct(F.lit(None).cast("string").alias(names[0]), F.lit(NOT_CONFIGURED).alias(names[1]))
+    told = prompts.withColumn("_told", value)
+    if not isinstance(told.schema["_told"].dataType, T.StructType):
+        told = told.withColumn("_told", F.struct(F.col("_told").cast("string").alias(names[0]), F.lit(None).cast("string").alias(names[1])))
+    return cut(told.select("*", *[F.col(f"_told.{n}").alias(n) for n in names]).drop("_told"))
+
+
+def zero_items(section: Column) -> Column:
+    """All points of a section at 0, as its items."""
+    item = lambda x: F.struct(values.point_number(F.lit(x)).alias("point_number"), F.lit(0.0).alias("score"))
+    return F.create_map(*[c for name, items in CHECKLIST.items() for c in (F.lit(name), F.array(*map(item, items)))])[section]
+
+
 def evaluate(references: DataFrame, models: DataFrame, score=None, key: str = "model_id", files: DataFrame | None = None) -> DataFrame:
-    """(key, success, error, total_score, section_scores, scores_by_point) of each model.
+    """(key, success, error, total_score, section_scores, scores_by_point) of each model of either table.
 
-    ``score`` maps a prompt Column to a Column of RESPONSE_SCHEMA as JSON text, or to a struct (answer,
-    error); without one, and where an error is stated, the model's evaluation is no success, has the
-    first error in checklist order and no scores. Sections in the order of the checklist.
+    ``score``: see stored_answers; its answers are RESPONSE_SCHEMA as JSON text. Without one, and where
+    an error is stated, the model's evaluation is no success, has the first error in checklist order and
+    no scores. Sections in the order of the checklist; a section without any item has its points at 0;
+    of a point that comes twice the last one counts in the total, both in the section.
     """
     prompts = build_prompts(references, key, files if files is not None else models.select(key).distinct().withColumn("files", F.array().cast("array<string>")))
-    told = score(F.col("prompt")) if score else F.struct(F.lit(None).cast("string").alias("answer"), F.lit(NOT_CONFIGURED).alias("error"))
-    answers = prompts.withColumn("_told", told)
-    if not isinstance(answers.schema["_told"].dataType, T.StructType):
-        answers = answers.withColumn("_told", F.struct(F.col("_told").cast("string").alias("answer"), F.lit(None).cast("string").alias("error")))
-    answers = answers.select(key, "section_ord", "section", "_told.answer", "_told.error")
-    errors = answers.groupBy(key).agg(F.min(F.when(F.col("error").isNotNull(), F.struct("section_ord", "error")))["error"].alias("error"))
-    filled = fill_and_score(read_answers(answers.filter("error is null"), key), models, key)
-    order = checklist_table(references.sparkSession).select("section", "section_ord").distinct()
-    sums = section_scores(filled, key).join(order, "section")
-    by_section = sums.groupBy(key).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("section_ord", "section", "score"))), lambda x: F.struct(x["section"], x["score"]))).alias("section_scores"))
-    points = last_scores(filled, key).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("point_number", "score")))).alias("scores_by_point"), F.round(F.sum("score"), 3).alias("total_score"))
-    joined = errors.join(by_section, key, "left").join(points, key, "left")
+    answers = stored_answers(prompts, score)
+    read = F.transform(values.parse_scorer_output(F.col("answer")), lambda e: F.struct(e["point_number"].alias("point_number"), values.score_or_zero(e["score"].cast("string")).alias("score")))
+    items = answers.select(key, "section_ord", "section", "error", read.alias("items")).withColumn("items", F.when(F.size("items") > 0, F.col("items")).otherwise(zero_items(F.col("section"))))
+    told = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section_ord", "section", "error", "items"))).alias("s"))
+    add = lambda xs: F.round(F.aggregate(xs, F.lit(0.0), lambda n, x: n + x), 3)
+    every = F.flatten(F.col("s.items"))
+    points = F.transform(F.array_sort(F.array_distinct(every["point_number"])), lambda p: F.struct(p.alias("point"), F.element_at(F.filter(F.col("every"), lambda x: x["point_number"].eqNullSafe(p)), -1)["score"].alias("score")))
+    scored = told.withColumn("error", F.get(F.filter(F.col("s.error"), lambda e: e.isNotNull()), F.lit(0))).withColumn("every", every).withColumn("points", points)
     ok = F.col("error").isNull()
-    return joined.select(key, ok.alias("success"), "error", *[F.when(ok, F.col(c)).alias(c) for c in ("total_score", "section_scores", "scores_by_point")])
+    return scored.select(
+        key,
+        ok.alias("success"),
+        "error",
+        F.when(ok, add(F.col("points.score"))).alias("total_score"),
+        F.when(ok, F.map_from_entries(F.transform("s", lambda x: F.struct(x["section"], add(x["items"]["score"]))))).alias("section_scores"),
+        F.when(ok, F.map_from_entries(F.filter("points", lambda x: x["point"].isNotNull()))).alias("scores_by_point"),
+    )
 
 
 def last_scores(items: DataFrame, key: str = "model_id") -> DataFrame:

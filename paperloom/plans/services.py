@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import markup, values
 from ..functions import text as T
 from ..operators import assemble, cards, classify, documents, placeholders, ranking, scoring
 from ..operators.lexicon import BENEFICIAL_PAIRS, CHECKLIST, LABELS, PHRASES
-from ..sources import retrieval
+from ..sources import calls, retrieval
 from ..sources.readers import read_table
 from . import oracle as O
 from .oracle import q
@@ -201,6 +202,40 @@ sql(
 )
 
 
+def _flaky(request: str) -> str | None:
+    """A service that refuses, fails, stalls or says nothing to stated documents, and answers the others; told by what stands before the colon."""
+    number, _, said = request.partition(":")
+    n = int(number)
+    if n % 500 == 7:
+        time.sleep(60)
+    if n % 50 == 1:
+        raise calls.Refused(f"no {n}")
+    if n % 50 == 2:
+        raise ValueError(f"down {n}")
+    return None if n % 50 == 3 else said.upper()
+
+
+@query
+def external_calls(spark, sf_dir):
+    """One call for each different request, with deadline, retries and errors. Every fourth document asks what its predecessor asks."""
+    asked = F.col("doc_id") - F.when(F.col("doc_id") % 4 == 3, 1).otherwise(0)
+    rows = docs(spark, sf_dir).select("doc_id", F.concat(asked.cast("string"), F.lit(":"), F.md5(asked.cast("string").cast("binary"))).alias("prompt"))
+    policy = calls.CallPolicy(seconds=2.0, attempts=2, wait=0.05, at_once=16)
+    return calls.with_answers(rows, _flaky, policy).select("doc_id", "answer", "error", "attempts")
+
+
+sql(
+    "external_calls",
+    """
+    WITH r AS (SELECT doc_id, doc_id - CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 0 END AS n FROM documents)
+    SELECT doc_id, CASE WHEN n % 500 = 7 OR n % 50 IN (1, 2, 3) THEN NULL ELSE upper(md5(CAST(n AS VARCHAR))) END AS answer,
+        CASE WHEN n % 500 = 7 THEN 'call timed out' WHEN n % 50 = 1 THEN 'Refused: no ' || n WHEN n % 50 = 2 THEN 'ValueError: down ' || n END AS error,
+        CAST(CASE WHEN n % 500 = 7 OR n % 50 = 2 THEN 2 ELSE 1 END AS INTEGER) AS attempts
+    FROM r
+    """,
+)
+
+
 # --- retrieval and views ------------------------------------------------------------------------------
 @query
 def retrieve_models(spark, sf_dir):
