@@ -11,9 +11,11 @@ from ..functions import links as L
 from ..functions import markup, values
 from ..functions import text as T
 from ..operators import assemble, cards, classify, documents, placeholders, ranking, scoring
+from ..lineage import working_folder
 from ..operators.lexicon import BENEFICIAL_PAIRS, CHECKLIST, LABELS, PHRASES
 from ..sources import calls, retrieval
 from ..sources.readers import read_table
+from ..streaming import cache
 from . import oracle as O
 from .oracle import q
 from .queries import _turns, card_rows, digest, docs, query
@@ -236,6 +238,28 @@ sql(
 )
 
 
+# --- streams -------------------------------------------------------------------------------------------
+@query
+def stream_cache(spark, sf_dir):
+    """The last event of each user and type, small values deleting, from files that come in any order, read from the stream's state."""
+    events = read_table(spark, sf_dir, "events")
+    folder = working_folder(spark, "events")
+    file = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    events.withColumn("file", file).repartition(3, "file").drop("file").write.parquet(f"{folder}/in")
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").withColumns({"modified": F.col("ts").cast("timestamp"), "place": F.col("event_id")})
+    changes = cache.follow(rows.select("event_id", "value", "user_id", "event_type", "modified", "place"), F.concat_ws("/", "user_id", "event_type"), F.col("value") < 5)
+    cache.run_changes(changes, f"{folder}/changes", f"{folder}/state")
+    return cache.read_cache(spark, f"{folder}/state", "event_id long, value double").select("cache_key", "event_id", "value")
+
+
+sql(
+    "stream_cache",
+    """SELECT cache_key, event_id, value FROM (
+        SELECT user_id || '/' || event_type AS cache_key, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1
+    ) WHERE value >= 5""",
+)
+
+
 # --- retrieval and views ------------------------------------------------------------------------------
 @query
 def retrieve_models(spark, sf_dir):
