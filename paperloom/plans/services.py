@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import unicodedata
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import links as L
@@ -15,7 +16,7 @@ from ..lineage import working_folder
 from ..operators.lexicon import BENEFICIAL_PAIRS, CHECKLIST, LABELS, PHRASES
 from ..sources import calls, retrieval
 from ..sources.readers import read_table
-from ..streaming import cache
+from ..streaming import cache, progress
 from . import oracle as O
 from .oracle import q
 from .queries import _turns, card_rows, digest, docs, query
@@ -260,6 +261,39 @@ sql(
 )
 
 
+@query
+def stream_progress(spark, sf_dir):
+    """Events of each conversation's turns as steps, from files in any order, through state and the sink, read back."""
+    turns = read_table(spark, sf_dir, "conversations")
+    of = Window.partitionBy("conv_id")
+    steps = turns.select("conv_id", F.row_number().over(of.orderBy("turn")).alias("step"), F.col("role").alias("section"), F.when(F.length("text") % 11 == 0, F.concat(F.lit("length "), F.length("text").cast("string"))).alias("error"), F.count(F.lit(1)).over(of).alias("total"))
+    folder = working_folder(spark, "steps")
+    steps.withColumn("file", F.pmod(F.xxhash64("conv_id", "step"), F.lit(3))).repartition(3, "file").drop("file").write.parquet(f"{folder}/in")
+    rows = spark.readStream.schema("conv_id long, step int, section string, error string, total long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    progress.write_events(progress.ordered_events(rows, F.col("conv_id")), f"{folder}/events", f"{folder}/state")
+    return progress.read_events(spark, f"{folder}/events").drop("batch")
+
+
+sql(
+    "stream_progress",
+    """
+    WITH t AS (SELECT conv_id, row_number() OVER w AS step, role AS section, CASE WHEN length(text) % 11 = 0 THEN 'length ' || length(text) END AS error, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    e AS (SELECT *, min(step) FILTER (error IS NOT NULL) OVER (PARTITION BY conv_id) AS bad FROM t),
+    k AS (SELECT DISTINCT conv_id, total, bad FROM e),
+    v(key, o, p, type, stage, section, completed, total, message) AS (
+        SELECT conv_id, 0, 0, 'progress', 'start', NULL, 0, total, 'Scoring ' || total || ' checklist sections.' FROM k
+        UNION ALL SELECT conv_id, step, 1, 'progress', 'begin', section, step - 1, total, 'Scoring section ' || step || '/' || total || ': ' || section || ' (' || (total - step + 1) || ' remaining).' FROM e WHERE bad IS NULL OR step <= bad
+        UNION ALL SELECT conv_id, step, 2, 'progress', 'end', section, step, total, 'Finished section ' || step || '/' || total || ': ' || section || ' (' || (total - step) || ' remaining).' FROM e WHERE bad IS NULL OR step < bad
+        UNION ALL SELECT conv_id, step, 2, 'progress', 'error', section, step - 1, total, 'Scoring failed at section ' || step || '/' || total || ': ' || section || ' (' || error || ').' FROM e WHERE step = bad
+        UNION ALL SELECT conv_id, step, 3, 'error', 'failed', section, step - 1, total, error FROM e WHERE step = bad
+        UNION ALL SELECT conv_id, total + 1, 1, 'progress', 'complete', NULL, total, total, 'Scoring complete.' FROM k WHERE bad IS NULL
+        UNION ALL SELECT conv_id, total + 1, 2, 'result', 'result', NULL, total, total, '' FROM k WHERE bad IS NULL
+    )
+    SELECT CAST(key AS VARCHAR) AS key, row_number() OVER (PARTITION BY key ORDER BY o, p) AS seq, type, 'scoring' AS phase, stage, section, CAST(completed AS BIGINT) AS completed, CAST(total AS BIGINT) AS total, CAST(total - completed AS BIGINT) AS remaining, message FROM v
+    """,
+)
+
+
 # --- retrieval and views ------------------------------------------------------------------------------
 @query
 def retrieve_models(spark, sf_dir):

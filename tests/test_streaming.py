@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from paperloom.streaming import cache
+from paperloom.streaming import cache, progress
 
 SCHEMA = "k string, v long, at timestamp, n long, gone boolean"
 
@@ -60,3 +60,76 @@ def test_files_are_versions(spark, tmp_path):
     go()
     assert {r["cache_key"]: r["v"] for r in cache.read_cache(spark, str(tmp_path / "state"), "v long").collect()} == {"x": 2, "y": 3, "q": 8}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != cache.PROVIDER
+
+
+STEPS = "k string, step int, section string, error string, total int"
+
+
+def stream_events(spark, folder):
+    rows = spark.readStream.schema(STEPS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+    progress.write_events(progress.ordered_events(rows, F.col("k")), f"{folder}/events", f"{folder}/state")
+    return progress.read_events(spark, f"{folder}/events").orderBy("key", "seq").collect()
+
+
+def put_steps(spark, folder, name, rows):
+    spark.createDataFrame(rows, STEPS).coalesce(1).write.parquet(f"{folder}/in/{name}")
+
+
+def expected(key, sections, error=None):
+    """Events of a key whose steps come one by one; ``error``: step and text."""
+    n, out = len(sections), []
+    add = lambda *a: out.append(progress.event(key, len(out) + 1, "scoring", *a))
+    add("start", 0, n)
+    for i, s in enumerate(sections, 1):
+        add("begin", i, n, s)
+        if error and error[0] == i:
+            add("error", i, n, s, error[1])
+            add("failed", i, n, s, error[1])
+            return out
+        add("end", i, n, s)
+    add("complete", n, n)
+    add("result", n, n)
+    return out
+
+
+def test_events_leave_in_order_and_end_once(spark, tmp_path):
+    put_steps(spark, tmp_path, "a", [("m", 3, "C", None, 3), ("m", 2, "B", None, 3), ("bad", 2, "B", "down", 3), (None, 1, "A", None, 1), ("none", 0, None, None, 0), ("m", 9, "X", None, 3)])
+    first = stream_events(spark, str(tmp_path))
+    assert [(r["key"], r["stage"]) for r in first] == [("bad", "start"), ("m", "start"), ("none", "start"), ("none", "complete"), ("none", "result")]
+    put_steps(spark, tmp_path, "b", [("m", 1, "A", None, 3), ("m", 2, "again", None, 3), ("bad", 3, "C", None, 3)])
+    put_steps(spark, tmp_path, "c", [("bad", 1, "A", None, 3), ("m", 1, "late", None, 3)])
+    got = [{k: v for k, v in r.asDict().items() if k != "batch"} for r in stream_events(spark, str(tmp_path))]
+    held = [r for r in got if r["key"] == "m"]
+    assert [r["stage"] for r in held] == ["start", "begin", "end", "begin", "end", "begin", "end", "complete", "result"]
+    assert [r["section"] for r in held if r["stage"] == "end"] == ["A", "again", "C"], "of a step that comes again in another batch, what came with its turn counts"
+    assert [r for r in got if r["key"] == "bad"] == expected("bad", ["A", "B", "C"], (2, "down"))
+    for key in ("m", "bad", "none"):
+        mine = [r for r in got if r["key"] == key]
+        assert [r["seq"] for r in mine] == list(range(1, len(mine) + 1)) and sum(r["type"] != "progress" for r in mine) == 1
+
+
+def test_a_replayed_batch_writes_no_event_twice(spark, tmp_path):
+    put_steps(spark, tmp_path, "a", [("m", 1, "A", None, 2), ("m", 2, "B", None, 2)])
+    before = stream_events(spark, str(tmp_path))
+    assert [{k: v for k, v in r.asDict().items() if k != "batch"} for r in before] == expected("m", ["A", "B"])
+    # the query dies after the sink's commit and before its own: the batch runs again
+    commits = tmp_path / "state" / "commits"
+    for name in os.listdir(commits):
+        if name.strip(".").startswith("0"):
+            os.remove(commits / name)
+    assert stream_events(spark, str(tmp_path)) == before
+    assert len(os.listdir(tmp_path / "events" / progress.PARTS)) == 1, "the files of the second run are gone"
+
+
+def test_a_batch_killed_between_the_phases_leaves_nothing_to_read(spark, tmp_path):
+    row = lambda seq: spark.createDataFrame([tuple(progress.event("m", seq, "scoring", "start", 0, 2).values())], progress.EVENT).first()
+    sink = progress.EventWriter(str(tmp_path), [])
+    lost = sink.write(iter([row(1)]))  # the task ran, the driver died
+    sink.commit([sink.write(iter([row(2), row(1)])), sink.write(iter([])), None], 0)
+    assert [r["seq"] for r in progress.read_events(spark, str(tmp_path)).orderBy("seq").collect()] == [1, 2]
+    again = sink.write(iter([row(1)]))
+    sink.commit([again], 0)
+    sink.abort([sink.write(iter([row(5)]))], 1)
+    sink.commit([sink.write(iter([row(3)]))], 1)
+    assert [(r["batch"], r["seq"]) for r in progress.read_events(spark, str(tmp_path)).orderBy("seq").collect()] == [(0, 1), (0, 2), (1, 3)]
+    assert lost.name in os.listdir(tmp_path / progress.PARTS) and again.name not in os.listdir(tmp_path / progress.PARTS)
