@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import links as L
 from ..functions import markup, values
 from ..functions import text as T
-from ..operators import assemble, cards, classify, documents, placeholders, ranking, scoring
+from ..operators import assemble, cards, classify, documents, placeholders, ranking, scoring, sentences
 from ..lineage import working_folder
 from ..operators.lexicon import BENEFICIAL_PAIRS, CHECKLIST, LABELS, PHRASES
 from ..sources import calls, retrieval
@@ -239,6 +239,92 @@ sql(
 )
 
 
+# --- trained sentences -----------------------------------------------------------------------------------
+#: Texts with abbreviations of several kinds put before small and large words.
+ABBREVIATED = "replace(replace(replace(replace(coalesce(text, ''), ' of ', ' of ca. '), ' de ', ' de s.a. '), ' and ', ' and Dr. Meyer '), ' der ', ' der z.B. ')"
+
+
+def _abbreviated(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.expr(ABBREVIATED).alias("text"))
+
+
+@query
+def sentence_statistics(spark, sf_dir):
+    """Abbreviations, sentence starters and pairs over a period, with their statistics, learnt from all texts."""
+    got = sentences.sentence_statistics(_abbreviated(spark, sf_dir))
+    return (
+        got.abbreviations.select(F.lit("abbreviation").alias("kind"), F.col("type").alias("first"), F.lit("").alias("second"), F.col("n_dot").alias("n"), F.round("score", 3).alias("score"))
+        .union(got.starters.select(F.lit("starter"), "type", F.lit(""), "n_at_break", F.round("score", 3)))
+        .union(got.pairs.select(F.lit("pair"), "first", "second", "both", F.round("score", 3)))
+    )
+
+
+@query
+def trained_sentences(spark, sf_dir):
+    """Sentences of all texts by the model learnt from these; n_short counts those that end with an abbreviation put in."""
+    texts = _abbreviated(spark, sf_dir)
+    model = sentences.sentence_statistics(texts).model()
+    s = sentences.trained_sentences(model, F.col("text"))
+    return texts.select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.size(F.filter("s", lambda x: x.rlike(r" (ca|s\.a|Dr|z\.B)\.$"))).cast("long").alias("n_short"), digest(F.col("s")).alias("digest"))
+
+
+_LL = "-2 * (({b} * ln(p) + ({a} - {b}) * ln(1 - p)) + (({c} - {b}) * ln(p) + (total - {a} - {c} + {b}) * ln(1 - p)) - (CASE WHEN p1 > 0 AND p1 < 1 THEN {b} * ln(p1) + ({a} - {b}) * ln(1 - p1) ELSE 0 END) - (CASE WHEN p2 > 0 AND p2 < 1 THEN ({c} - {b}) * ln(p2) + (total - {a} - {c} + {b}) * ln(1 - p2) ELSE 0 END))"
+_WORD_COLUMNS = r"""CASE WHEN regexp_matches(regexp_replace(core, '\.$', ''), '^[0-9][0-9.,]*$') THEN '##' ELSE lower(regexp_replace(core, '\.$', '')) END AS type, ends_with(core, '.') AS dot, regexp_matches(core, '^\p{Lu}') AS upper"""
+_CORE = f"regexp_replace(x, {q(sentences.AROUND)}, '', 'g')"
+SENTENCE_TABLES = rf"""
+    texts AS (SELECT doc_id, {ABBREVIATED} AS text FROM documents),
+    cores AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), lambda x: {_CORE}), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS c FROM texts),
+    raw AS (SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS core FROM cores),
+    w AS (SELECT doc_id, i, {_WORD_COLUMNS} FROM raw),
+    n AS (SELECT type, count(*) FILTER (dot) AS n_dot, count(*) FILTER (NOT dot) AS n_plain, count(*) AS n, count(*) FILTER (NOT upper) AS n_lower FROM w GROUP BY type),
+    z AS (SELECT CAST(sum(n) AS DOUBLE) AS total, CAST(sum(n_dot) AS DOUBLE) / sum(n) AS rate FROM n),
+    k AS (SELECT type, n_dot, n_plain, n_dot + n_plain AS n, rate, length(type) - length(replace(type, '.', '')) + 1 AS inside FROM n, z WHERE type <> '##' AND n_dot > 0 AND regexp_matches(type, '\p{{L}}') AND NOT (length(type) = 1 AND regexp_matches(type, '\p{{L}}'))),
+    abbreviations AS (
+        SELECT type, n_dot, -2 * (n_dot * ln(rate) + n_plain * ln(1 - rate) - (n_dot * ln(0.99) + n_plain * ln(1 - 0.99))) * exp(-(length(type) - inside + 2)) * inside * pow(CAST(length(type) - inside + 2 AS DOUBLE), -n_plain) AS score FROM k WHERE score >= 0.3
+    ),
+    p AS (SELECT type AS first, dot, lead(type) OVER v AS second, lead(upper) OVER v AS upper FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+    o AS (SELECT p.*, a.type IS NOT NULL AS known, length(first) = 1 AND regexp_matches(first, '\p{{L}}') OR first = '##' AS loose FROM p LEFT JOIN abbreviations a ON a.type = first WHERE second IS NOT NULL),
+    breaks AS (SELECT CAST(count(*) FILTER (dot AND NOT known) AS DOUBLE) AS breaks FROM o),
+    at_break AS (SELECT second AS type, count(*) FILTER (dot AND NOT known AND NOT loose) AS b, bool_or(upper AND NOT dot) AS inside, bool_or(dot AND (known OR loose)) AS follows FROM o GROUP BY second),
+    s1 AS (SELECT type, b, n, breaks, total, n / total AS p, b / breaks AS p1, (n - b) / (total - breaks) AS p2 FROM at_break JOIN n USING (type), z, breaks WHERE b > 0 AND regexp_matches(type, '^\p{{L}}+$')),
+    starters AS (SELECT type, b, {_LL.format(a='breaks', b='b', c='n')} AS score FROM s1 WHERE total * b > n * breaks AND score >= 30),
+    s2 AS (SELECT first, second, count(*) AS nb FROM o WHERE dot AND (known OR loose) AND second NOT IN (SELECT type FROM starters) GROUP BY first, second HAVING count(*) > 1),
+    s3 AS (SELECT first, second, nb, x.n AS n1, y.n AS n2, total, y.n / total AS p, nb / x.n AS p1, (y.n - nb) / (total - x.n) AS p2 FROM s2 JOIN n x ON x.type = first JOIN n y ON y.type = second, z WHERE nb <= least(x.n, y.n)),
+    pairs AS (SELECT first, second, nb, {_LL.format(a='n1', b='nb', c='n2')} AS score FROM s3 WHERE total * nb > n1 * n2 AND score >= 7.88)"""
+sql(
+    "sentence_statistics",
+    f"WITH {SENTENCE_TABLES} SELECT 'abbreviation' AS kind, type AS first, '' AS second, n_dot AS n, round(score, 3) AS score FROM abbreviations UNION ALL SELECT 'starter', type, '', b, round(score, 3) FROM starters UNION ALL SELECT 'pair', first, second, nb, round(score, 3) FROM pairs",
+)
+sql(
+    "trained_sentences",
+    rf"""
+    WITH {SENTENCE_TABLES},
+    parts AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS l FROM texts),
+    r AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS part FROM parts),
+    e AS (SELECT *, regexp_extract_all(part, '[^ \t\n\x0B\f\r]+') AS t FROM r),
+    f AS (SELECT doc_id, i, part, lag(t[-1]) OVER v AS before, t[1] AS after FROM e WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+    g AS (SELECT doc_id, i, part, before, {_CORE.replace('(x,', '(before,')} AS core, {_CORE.replace('(x,', '(after,')} AS core2 FROM f),
+    h AS (SELECT doc_id, i, part, before, regexp_matches(core, '[\p{{L}}\p{{N}}]') AND ends_with(core, '.') AS asked, {_WORD_COLUMNS.replace('AS type', 'AS a').replace('AS dot', 'AS dot').replace('AS upper', 'AS a_upper')},
+        CASE WHEN regexp_matches(core2, '[\p{{L}}\p{{N}}]') THEN CASE WHEN regexp_matches(regexp_replace(core2, '\.$', ''), '^[0-9][0-9.,]*$') THEN '##' ELSE lower(regexp_replace(core2, '\.$', '')) END ELSE '' END AS b, regexp_matches(core2, '^\p{{Lu}}') AS b_upper FROM g),
+    m AS (
+        SELECT h.*, x.type IS NOT NULL AS abbreviation, length(a) = 1 AND regexp_matches(a, '\p{{L}}') AS initial, y.first IS NOT NULL AS paired, s.type IS NOT NULL AS starter,
+            coalesce(k.n_lower > 0 AND c.follows, false) AS lower_seen, coalesce(c.inside AND c.follows, false) AS inside_seen
+        FROM h LEFT JOIN abbreviations x ON x.type = h.a LEFT JOIN pairs y ON y.first = h.a AND y.second = h.b LEFT JOIN starters s ON s.type = h.b LEFT JOIN at_break c ON c.type = h.b LEFT JOIN n k ON k.type = h.b
+    ),
+    cuts AS (
+        SELECT *, CASE WHEN before IS NULL OR NOT asked THEN true WHEN NOT (abbreviation OR initial OR a = '##') THEN true WHEN paired THEN false
+            WHEN abbreviation AND NOT initial THEN b_upper AND (starter OR lower_seen AND NOT inside_seen)
+            WHEN NOT b_upper THEN false WHEN lower_seen AND NOT inside_seen THEN true ELSE NOT (initial AND NOT lower_seen) END AS cut
+        FROM m
+    ),
+    u AS (SELECT doc_id, i, part, sum(CAST(cut AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM cuts),
+    v AS (SELECT doc_id, no, string_agg(part, ' ' ORDER BY i) AS s FROM u GROUP BY doc_id, no),
+    done AS (SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(s, ' (ca|s\.a|Dr|z\.B)\.$')) AS n_short, md5(string_agg(s, chr(10) ORDER BY no)) AS digest FROM v GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n, coalesce(n_short, 0) AS n_short, coalesce(digest, md5('')) AS digest FROM documents LEFT JOIN done USING (doc_id)
+    """,
+)
+
+
 # --- streams -------------------------------------------------------------------------------------------
 @query
 def stream_cache(spark, sf_dir):
