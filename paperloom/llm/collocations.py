@@ -1,15 +1,16 @@
 """Phrase collocation mining by pattern growth over projected occurrences (operator 12).
 
-Words are counted first. Each occurrence of a frequent word is then projected: a pointer to it carries
-the words that follow in its piece, up to the longest phrase and not past an infrequent word, since no
-frequent phrase reaches over one. All pointers of a prefix go to one task, in the order of the words
-that follow. Walking them in this order is the depth-first growth of the prefix: the pointers of each
-longer prefix lie together, their number is its support, and only the open prefixes are held. So a
-task's memory does not grow with its pointers.
-
-A prefix that holds a large share of all pointers is not one task's work: its pointers are dealt by the
-next longer prefix, as often as needed, and its own support is summed over tasks. Which prefixes these
-are is estimated on a sample; this moves work, never results.
+Words are counted first. Each occurrence of a frequent word that another follows is then projected: a
+pointer to it carries the words that follow in its piece, up to the longest phrase and not past an
+infrequent word, since no frequent phrase reaches over one. All pointers of a two-word prefix go to one
+task and lie together there. A prefix without support ends at once; the pointers of the others are put
+in the order of the words that follow, which is the depth-first growth of the prefix: those of each
+longer prefix lie together, and their number is its support. A task holds the pointers of a prefix at
+a time.
+
+A prefix that holds too many pointers for that, or a large share of all, is dealt by the next longer
+prefix, as often as needed, and its own support is summed over tasks. Which prefixes these are is
+estimated on a sample; this moves work, never results.
 
 Words are told by a 64-bit hash of language and word. That no two counted words share one is checked,
 and another seed taken if they do.
@@ -35,10 +36,12 @@ UNKNOWN = "und"
 LONGEST = 4
 #: Bits of the map of frequent words: 2 MB at any size of the corpus; what it lets pass wrongly is dropped by its support.
 MAP_BITS = 24
-#: A prefix with more than this part of all pointers is dealt by longer prefixes.
-HEAVY_SHARE = 1 / 2_000
-#: Words of the sample that tells heavy prefixes.
-SAMPLE_WORDS = 5_000_000
+#: A prefix with more than this part of all pointers, or more than so many, is dealt by longer prefixes.
+HEAVY_SHARE, MAX_RUN = 1 / 2_000, 2_000_000
+#: Words, and least part of all words, of the sample that tells heavy prefixes.
+SAMPLE_WORDS, SAMPLE_SHARE = 2_000_000, 1 / 2_000
+#: Pointers that a task gathers before it grows prefixes.
+BLOCK = 400_000
 #: Words a language and languages whose numbers a task keeps, and words turned into pointers at a time.
 MAX_CACHE = 200_000
 MAX_LANGS = 8
@@ -111,18 +114,25 @@ def projected(batch: pa.RecordBatch, seed: int, bits: bytes, known: dict[str, Nu
     cut_words = regex.compile(f"[{BREAKS}]+|[^{BLANKS}{BREAKS}]+")
     held: list[int] = []
     for lang, text in zip(batch.column(0), batch.column(1)):
-        name = lang.as_py()
+        name, text = lang.as_py(), text.as_py()
         if name not in known:
             if len(known) >= MAX_LANGS:
                 known.clear()
             known[name] = Numbers(name, seed, bits)
-        found = cut_words.finditer(text.as_py())
-        while part := [m.group() for m in itertools.islice(found, STEP_WORDS)]:
-            held += map(known[name].__getitem__, part)
-            if len(held) > STEP_WORDS:
-                yield pointers(held)
-                held = held[1 - LONGEST :]
+        number = known[name].__getitem__
+        if len(text) <= STEP_WORDS:
+            held += map(number, cut_words.findall(text))
+        else:
+            found = cut_words.finditer(text)
+            while part := [m.group() for m in itertools.islice(found, STEP_WORDS)]:
+                held += map(number, part)
+                if len(held) > STEP_WORDS:
+                    yield pointers(held)
+                    held = held[1 - LONGEST :]
         held += [0] * LONGEST
+        if len(held) > STEP_WORDS:
+            yield pointers(held)
+            held = [0] * LONGEST
     if held:
         yield pointers(held)
 
@@ -144,109 +154,121 @@ def summed(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dealt(w: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pointers with the hash of the prefix that they are dealt by, the shortest that is not heavy, and their numbers.
+    """Pointers with the length of the prefix that they are dealt by, the shortest of two words or more that is not heavy, and their numbers.
 
     Equal pointers are summed where even their three first words are heavy.
     """
-    n = np.ones(len(w), np.int64)
+    n, depth = np.ones(len(w), np.int64), np.full(len(w), 2)
     if not len(heavy) or not len(w):
-        return w, prefix_hashes(w)[:, 0], n
+        return w, depth, n
     h = prefix_hashes(w)
-    depth = np.zeros(len(w), np.int64)
-    for k in range(LONGEST - 1):
-        depth += (depth == k) & np.isin(h[:, k], heavy)
-    deep = depth == LONGEST - 1
+    for k in range(1, LONGEST - 1):
+        depth += (depth == k + 1) & np.isin(h[:, k], heavy)
+    deep = depth == LONGEST
     if deep.any():
         again, counts = summed(w[deep])
-        w, n = np.concatenate([w[~deep], again]), np.concatenate([n[~deep], counts])
-        h, depth = np.concatenate([h[~deep], prefix_hashes(again)]), np.concatenate([depth[~deep], np.full(len(again), LONGEST - 1)])
-    return w, h[np.arange(len(w)), depth], n
-
-
-def grown(blocks: Iterator[tuple[np.ndarray, np.ndarray]], heavy: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Phrases of two words and more with their support, from pointers in order: of each length one phrase is open at a time.
+        w, n, depth = np.concatenate([w[~deep], again]), np.concatenate([n[~deep], counts]), np.concatenate([depth[~deep], np.full(len(again), LONGEST)])
+    return w, depth, n
+
+
+def whole_runs(blocks: Iterator[tuple[np.ndarray, ...]], size: int = BLOCK) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks of columns, in order of the first, put together so that equal values of it never lie in two; of ``size`` rows or more, but for the last."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
+    for block in blocks:
+        held.append(block)
+        rows += len(block[0])
+        if rows < size or held[0][0][0] == block[0][-1]:
+            continue
+        whole = [np.concatenate(c) for c in zip(*held)]
+        stop = int(np.flatnonzero(whole[0][1:] != whole[0][:-1])[-1]) + 1
+        yield tuple(c[:stop] for c in whole)
+        held = [tuple(c[stop:] for c in whole)]
+        rows = len(held[0][0])
+    if rows:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def grown(s: np.ndarray, w: np.ndarray, n: np.ndarray, depth: np.ndarray, heavy: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Phrases of two words and more with their support, of whole runs of pointers by what they are dealt by.
 
     Phrases of a support under ``least`` go, but for those whose prefixes are all heavy: their pointers
     lie in several tasks, and this is but a part of their support.
     """
-
-    def kept(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        stay = n >= least
-        if len(heavy):
-            length, h = (w != 0).sum(1), prefix_hashes(w)
-            part = length < LONGEST
-            for k in range(LONGEST - 1):
-                part &= (length <= k) | np.isin(h[:, k], heavy)
-            stay |= part
-        return w[stay], n[stay]
-
-    last: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for w, n in blocks:
-        for k in range(2, LONGEST + 1):
-            there = w[:, k - 1] != 0
-            if not there.any():
-                continue
-            head, counts = w[there, :k], n[there]
-            first = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]).any(1)]))
-            runs, sums = np.zeros((len(first), LONGEST), np.int64), np.add.reduceat(counts, first)
-            runs[:, :k] = head[first]
-            if k in last:
-                if (last[k][0] == runs[0]).all():
-                    sums[0] += last[k][1][0]
-                else:
-                    runs, sums = np.concatenate([last[k][0], runs]), np.concatenate([last[k][1], sums])
-            last[k] = runs[-1:], sums[-1:]
-            yield kept(runs[:-1], sums[:-1])
-    for w, n in last.values():
-        yield kept(w, n)
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    enough = np.repeat(np.add.reduceat(n, first) >= least, np.diff(np.append(first, len(s)))) | (depth > 2)
+    w, n = w[enough], n[enough]
+    order = np.lexsort(w.T[::-1])
+    w, n = w[order], n[order]
+    for k in range(2, LONGEST + 1):
+        there = w[:, k - 1] != 0
+        w, n = w[there], n[there]
+        if not len(w):
+            return
+        first = np.flatnonzero(np.concatenate([[True], (w[1:, :k] != w[:-1, :k]).any(1)]))
+        sums, runs = np.add.reduceat(n, first), np.zeros((len(first), LONGEST), np.int64)
+        runs[:, :k] = w[first, :k]
+        stay = sums >= least
+        if len(heavy) and k < LONGEST:
+            h = prefix_hashes(runs)
+            stay |= np.all([np.isin(h[:, j], heavy) for j in range(1, k)], axis=0)
+        yield runs[stay], sums[stay]
 
 
 def _batch(w: np.ndarray, n: np.ndarray, **more: pa.Array) -> pa.RecordBatch:
-    columns = more | {name: pa.array(w[:, k], pa.int64()) for k, name in enumerate(WORDS)} | {"n": pa.array(n, pa.int64())}
+    columns = {name: pa.array(w[:, k], pa.int64()) for k, name in enumerate(WORDS)} | {"n": pa.array(n, pa.int64())} | more
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def heavy_prefixes(rows: DataFrame, share: float, seed: int, bits, heavy_share: float) -> np.ndarray:
-    """Hashes of the prefixes that hold more than ``heavy_share`` of the sample's pointers: fewer than 1 / heavy_share a length."""
-    drawn = rows.filter(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+def heavy_prefixes(drawn: DataFrame, share: float, seed: int, bits, heavy_share: float) -> np.ndarray:
+    """Hashes of the prefixes that hold more than ``heavy_share`` or MAX_RUN of all pointers, of which the rows ``drawn`` give ``share``.
+
+    A prefix of two or three words is 8 bytes for each MAX_RUN pointers at least, or there are fewer than
+    1 / heavy_share of a length.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Numbers] = {}
         for batch in batches:
             for w in projected(batch, seed, bits.value, known):
                 h, n = [np.zeros(1, np.int64)], [np.array([len(w)])]
-                for k in range(LONGEST - 1):
+                for k in range(1, LONGEST - 1):
                     one, many = np.unique(prefix_hashes(w)[:, k], return_counts=True)
-                    some = many * 4 > len(w) * heavy_share
+                    some = many > min(len(w) * heavy_share / 4, 8)
                     h.append(one[some].view(np.int64))
                     n.append(many[some])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h), pa.int64()), pa.array(np.concatenate(n), pa.int64())], names=["h", "n"])
 
     told = cut(drawn.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     pointers_ = told.filter("h = 0").agg(F.sum("n")).first()[0] or 0
-    return np.sort(np.array([r["h"] for r in told.filter((F.col("h") != 0) & (F.col("n") > pointers_ * heavy_share)).collect()], np.int64)).view(np.uint64)
+    least = min(pointers_ * heavy_share, MAX_RUN * share)
+    return np.sort(np.array([r["h"] for r in told.filter((F.col("h") != 0) & (F.col("n") > least)).collect()], np.int64)).view(np.uint64)
 
 
-def frequent_phrases(rows: DataFrame, share: float, seed: int, bits: bytes, least: int, heavy_share: float) -> DataFrame:
+def frequent_phrases(rows: DataFrame, drawn: DataFrame, share: float, seed: int, bits: bytes, least: int, heavy_share: float) -> DataFrame:
     """(w1, w2, w3, w4, n): phrases of 2 to 4 words that stand ``least`` times or more; words that a phrase lacks are 0."""
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast(bits)
-    heavy = spark.sparkContext.broadcast(heavy_prefixes(rows, share, seed, held, heavy_share))
+    heavy = spark.sparkContext.broadcast(heavy_prefixes(drawn, share, seed, held, heavy_share))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Numbers] = {}
         for batch in batches:
             for found in projected(batch, seed, held.value, known):
-                w, by, n = dealt(found, heavy.value)
-                yield _batch(w, n, deal=pa.array((by >> np.uint64(33)).astype(np.int32), pa.int32()))
+                w, depth, n = dealt(found, heavy.value)
+                yield _batch(w, n, depth=pa.array(depth, pa.int32()))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = ((np.stack([b.column(name).to_numpy() for name in WORDS], 1), b.column("n").to_numpy()) for b in batches if b.num_rows)
-        for w, n in grown(blocks, heavy.value, least):
-            yield _batch(w, n)
+        blocks = ((b.column("s").to_numpy(), np.stack([b.column(name).to_numpy() for name in WORDS], 1), b.column("n").to_numpy(), b.column("depth").to_numpy()) for b in batches if b.num_rows)
+        for whole in whole_runs(blocks):
+            for w, n in grown(*whole, heavy.value, least):
+                yield _batch(w, n)
 
     words = ", ".join(f"{w} long" for w in WORDS)
-    found = rows.mapInArrow(project, f"deal int, {words}, n long").repartition("deal").sortWithinPartitions(*WORDS).mapInArrow(grow, f"{words}, n long")
+    by = F.when(F.col("depth") == 2, F.xxhash64("w1", "w2")).when(F.col("depth") == 3, F.xxhash64("w1", "w2", "w3")).otherwise(F.xxhash64(*WORDS))
+    # the hash is not shuffled; a sort by one number needs no comparison of rows
+    dealt_out = rows.mapInArrow(project, f"{words}, n long, depth int").repartition(by).withColumn("s", by).sortWithinPartitions("s")
+    found = dealt_out.mapInArrow(grow, f"{words}, n long")
     return found.groupBy(*WORDS).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
@@ -266,13 +288,17 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), ascii_lower(F.col(text_col)).alias("text"))
+    lowered = lambda df: df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), ascii_lower(F.col(text_col)).alias("text"))
+    rows = lowered(docs)
     counted = cut(count_words(rows))
     totals = cut(counted.groupBy("lang").agg(F.sum("n").alias("total")))
     total = totals.agg(F.sum("total")).first()[0] or 0
     words, seed = numbered(counted, least)
     words = cut(words)
-    phrases = cut(frequent_phrases(rows, min(1.0, SAMPLE_WORDS / max(total, 1)), seed, frequent_map(words), least, heavy_share))
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_WORDS / max(total, 1)))
+    # drawn before texts are lower-cased, by their beginnings and lengths
+    drawn = lowered(docs.filter(F.pmod(F.xxhash64(F.substring(text_col, 1, 64), F.length(text_col)), F.lit(1_000_000)) < int(share * 1_000_000)))
+    phrases = cut(frequent_phrases(rows, drawn, share, seed, frequent_map(words), least, heavy_share))
 
     length = sum(F.when(F.col(w) != 0, 1).otherwise(0) for w in WORDS)
     support = phrases.select(*WORDS, F.col("n").alias("f")).union(words.select(F.col("id").alias("w1"), *part(0, 0)[1:], F.col("n").alias("f")))

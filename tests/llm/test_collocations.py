@@ -73,25 +73,27 @@ def test_steps_change_no_pointer(monkeypatch):
     assert (np.concatenate(list(C.projected(batch, 0, bits, {}))) == whole).all()
 
 
-def test_blocks_change_no_support():
+@pytest.mark.parametrize("size", [1, 40, 10_000])
+def test_runs_are_grown_whole(size):
     rng = np.random.default_rng(1)
     w = rng.integers(1, 4, (5000, 4))
     w[rng.random(5000) < 0.2, 2:] = 0
     w[rng.random(5000) < 0.2, 3] = 0
-    w = w[np.lexsort(w.T[::-1])]
-    ones = np.ones(len(w), np.int64)
+    s = w[:, 0] % 2 * 10 + w[:, 1] % 3  # two pairs share each
+    order = np.argsort(s, kind="stable")
+    w, s, ones, depth = w[order], s[order], np.ones(5000, np.int64), np.full(5000, 2)
     want = Counter(tuple(int(v) if j < k else 0 for j, v in enumerate(r)) for r in w for k in (2, 3, 4) if r[k - 1])
-    for size in (1, 7, 5000):
-        blocks = ((w[i : i + size], ones[i : i + size]) for i in range(0, len(w), size))
-        got = [(tuple(map(int, r)), int(c)) for a, b in C.grown(blocks, np.zeros(0, np.uint64), 40) for r, c in zip(a, b)]
-        assert len(got) == len(dict(got)) and dict(got) == {p: c for p, c in want.items() if c >= 40}
+    blocks = ((s[i : i + 7], w[i : i + 7], ones[i : i + 7], depth[i : i + 7]) for i in range(0, 5000, 7))
+    got = [(tuple(map(int, r)), int(c)) for whole in C.whole_runs(blocks, size) for a, b in C.grown(*whole, np.zeros(0, np.uint64), 40) for r, c in zip(a, b)]
+    assert len(got) == len(dict(got)) and dict(got) == {p: c for p, c in want.items() if c >= 40}
+    assert list(C.whole_runs(iter([]))) == []
 
 
 def test_equal_pointers_of_heavy_prefixes_are_one_row():
     w = np.array([[1, 2, 3, 4]] * 50 + [[1, 2, 5, 6]] * 3)
     heavy = np.sort(C.prefix_hashes(w)[0, :3])
-    rows, by, n = C.dealt(w, heavy)
-    assert sorted(map(int, n)) == [1, 1, 1, 50] and len(set(by)) == 2
+    rows, depth, n = C.dealt(w, heavy)
+    assert sorted(zip(map(int, n), map(int, depth))) == [(1, 3)] * 3 + [(50, 4)]
 
 
 def test_large_counts_stay_exact(spark):
