@@ -17,7 +17,7 @@ from ..functions import vectors as V
 from ..shipping import ship
 from .lexicon import BENEFICIAL_PAIRS, GAP_THRESHOLD, LABELS, PHRASES
 
-#: Labels whose centroids a task may hold.
+#: Labels whose centroids a task may hold; nearest.nearest_two tells the best two of any number.
 MAX_LABELS = 10_000
 
 
@@ -89,7 +89,7 @@ def centroid_array(centroids: DataFrame) -> Column:
     More than MAX_LABELS labels raise an error, as the value reaches every task.
     """
     held = F.array_sort(F.collect_list(F.struct("label", "centroid")))
-    bounded = F.when(F.count(F.lit(1)) > MAX_LABELS, F.raise_error(F.lit(f"more than {MAX_LABELS} labels"))).otherwise(held)
+    bounded = F.when(F.count(F.lit(1)) > MAX_LABELS, F.raise_error(F.lit(f"more than {MAX_LABELS} labels: see nearest_two"))).otherwise(held)
     return centroids.agg(bounded.alias("c")).scalar()
 
 

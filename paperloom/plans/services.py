@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import links as L
 from ..functions import markup, values
 from ..functions import text as T
-from ..operators import assemble, cards, classify, documents, placeholders, ranking, scoring, sentences
-from ..lineage import working_folder
+from ..operators import assemble, cards, classify, documents, embedding, nearest, placeholders, ranking, scoring, sentences
+from ..lineage import cut, working_folder
 from ..operators.lexicon import BENEFICIAL_PAIRS, CHECKLIST, LABELS, PHRASES
 from ..sources import calls, retrieval
 from ..sources.readers import read_table
@@ -132,6 +132,36 @@ sql(
 )
 
 
+@query
+def nearest_labels(spark, sf_dir):
+    """The two nearest of as many labels as there are vectors, each vector being a label."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    got = nearest.nearest_two(rows, rows.select(F.col("vec_id").alias("label"), F.col("embedding").alias("centroid")))
+    return got.select("vec_id", "label1", "label2", F.round("score1", 6).alias("score1"), F.round("score2", 6).alias("score2"))
+
+
+sql(
+    "nearest_labels",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    u AS (SELECT vec_id, CASE WHEN list_dot_product(e, e) = 0 THEN e ELSE list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) END AS e FROM v),
+    s AS (SELECT a.vec_id, b.vec_id AS label, round(list_dot_product(a.e, b.e), 9) AS score FROM u a CROSS JOIN u b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS r FROM s)
+    SELECT x.vec_id, x.label AS label1, y.label AS label2, round(x.score, 6) AS score1, round(y.score, 6) AS score2 FROM r x JOIN r y ON y.vec_id = x.vec_id AND x.r = 1 AND y.r = 2
+    """,
+)
+
+
+@query
+def classify_from_text(spark, sf_dir):
+    """Vectors learnt from the texts alone; each document's nearest two languages, from centroids of four fifths of the documents."""
+    rows = docs(spark, sf_dir)
+    model = embedding.fit_text_encoder(rows)
+    held = cut(classify.embed_texts(rows.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")), embedding.backend(model, rows)).drop("text"))
+    centroids = classify.label_centroids(held.filter("doc_id % 5 <> 0 and lang is not null").withColumnRenamed("lang", "label"))
+    return classify.top_two(classify.with_centroid_scores(held, centroids)).select("doc_id", "lang", "label1", "label2", F.round("score1", 4).alias("score1"))
+
+
 @query
 def reranked_counts(spark, sf_dir):
     """A5 with the rule's share."""
