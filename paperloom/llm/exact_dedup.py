@@ -5,10 +5,12 @@ side by side in each range, and each row is compared in full with its neighbour.
 shuffled once, and no hash takes part in the order.
 
 The splitters come from a sample of rows drawn by a hash of the identifier. Any byte string can
-part a range, so a splitter need only be long enough to tell two sampled texts apart: the driver
-takes the first bytes of the sampled texts and comes back for more only of those it cannot tell
-apart and that would fill a range between them. A text that takes up half a range or more by
-itself, as a large group of copies does, gets ranges of its own over which its rows are dealt. The heads of the runs there, one a range and text, are then merged by
+part a range, so a splitter need only be long enough to tell two sampled texts apart. The driver takes
+the first bytes of the sampled texts. Where different texts begin alike and would fill a range, the
+length of what they share is found in Spark, and the driver takes that once, and of each text the
+bytes after it; so it never holds more than a piece a text, however long the shared beginnings are. A
+text that takes up half a range or more by itself, as a large group of copies does, gets ranges of its
+own over which its rows are dealt. The heads of the runs there, one a range and text, are then merged by
 a second full comparison.
 """
 
@@ -28,8 +30,8 @@ RANGE_BYTES = 64 << 20
 SAMPLE_EVERY, LEAST_SAMPLE, MAX_SAMPLE, ROWS_A_RANGE = 1_000, 10_000, 200_000, 4
 #: Bytes that a row has beside its text.
 ROW_BYTES = 64
-#: Bytes of a sampled text that the driver takes first, and by what the number grows for texts it cannot tell apart.
-KEY_BYTES, MORE = 256, 8
+#: Bytes of a sampled text that the driver takes at a time, and bytes that all splitters, and all shared beginnings, may have.
+KEY_BYTES, SPLITTER_BYTES = 256, 8 << 20
 
 
 def _norm(text: Column) -> Column:
@@ -51,6 +53,11 @@ def _extreme(keep: str, over=None) -> Column:
     return at(F.max("id")) if keep == "max" else F.when(at(F.max(F.col("id").isNull())), F.lit(None)).otherwise(at(F.min("id")))
 
 
+def _tie(rows: DataFrame) -> list[Column]:
+    """Order of rows that text and identifier leave open: their other columns, as text, and the text as it was."""
+    return [F.to_json("rest", {"ignoreNullFields": "false"}), F.col("text")] if "rest" in rows.columns else []
+
+
 def _draw() -> Column:
     return F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("content sort"))
 
@@ -99,49 +106,94 @@ class Splitters:
         return F.when(mine.isNotNull(), mine["first"] + F.pmod(_draw(), mine["n"]).cast("int"))
 
 
-def _shares(sample: list[tuple[bytes, int, int]], n_ranges: int) -> tuple[list[bytes], dict[int, int]]:
+@dataclass
+class Sample:
+    """What the driver holds of the sampled texts: pieces of ``key_bytes`` in groups that begin alike.
+
+    Group 0 holds all texts by their first bytes. Where many different texts share a piece, they are a
+    group of their own: ``beginning`` is all that they share, and their pieces are what follows it.
+    """
+
+    key_bytes: int = KEY_BYTES
+    pieces: dict[int, list[tuple[bytes, int, int]]] = field(default_factory=dict)  # group -> (piece, hash of the whole, length)
+    beginning: dict[int, bytes] = field(default_factory=lambda: {0: b""})
+    child: dict[tuple[int, bytes], int] = field(default_factory=dict)
+
+    def in_order(self) -> list[tuple[tuple, int, int]]:
+        """(path, hash, length) of all texts in order; a path is the (group, piece) of each group from the first on."""
+        paths: dict[int, tuple] = {0: ()}
+        for (group, piece), below in sorted(self.child.items(), key=lambda x: x[1]):
+            paths[below] = (*paths[group], (group, piece))
+        return sorted(((*paths[g], (g, piece)), h, n) for g, rows in self.pieces.items() for piece, h, n in rows)
+
+    def cut(self, before: tuple, path: tuple) -> tuple[int, bytes]:
+        """The shortest bytes above the text before and not above that of ``path``, as what follows a group's beginning."""
+        (group, left), (_, right) = next((x, y) for x, y in zip(before, path) if x != y)
+        same = next((k for k, (x, y) in enumerate(zip(left, right)) if x != y), len(left))
+        return group, right[: same + 1]
+
+
+def _shares(sample: Sample, n_ranges: int, splitter_bytes: int) -> tuple[list[bytes], dict[int, int]]:
     """Cuts at equal shares of the sample's bytes, and ranges of the hot texts by hash.
 
-    ``sample``: (first bytes, hash of the whole, length), sorted. A text that takes up half a range
-    or more by itself is hot; the others are cut at shares of what they hold together. A cut is the
-    shortest beginning of its text that lies above the sampled text before.
+    A text that takes up half a range or more by itself is hot; the others are cut at shares of what
+    they hold together. Where the cuts would take more than ``splitter_bytes``, only every second,
+    third and so on of those with a beginning stays.
     """
+    rows = sample.in_order()
     weight: dict[int, int] = {}
     seen: dict[int, int] = {}
-    for _, h, n in sample:
+    for _, h, n in rows:
         weight[h] = weight.get(h, 0) + n + ROW_BYTES
         seen[h] = seen.get(h, 0) + 1
     full = max(1.0, sum(weight.values()) / n_ranges)
     hot = {h: int(w / full) + 1 for h, w in weight.items() if seen[h] > 1 and 2 * w >= full}
-    cuts: list[bytes] = []
-    held, before = 0, b""
-    for key, h, n in sample:
+    places: list[tuple[int, bytes]] = []
+    held, before = 0, None
+    for path, h, n in rows:
         if h in hot:
             continue
-        if held >= full and key > before:
-            same = next((k for k, (x, y) in enumerate(zip(before, key)) if x != y), len(before))
-            cuts.append(key[: same + 1])
+        if held >= full and path != before:
+            places.append(sample.cut(before, path))
             held = 0
-        held, before = held + n + ROW_BYTES, key
-    return cuts, hot
+        held, before = held + n + ROW_BYTES, path
+    long = [k for k, (group, _) in enumerate(places) if group]
+    spent = sum(len(sample.beginning[places[k][0]]) + len(places[k][1]) for k in long)
+    every = max(1, -(-spent // splitter_bytes))
+    left_out = {k for i, k in enumerate(long) if i % every}
+    return [sample.beginning[group] + rest for k, (group, rest) in enumerate(places) if k not in left_out], hot
+
+
+def _unclear(sample: Sample, groups: list[int], n_ranges: int, hot: dict[int, int]) -> list[tuple[int, bytes]]:
+    """Pieces of the given groups that different texts share which together fill a range or more, the fullest first."""
+    full = sum(n + ROW_BYTES for rows in sample.pieces.values() for _, _, n in rows) / n_ranges
+    held: dict[tuple[int, bytes], int] = {}
+    hashes: dict[tuple[int, bytes], set[int]] = {}
+    for group in groups:
+        for piece, h, n in sample.pieces.get(group, []):
+            if len(piece) >= sample.key_bytes and h not in hot:
+                held[group, piece] = held.get((group, piece), 0) + n + ROW_BYTES
+                hashes.setdefault((group, piece), set()).add(h)
+    return sorted((k for k, w in held.items() if len(hashes[k]) > 1 and w >= full), key=lambda k: (-held[k], k))
+
+
+def _shared_length(a: Column, b: Column) -> Column:
+    """Bytes that two binary values begin with alike, by halving."""
+    ends = F.struct(F.lit(0).alias("low"), F.least(F.octet_length(a), F.octet_length(b)).alias("high"))
 
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        same = F.substring(a, F.lit(1), mid) == F.substring(b, F.lit(1), mid)
+        return F.struct(F.when(same, mid).otherwise(s["low"]).alias("low"), F.when(same, s["high"]).otherwise(mid - 1).alias("high"))
 
-def _unclear(sample: list[tuple[bytes, int, int]], key_bytes: int, n_ranges: int, hot: dict[int, int]) -> list[bytes]:
-    """First bytes that different sampled texts share which together fill a range or more."""
-    full = sum(n + ROW_BYTES for _, _, n in sample) / n_ranges
-    held: dict[bytes, list[int]] = {}
-    hashes: dict[bytes, set[int]] = {}
-    for key, h, n in sample:
-        if len(key) >= key_bytes and h not in hot:
-            held.setdefault(key, []).append(n + ROW_BYTES)
-            hashes.setdefault(key, set()).add(h)
-    return [k for k, w in held.items() if len(hashes[k]) > 1 and sum(w) >= full]
+    return F.aggregate(F.sequence(F.lit(0), F.lit(31)), ends, halve)["low"]
 
 
-def find_splitters(rows: DataFrame, range_bytes: int = RANGE_BYTES, max_sample: int = MAX_SAMPLE, key_bytes: int = KEY_BYTES) -> Splitters:
+def find_splitters(rows: DataFrame, range_bytes: int = RANGE_BYTES, max_sample: int = MAX_SAMPLE, key_bytes: int = KEY_BYTES, splitter_bytes: int = SPLITTER_BYTES) -> Splitters:
     """Splitters of rows (id, text), from one scan of the texts.
 
-    At least spark.sql.shuffle.partitions ranges. The driver holds up to about ``max_sample`` keys.
+    At least spark.sql.shuffle.partitions ranges. The driver holds a piece of ``key_bytes`` for up to about
+    ``max_sample`` texts, and at most ``splitter_bytes`` of shared beginnings.
     """
     spark = rows.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -151,21 +203,45 @@ def find_splitters(rows: DataFrame, range_bytes: int = RANGE_BYTES, max_sample:
     share = min(1.0, min(max_sample, max(LEAST_SAMPLE, ROWS_A_RANGE * least, n_rows // SAMPLE_EVERY)) / n_rows)
     drawn = F.pmod(_draw(), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
     norm = _norm(F.col("text"))
-    sample = cut(rows.filter(drawn).select(norm.alias("norm"), F.xxhash64(norm).alias("h"), F.octet_length("text").cast("long").alias("n")))
-    keys = lambda df, n: [(bytes(r["key"]), r["h"], r["n"] or 0) for r in df.select(F.substring("norm", 1, n).alias("key"), "h", "n").collect()]
-    held = sorted(keys(sample, key_bytes))
+    level = cut(rows.filter(drawn).select(F.lit(0).alias("group"), F.lit(0).alias("shared"), norm.alias("norm"), F.xxhash64(norm).alias("h"), F.octet_length("text").cast("long").alias("n")))
+    piece = F.substring("norm", F.col("shared") + 1, F.lit(key_bytes))
+    sample = Sample(key_bytes)
+
+    def take() -> list[int]:
+        """Pieces of the level's texts; the groups met."""
+        groups: dict[int, list] = {}
+        for r in level.select("group", piece.alias("piece"), "h", "n").collect():
+            groups.setdefault(r["group"], []).append((bytes(r["piece"]), r["h"], r["n"] or 0))
+        sample.pieces.update(groups)
+        return list(groups)
+
+    groups = take()
+    held = sample.pieces.get(0)
     if not held:
         return Splitters()
     n_ranges = max(least, min(len(held) // ROWS_A_RANGE, int(sum(n for *_, n in held) / len(held) * n_rows / range_bytes)))
-    cuts, hot = _shares(held, n_ranges)
-    while unclear := _unclear(held, key_bytes, n_ranges, hot):
-        longer = keys(sample.filter(F.substring("norm", 1, key_bytes).isin([bytearray(k) for k in unclear])), key_bytes * MORE)
-        known = set(unclear)
-        held = sorted([x for x in held if x[0][:key_bytes] not in known] + longer)
-        key_bytes *= MORE
-        cuts, hot = _shares(held, n_ranges)
+    cuts, hot = _shares(sample, n_ranges, splitter_bytes)
+    while unclear := _unclear(sample, groups, n_ranges, hot):
+        numbers = {k: len(sample.beginning) + i for i, k in enumerate(unclear)}
+        table = spark.createDataFrame([(g, bytearray(p), i) for (g, p), i in numbers.items()], "group int, piece binary, below int")
+        inside = level.withColumn("piece", piece).join(F.broadcast(table), ["group", "piece"]).drop("group", "piece", "shared").withColumnRenamed("below", "group")
+        lengths = cut(inside.groupBy("group").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).withColumn("shared", _shared_length(F.col("a"), F.col("b"))))
+        left = splitter_bytes - sum(map(len, sample.beginning.values()))
+        known = {}
+        for i, n in sorted((r["group"], r["shared"]) for r in lengths.select("group", "shared").collect()):
+            if n <= left:  # the fullest first; what does not fit stays one piece
+                known[i], left = n, left - n
+        if not known:
+            break
+        fits = F.col("group").isin(list(known))
+        sample.beginning.update({r["group"]: bytes(r["beginning"]) for r in lengths.filter(fits).select("group", F.substring("a", F.lit(1), F.col("shared")).alias("beginning")).collect()})
+        sample.child.update({k: i for k, i in numbers.items() if i in known})
+        level = cut(inside.filter(fits).join(F.broadcast(lengths.filter(fits).select("group", "shared")), "group").select("group", "shared", "norm", "h", "n"))
+        groups = take()
+        sample.pieces = {g: [x for x in p if (g, x[0]) not in sample.child] for g, p in sample.pieces.items()}
+        cuts, hot = _shares(sample, n_ranges, splitter_bytes)
     out = Splitters(cuts, n_ranges=len(cuts) + 1)
-    length = {h: n for _, h, n in held}
+    length = {h: n for p in sample.pieces.values() for _, h, n in p}
     for h, n in sorted(hot.items()):
         out.hot.append(HotText(h, length[h], out.n_ranges, n))
         out.n_ranges += n
@@ -177,7 +253,7 @@ def _sorted_runs(rows: DataFrame, splitters: Splitters, keep: str) -> DataFrame:
     placed = rows.withColumn("start", splitters.start(F.col("text"))).withColumn("range", F.coalesce(splitters.place_hot(F.col("text")), splitters.place(F.col("start")))).drop("start")
     # the normalised bytes are made after the shuffle, which moves the text alone
     ranged = placed.repartitionById(splitters.n_ranges, "range").withColumn("norm", _norm(F.col("text")))
-    beside = Window.partitionBy("range").orderBy("norm", _order(keep))
+    beside = Window.partitionBy("range").orderBy("norm", _order(keep), *_tie(rows))
     before = F.lag("norm").over(beside)
     return ranged.withColumn("head", before.isNull() | (before != F.col("norm"))).withColumn("run", F.sum(F.col("head").cast("long")).over(beside.rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -221,7 +297,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", **ranges) -> DataFrame:
     """The rows that exact_dedup keeps, with all their columns, straight out of the sort: no join by identifier.
 
-    Defined on odd rows as exact_dedup is.
+    Defined on odd rows as exact_dedup is. Of rows with the same identifier and text the one stays whose
+    other columns come first as text, and then whose text before lower-casing does; so the same rows in
+    any order give the same table.
     """
     _check(keep)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest"))
@@ -233,6 +311,6 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the heads of hot ranges, one a range and text, meet by their whole text
     cold = heads.filter(F.col("range") < _first_hot(splitters))
     hot = heads.filter(F.col("range") >= _first_hot(splitters))
-    best = Window.partitionBy("norm").orderBy(_order(keep), "range")
+    best = Window.partitionBy("norm").orderBy(_order(keep), *_tie(rows))
     hot = hot.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
     return cold.select(*columns).union(hot.select(*columns))

@@ -71,3 +71,40 @@ def test_odd_rows(odd, none):
     assert exact_dedup(none).count() == 0 and distinct_documents(none).count() == 0
     with pytest.raises(ValueError):
         exact_dedup(odd, keep="any")
+
+
+def test_rows_in_any_order_give_the_same_table(spark):
+    """Rows equal in identifier and normalised text that differ elsewhere, among them hot texts."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice(["Copy", "cOPY", "other " + "x" * rng.randrange(4), None, ""]), rng.choice([None, "a", "b"]), rng.randrange(5)) for _ in range(300)]
+    rows += [(7, "hot text " * 30, s, n) for s in ("b", "a", None) for n in (2, 1, None)] * 20
+    got = []
+    for k in range(3):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(k + 2)
+        got.append(sorted(map(tuple, distinct_documents(docs, keep="max", range_bytes=2_000).collect()), key=str))
+    assert got[0] == got[1] == got[2]
+
+
+def test_a_long_shared_beginning_reaches_the_driver_once(spark, monkeypatch):
+    """3,000 texts that share 60,000 characters, some of them 20,000 more, and the splitters still part them."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    docs = spark.range(3_000).select("id", F.concat(F.repeat(F.lit("Head"), 15_000), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("more"), 5_000)).otherwise(""), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    took = []
+    collect = DataFrame.collect
+
+    def counted(self):
+        rows = collect(self)
+        took.append(sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    found = find_splitters(docs, range_bytes=4 << 20)
+    assert sum(took) < 20 << 20 and len(found.cuts) > 20
+    assert sum(map(len, found.cuts)) <= 9 << 20
+    few = find_splitters(docs, range_bytes=4 << 20, splitter_bytes=400_000)
+    assert 1 <= len(few.cuts) <= 7
+    monkeypatch.undo()
+    placed = docs.withColumn("r", found.place(found.start(F.col("text")))).groupBy("r").count().collect()
+    assert max(r["count"] for r in placed) < 600
