@@ -22,8 +22,8 @@ from paperloom.llm.simhash import near_duplicates
 
 #: Posterior probability under which no language is accepted.
 LEAST_SCORE = 0.5
-#: Keys that are broadcast rather than joined by a shuffle: some 100 bytes each.
-MAX_BROADCAST = 500_000
+#: Bytes of keys that are broadcast rather than joined by a shuffle, and bytes that a key has beside its identifier.
+MAX_BROADCAST, KEY_BYTES = 50_000_000, 100
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -38,9 +38,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def join_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Join by key; few keys are broadcast, by their count."""
+    """Join by key; few keys are broadcast, by their bytes."""
     keys = cut(keys)
-    return rows.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys, "key", how)
+    size = keys.agg(F.sum(KEY_BYTES + F.coalesce(F.octet_length(F.col("key.id").cast("string")), F.lit(0)))).first()[0] or 0
+    return rows.join(F.broadcast(keys) if size <= MAX_BROADCAST else keys, "key", how)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +57,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts, that with the largest identifier; of repeated rows one.
+    """Keeps one document of each group of equal texts, that with the largest identifier.
 
-    Null and empty texts are equal texts; a null identifier is the smallest.
+    Null and empty texts are equal texts; a null identifier is the smallest. Of rows that share the
+    identifier too, the one whose other columns come first as text.
     """
     return distinct_documents(docs, keep="max")
 
@@ -67,7 +69,8 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Keeps the document with the smallest identifier of each group of linked fingerprints, one row of each group.
 
     Rows are told apart by identifier and text, so an identifier may be null, the last of all, or
-    shared: of texts that share it the one with the smaller hash stays, and of repeated rows one.
+    shared: of texts that share it the one with the smaller hash stays, and of rows that repeat both
+    the one whose columns come first as text.
     Null, empty and wordless texts form one group.
     """
     told = near_duplicates(docs.select(row_key(docs).alias("key"), F.col("text").alias("text")), id_col="key")
@@ -75,8 +78,8 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     left = join_keys(keyed(docs), groups.filter("not stays").select("key"), "left_anti")
     repeated = groups.filter("stays and n > 1").select("key")
     if not repeated.isEmpty():
-        one = join_keys(left, repeated, "left_semi").dropDuplicates(["key"])
-        left = join_keys(left, repeated, "left_anti").union(one)
+        one = join_keys(left, repeated, "left_semi").groupBy("key").agg(F.min_by("doc", F.to_json("doc", {"ignoreNullFields": "false"})).alias("doc")).select("doc", "key")
+        left = join_keys(left, repeated, "left_anti").select("doc", "key").union(one)
     return left.select("doc.*")
 
 
