@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from ._common import WORD, cut, ship
 
-#: Points at which a step of a search evaluates its sums.
-GRID = 16
+#: Points at which a step of a search evaluates its sums, and quantiles of sources that a step of the level's search takes.
+GRID, STEP_POINTS = 48, 256
+#: Bytes of sources that are broadcast, bytes of a source beside its name, and salts of their join beyond.
+MAX_BROADCAST, SOURCE_BYTES, SALTS = 20_000_000, 80, 16
 
 
 def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
@@ -48,45 +50,57 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     return out
 
 
-def _between(low: float, high: float) -> list[float]:
-    """Points of a grid strictly between two numbers; none where they are neighbours."""
-    return sorted({x for k in range(1, GRID + 1) if low < (x := low + (high - low) * k / (GRID + 1)) < high})
-
-
 def fill_level(sources: DataFrame, total: float) -> float:
     """Level at which targets least(cap, level * weight) add up to ``total``; infinity where all caps do not reach it.
 
-    ``sources`` has columns cap (long) and weight.
+    ``sources`` has columns cap (long) and weight. A step splits the sources still in question at
+    STEP_POINTS of their own levels, so up to so many sources are told apart by one step.
     """
-    reached = F.col("cap") / F.col("weight")  # the level at which a source is full
-    caps, weight, least = sources.agg(F.sum("cap"), F.sum("weight"), F.min("weight")).first()
-    if not weight or caps <= total:
+    sums = [F.count(F.lit(1)), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))]
+    count, caps, weight = sources.agg(*sums).first()
+    if not count or not weight or caps <= total:
         return float("inf")
-    low, high = 0.0, total / least * 2
-    full = {low: sources.filter(reached <= 0).agg(F.count(F.lit(1)), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()}
-    full[high] = sources.filter(reached <= high).agg(F.count(F.lit(1)), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
-    held = lambda x: full[x][1] + x * (weight - full[x][2])
-    while full[low][0] != full[high][0] and (grid := _between(low, high)):
-        sums = sources.agg(*[f for x in grid for f in (F.count_if(reached <= x), F.coalesce(F.sum(F.when(reached <= x, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(reached <= x, F.col("weight"))), F.lit(0.0)))]).first()
-        full |= {x: sums[3 * k : 3 * k + 3] for k, x in enumerate(grid)}
-        low = max(x for x in [low, *grid] if held(x) <= total)
-        high = min(x for x in [*grid, high] if x > low)
-    _, filled, of_filled = full[low]
-    return (total - filled) / (weight - of_filled) if weight > of_filled else low
+    reached = F.col("cap") / F.col("weight")  # the level at which a source is full
+    full, low = (0, 0, 0.0), 0.0  # sources full at the level low: their number, caps and weights
+    inside = sources.withColumn("reached", reached)
+    while True:
+        points = inside.agg(F.array_sort(F.array_distinct(F.percentile_approx("reached", [k / STEP_POINTS for k in range(1, STEP_POINTS + 1)], 100 * STEP_POINTS)))).first()[0] or []
+        at = F.size(F.filter(F.array(*map(F.lit, points)), lambda x: x < F.col("reached")))  # points below a source's level
+        parts = {r["at"]: tuple(r[k] for k in (1, 2, 3)) for r in inside.groupBy(at.alias("at")).agg(*sums).collect()}
+        high = None
+        for k, x in enumerate(points):
+            more = tuple(a + b for a, b in zip(full, parts.get(k, (0, 0, 0.0))))
+            if more[1] + x * (weight - more[2]) > total:
+                high = x
+                break
+            full, low = more, x
+        left = inside.filter((F.col("reached") > low) & (F.col("reached") < high)) if high is not None else None
+        if left is None or left.isEmpty():
+            _, filled, of_filled = full
+            return (total - filled) / (weight - of_filled) if weight > of_filled else low
+        inside = left
 
 
 def seat_counts(parties: DataFrame, seats: int) -> DataFrame:
-    """Adds the column quota to (number, votes, cap, ...): Sainte-Lague seats, at most ``cap``; ties go to the smaller number."""
+    """Adds the column quota to (number, votes, cap, ...): Sainte-Lague seats, at most ``cap``; ties go to the smaller number.
+
+    With V votes, S seats and n parties, rounding moves the divisor by no more than V / (S - n / 2),
+    and caps only lower it. Steps of GRID points close in on it: at first by distances from this
+    bound that double, then evenly.
+    """
     above = lambda d: F.when(F.col("votes") > 0, F.least(F.col("cap"), F.greatest(F.ceil(F.col("votes") / d - 0.5), F.lit(0)))).otherwise(F.lit(0)).cast("long")
-    most, all_caps = parties.agg(F.max("votes"), F.sum(F.when(F.col("votes") > 0, F.col("cap")))).first()
+    most, all_caps, votes, n = parties.filter("votes > 0").agg(F.max("votes"), F.sum("cap"), F.sum("votes"), F.count(F.lit(1))).first()
     seats = min(seats, all_caps or 0)
     if seats <= 0:
         return parties.withColumn("quota", F.lit(0).cast("long"))
-    low, high, given = 0.0, 4 * most, -1
-    while given != seats and (grid := _between(low, high)):
+    low, given = 0.0, -1
+    high = min(4 * most, votes / (seats - n / 2) * (1 + 1e-9)) if seats > n / 2 else 4 * most
+    grid = [high * (1 - 2.0**-k) for k in range(GRID // 2, 0, -1)] + [high * 2.0**-k for k in range(2, GRID // 2)] + [high]
+    while given != seats and (grid := sorted({x for x in grid if low < x <= high})):
         sums = dict(zip(grid, parties.agg(*[F.sum(above(d)) for d in grid]).first()))
-        high, given = min([(d, n) for d, n in sums.items() if n <= seats], default=(high, given))
-        low = max([d for d, n in sums.items() if n > seats], default=low)
+        high, given = min([(d, k) for d, k in sums.items() if k <= seats], default=(high, given))
+        low = max([d for d, k in sums.items() if k > seats], default=low)
+        grid = [x for k in range(1, GRID + 1) if low < (x := low + (high - low) * k / (GRID + 1)) < high]
     quota = parties.withColumn("quota", above(high))
     if given == seats or not low:
         return quota
@@ -120,19 +134,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Sources in code-point order, null last, have ``weights``, repeated. ``taken`` counts the words
     the mix takes of a document, repeats included, never above ``most`` (a whole number) times its
     size. Null text has no words. A source without words has target 0. The same rows give the same
-    mix in every run; repeated rows share their takings in either order. An empty table gives no
-    rows; other columns are ignored.
+    mix in every run; repeated rows share their takings in either order; rows without an identifier
+    draw by their text. An empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
+    # rows without an identifier draw by their text
+    mark = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.xxhash64(F.col(text_col)).cast("string")))
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(seed), mark).alias("draw"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
     sources = cut(numbered_sources(rows).withColumns({"weight": weight, "cap": most * F.col("source_size"), "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int")}))
     total = share * (sources.agg(F.sum("source_size")).first()[0] or 0)
     level = fill_level(sources, total)
     targets = sources.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * level) if level != float("inf") else F.col("cap").cast("double"))
-    draw = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
-    shard = F.pmod(F.xxhash64(draw, F.lit(1)), F.col("shards")).cast("int")
-    dealt = rows.join(targets, F.col("source").eqNullSafe(F.col("name"))).select("id", "size", "source_size", "target", "number", draw.alias("draw"), shard.alias("shard"))
+    shard = F.pmod(F.xxhash64(F.col("draw"), F.lit(1)), F.col("shards")).cast("int")
+    few = (sources.agg(F.sum(SOURCE_BYTES + F.coalesce(F.octet_length("name"), F.lit(0)))).first()[0] or 0) <= MAX_BROADCAST
+    if few:
+        met = rows.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("name")))
+    else:  # a hot source's rows are dealt over salts
+        salted = rows.withColumn("salt", F.pmod("draw", F.lit(SALTS)).cast("int"))
+        met = salted.join(targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("salt", "of"), F.col("source").eqNullSafe(F.col("name")) & (F.col("salt") == F.col("of")))
+    dealt = met.select("id", "size", "source_size", "target", "number", "draw", shard.alias("shard"))
 
     shards = cut(dealt.groupBy("number", "shard").agg(F.sum("size").alias("words")).withColumn("n", F.ceil(F.col("words") / block_words).cast("long")))
     parties = targets.select("number", F.col("target").alias("votes")).join(shards.groupBy("number").agg((most * F.sum("n")).alias("cap")), "number")

@@ -119,3 +119,33 @@ def test_odd_rows(odd, none):
     rows = mix_sources(odd).collect()
     assert len(rows) == odd.count() and all(r["taken"] <= 2 * r["size"] for r in rows)
     assert mix_sources(none).count() == 0
+
+
+def test_the_searches_take_few_jobs(spark):
+    rng = random.Random(3)
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    sources = spark.createDataFrame([(2 * rng.randrange(1, 10**7), float((3, 1, 2)[i % 3])) for i in range(50)], "cap long, weight double")
+    before = jobs()
+    fill_level(sources, 1e8)
+    assert jobs() - before <= 8
+    parties = spark.createDataFrame([(i, rng.random() * 1e6, 10**6) for i in range(50)], "number long, votes double, cap long")
+    before = jobs()
+    seat_counts(parties, 400_000).count()
+    assert jobs() - before <= 14
+
+
+def test_many_sources_meet_in_salts(spark, monkeypatch):
+    from paperloom.llm import mixing
+
+    docs = [(i, "w " * (i % 70), f"s{i % 3}" if i % 5 else None) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mix_sources(df).collect()))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, mix_sources(df).collect())) == want
+
+
+def test_rows_without_identifiers_share_the_shards(spark):
+    df = spark.createDataFrame([(None, f"{i} " + "w " * 40, "a") for i in range(400)], "doc_id long, text string, source string")
+    rows = mix_sources(df, shard_words=2_000).collect()
+    assert len(rows) == 400 and abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 64 * 20
+    assert len({r["taken"] for r in rows}) > 1
