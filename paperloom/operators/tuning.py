@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 STEPS, STEP = 101, 0.001
 TEST_SHARE, LEAST_ROWS = 0.6, 20
 #: Labels that a task may hold as one value.
@@ -99,20 +103,44 @@ def pair_impact(rows: DataFrame, threshold: float | Column, swap: str = "swapped
     return rows.filter(F.col("score1") - F.col("score2") > t).groupBy("label1", "label2").agg(F.sum(move).alias("impact")).filter("impact > 0")
 
 
-def tune(rows: DataFrame, labels: DataFrame, id_col: str, truth: str = "truth", swap: str = "swapped") -> DataFrame:
-    """C17: (part, rows, baseline, tuned, threshold): macro F1 before and after, by part; nothing below 20 rows.
+@dataclass(frozen=True)
+class TunedRule:
+    """C17: what tuning found: ``measures`` (part, rows, baseline, tuned, threshold) and ``pairs`` (label1, label2, impact); both stored.
+
+    With too few rows there is no threshold, and both tables are empty.
+    """
+
+    threshold: float | None
+    measures: DataFrame
+    pairs: DataFrame
+
+    def status(self) -> DataFrame:
+        """One row: tuned, method, threshold, split sizes and macro F1 by part, and the pairs in order."""
+        of = lambda c, part: F.max(F.when(F.col("part") == part, F.col(c))).alias(f"{c}_{part}")
+        measured = self.measures.agg(*[of(c, part) for c in ("rows", "baseline", "tuned") for part in ("validation", "test")])
+        pairs = self.pairs.agg(F.array_sort(F.collect_list(F.struct("label1", "label2"))).alias("beneficial_pairs"))
+        told = F.lit(self.threshold is not None).alias("tuned"), F.lit("validation_test_split").alias("method"), F.lit(self.threshold).cast("double").alias("threshold")
+        return measured.select(*told, "*").withColumn("beneficial_pairs", pairs.scalar())
+
+
+def tune(rows: DataFrame, labels: DataFrame, id_col: str, truth: str = "truth", swap: str = "swapped") -> TunedRule:
+    """C17: the rule found on the validation part and macro F1 before and after it, by part; nothing below 20 rows.
 
-    The rule is found on the validation part. Number of rows and threshold are scalar subqueries; the
-    pairs are joined as Spark sees fit.
+    The split is stored once, so what the rows are made from is computed once; the driver takes the
+    number of rows and the threshold.
     """
-    enough = rows.agg((F.count(F.lit(1)) >= LEAST_ROWS).alias("ok")).scalar()
-    parts = stratified_split(rows.withColumn("_ok", enough).filter("_ok").drop("_ok"), id_col, truth)
+    needed = [F.col(c) for c in dict.fromkeys((id_col, "label1", "score1", "label2", "score2", swap, truth))]
+    parts = cut(stratified_split(rows.select(*needed), id_col, truth))
+    enough = parts.limit(LEAST_ROWS).count() >= LEAST_ROWS
+    parts = parts if enough else parts.limit(0)
     checked = parts.filter("part = 'validation'")
-    best = best_threshold(threshold_scores(checked, labels, swap, truth)).select("threshold").scalar()
-    pairs = pair_impact(checked.withColumn("threshold", best), F.col("threshold"), swap, truth).select("label1", "label2", F.lit(True).alias("listed"))
-    told = parts.withColumn("threshold", best).join(pairs, ["label1", "label2"], "left")
-    told = told.withColumn("predicted", F.when((F.col("score1") - F.col("score2") <= F.col("threshold")) | F.coalesce("listed", F.lit(False)), F.col(swap)).otherwise(F.col("label1")))
-    before = macro_f1(told.withColumn("base", F.col("label1")), labels, ("part",), truth=truth, predicted="base").withColumnRenamed("macro_f1", "baseline")
-    after = macro_f1(told, labels, ("part",), truth=truth).withColumnRenamed("macro_f1", "tuned")
-    sizes = told.groupBy("part", "threshold").agg(F.count(F.lit(1)).alias("rows"))
-    return sizes.join(before, "part").join(after, "part").select("part", "rows", "baseline", "tuned", "threshold")
+    found = best_threshold(threshold_scores(checked, labels, swap, truth)).first() if enough else None
+    threshold = found["threshold"] if found else None
+    pairs = cut(pair_impact(checked, F.lit(threshold).cast("double"), swap, truth))
+    told = parts.join(pairs.select("label1", "label2", F.lit(True).alias("listed")), ["label1", "label2"], "left")
+    ruled = F.when((F.col("score1") - F.col("score2") <= F.lit(threshold).cast("double")) | F.coalesce("listed", F.lit(False)), F.col(swap)).otherwise(F.col("label1"))
+    both = told.select("part", F.col(truth).alias("truth"), F.explode(F.array(F.struct(F.lit("baseline").alias("kind"), F.col("label1").alias("predicted")), F.struct(F.lit("tuned").alias("kind"), ruled.alias("predicted")))).alias("p")).select("part", "truth", "p.*")
+    scores = macro_f1(both, labels, ("part", "kind")).groupBy("part").agg(*[F.max(F.when(F.col("kind") == k, F.col("macro_f1"))).alias(k) for k in ("baseline", "tuned")])
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    measures = cut(sizes.join(scores, "part").select("part", "rows", "baseline", "tuned", F.lit(threshold).cast("double").alias("threshold")))
+    return TunedRule(threshold, measures, pairs)

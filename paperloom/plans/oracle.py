@@ -369,5 +369,12 @@ NARROWED = {
     "paper_rank": {"pos": "INTEGER", "rank": "INTEGER"}, "github_rank": {"pos": "INTEGER"}, "keyword_classify": {"pos": "INTEGER"}, "label_centroids": {"pos": "INTEGER"},
     "rule_tuning": {"threshold": "DOUBLE"}, "llm_output_parse": {"point_number": "INTEGER", "score": "DOUBLE"}, "keyed_cache_join": {"page": "INTEGER"}, "first_links": {"ordinal": "INTEGER"},
 }
+_TUNING = ORACLE_SQL["rule_tuning"].rpartition("SELECT part, count(*) AS rows")
+ORACLE_SQL["tuning_status"] = f"""{_TUNING[0]}
+        SELECT true AS tuned, 'validation_test_split' AS method, round(any_value(threshold), 3) AS threshold, max(rows) FILTER (part = 'validation') AS rows_validation, max(rows) FILTER (part = 'test') AS rows_test,
+            {', '.join(f"max({c}) FILTER (part = '{p}') AS {c}_{p}" for c in ('baseline', 'tuned') for p in ('validation', 'test'))},
+            (SELECT coalesce(string_agg(label1 || '>' || label2, ' ' ORDER BY label1, label2), '') FROM good) AS beneficial_pairs
+        FROM ({_TUNING[1]}{_TUNING[2]})"""
+NARROWED["tuning_status"] = {"threshold": "DOUBLE"}
 for _name, _columns in NARROWED.items():
     ORACLE_SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in _columns.items())}) FROM ({ORACLE_SQL[_name]})"

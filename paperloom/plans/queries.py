@@ -331,7 +331,16 @@ def stratified_split(spark, sf_dir):
 @query
 def rule_tuning(spark, sf_dir):
     got = tuning.tune(_swaps(spark, sf_dir), _labels(spark, sf_dir), "vec_id")
-    return got.select("part", "rows", F.round("baseline", 6).alias("baseline"), F.round("tuned", 6).alias("tuned"), F.round("threshold", 3).alias("threshold"))
+    return got.measures.select("part", "rows", F.round("baseline", 6).alias("baseline"), F.round("tuned", 6).alias("tuned"), F.round("threshold", 3).alias("threshold"))
+
+
+@query
+def tuning_status(spark, sf_dir):
+    """C17: the status of the tuning, with the pairs it found."""
+    got = tuning.tune(_swaps(spark, sf_dir), _labels(spark, sf_dir), "vec_id").status()
+    pairs = F.array_join(F.transform("beneficial_pairs", lambda p: F.concat(p["label1"].cast("string"), F.lit(">"), p["label2"].cast("string"))), " ")
+    scores = [F.round(c, 6).alias(c) for c in ("baseline_validation", "baseline_test", "tuned_validation", "tuned_test")]
+    return got.select("tuned", "method", F.round("threshold", 3).alias("threshold"), F.col("rows_validation"), F.col("rows_test"), *scores, pairs.alias("beneficial_pairs"))
 
 
 # --- references, scores, cards -------------------------------------------------------------------------------

@@ -65,8 +65,13 @@ def test_tuning(spark):
         assert abs(got[step] - want) < 1e-12
     parts = U.stratified_split(df, "vec_id", "truth").groupBy("truth", "part").count().collect()
     assert {(r["truth"], r["part"]): r["count"] for r in parts} == {(0, "test"): 24, (0, "validation"): 16, (1, "test"): 12, (1, "validation"): 8}
-    assert U.tune(df, labels, "vec_id").count() == 2
-    assert U.tune(df.limit(19), labels, "vec_id").count() == 0
+    tuned = U.tune(df, labels, "vec_id")
+    status = tuned.status().first()
+    assert tuned.measures.count() == 2 and status["tuned"] and status["rows_validation"] + status["rows_test"] == 60 and tuned.threshold == status["threshold"]
+    assert [tuple(p) for p in status["beneficial_pairs"]] == sorted((r["label1"], r["label2"]) for r in tuned.pairs.collect())
+    few = U.tune(df.limit(19), labels, "vec_id")
+    assert few.threshold is None and few.measures.count() == few.pairs.count() == 0
+    assert (few.status().first()["tuned"], few.status().first()["beneficial_pairs"]) == (False, [])
     single = spark.createDataFrame([(1, "a")], "doc_id long, label string")
     assert U.stratified_split(single).first()["part"] == "test"
 
