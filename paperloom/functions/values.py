@@ -151,47 +151,67 @@ def parse_object(cells: pd.Series) -> pd.Series:
     return cells.map(one, na_action=None)
 
 
-def _evaluations(text: str):
-    clean = text.strip()
-    if clean.startswith("```"):
-        clean = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", clean, flags=re.I)).strip()
-    clean = clean.rpartition(".assistantfinal")[2].strip()
-    spans = [clean[clean.find(a) : clean.rfind(b) + 1] for a, b in ("{}", "[]") if -1 < clean.find(a) < clean.rfind(b) + 1]
-    for read, texts in ((json.loads, [clean, *spans]), (ast.literal_eval, [clean, *spans])):
-        for t in texts:
+EVALUATION = "struct<point_number:int,evidence_quote:string,reasoning:string,score:string>"
+
+
+@batched("string")
+def literal_as_json(texts: pd.Series) -> pd.Series:
+    """The first of some texts, told apart by NUL, that reads as a literal of plain values, as JSON; null where none does."""
+
+    def one(text):
+        for part in text.split("\0"):
             try:
-                got = read(t)
+                return json.dumps(ast.literal_eval(part), default=str)
             except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
-                continue
-            if isinstance(got, dict):
-                return got
-            return {"evaluations": got} if isinstance(got, list) and all(isinstance(x, dict) for x in got) else None
-    return None
+                pass
+        return None
 
+    return texts.map(one, na_action="ignore")
 
-EVALUATION = "struct<point_number:int,evidence_quote:string,reasoning:string,score:string>"
 
+def answer_parts(text: Column) -> Column:
+    """Where an answer's data may stand: all of it within its fence and after the last mark of a final answer, and what its outermost braces and brackets enclose."""
+    fenced = F.regexp_replace(F.regexp_replace(text, r"(?i)\A```(?:json)?\s*", ""), r"\s*```\z", "")
+    body = F.when(F.startswith(text, F.lit("```")), F.trim(fenced)).otherwise(text)
+    body = F.regexp_replace(body, r"(?s)\A.*\.assistantfinal", "")
+    enclosed = [F.nullif(F.regexp_extract(body, pattern, 0), F.lit("")) for pattern in (r"(?s)\{.*\}", r"(?s)\[.*\]")]
+    return F.filter(F.array(body, *enclosed), lambda t: t.isNotNull())
 
-@batched(f"array<{EVALUATION}>")
-def parse_scorer_output(texts: pd.Series) -> pd.Series:
-    """Evaluations of a scorer's answer, read leniently; none where nothing can be read. Scores stay text, see score_or_zero."""
 
-    def one(text):
-        got = _evaluations(text) if isinstance(text, str) else None
-        items = got.get("evaluations") if isinstance(got, dict) else None
-        out = []
-        for x in items if isinstance(items, list) else []:
-            if not isinstance(x, dict):
-                continue
-            try:
-                n = int(x.get("point_number", 0))
-            except (TypeError, ValueError):
-                continue
-            if n > 0:
-                out.append({"point_number": n, "evidence_quote": str(x.get("evidence_quote", "None")), "reasoning": str(x.get("reasoning", "")), "score": str(x.get("score", 0.0))})
-        return out
+def whole_json(text: Column) -> Column:
+    """A text that is one JSON value, as a variant; null for any other. In brackets, what follows a value is an error or a second one."""
+    held = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(held) == 1, F.get(held, F.lit(0)))
 
-    return texts.map(one, na_action=None)
+
+def _field(item: Column, name: str) -> Column:
+    return F.try_variant_get(item, f"$.{name}", "string")
+
+
+def parse_scorer_output(text: Column) -> Column:
+    """Evaluations of a scorer's answer, read leniently; an empty array where nothing can be read. Scores stay text, see score_or_zero.
+
+    The first part that is JSON counts, else the first that reads as a literal. It holds the list of
+    evaluations, or is that list. Items whose point number is no positive whole number are left out;
+    numbers are cut to whole ones, text must be one.
+    """
+    parts = answer_parts(F.trim(text, F.lit(" \t\r\n")))
+    read = F.get(F.filter(F.transform(parts, whole_json), lambda v: v.isNotNull()), F.lit(0))
+    value = F.coalesce(read, F.try_parse_json(literal_as_json(F.when(read.isNull(), F.array_join(parts, "\0")))))
+    whole = F.try_variant_get(value, "$", "array<variant>")
+    items = F.coalesce(F.try_variant_get(value, "$.evaluations", "array<variant>"), F.when(F.forall(whole, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))), whole))
+
+    def number(x: Column) -> Column:
+        said = _field(x, "point_number")
+        is_text = F.schema_of_variant(F.try_variant_get(x, "$.point_number", "variant")) == "STRING"
+        return F.when(is_text, F.when(said.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(said).try_cast("int"))).when(said == "true", 1).otherwise(said.try_cast("double").try_cast("int"))
+
+    def one(x: Column) -> Column:
+        score = F.when(F.try_variant_get(x, "$.score", "variant").isNull(), F.lit("0.0")).otherwise(F.coalesce(_field(x, "score"), F.lit("None")))
+        return F.struct(number(x).alias("point_number"), F.coalesce(_field(x, "evidence_quote"), F.lit("None")).alias("evidence_quote"), F.coalesce(_field(x, "reasoning"), F.lit("")).alias("reasoning"), score.alias("score"))
+
+    found = F.filter(F.transform(F.filter(items, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))), one), lambda e: e["point_number"] > 0)
+    return F.coalesce(found, F.array().cast(f"array<{EVALUATION}>"))
 
 
 @batched("array<string>")

@@ -78,6 +78,23 @@ def test_scorer_output(spark):
     assert [[(e["point_number"], e["score"]) for e in x] for x in got] == [[(3, "1")], [(4, "0.5")], [], [], [(7, "0.0")]]
 
 
+def test_odd_scorer_outputs(spark):
+    def read(text):
+        return [(e["point_number"], e["score"], e["evidence_quote"], e["reasoning"]) for e in one(spark, V.parse_scorer_output(F.col("t")), t=text)]
+
+    q, plain = '{"point_number": %s, "score": %s}', ("None", "")
+    for number, want in (("3", 3), ("3.0", 3), ("3.9", 3), ('" 3 "', 3), ('"3.9"', None), ("true", 1), ("null", None), ('"x"', None), ("-1", None), ("[1]", None), ("99999999999", None)):
+        assert read("[" + q % (number, 1) + "]") == ([(want, "1", *plain)] if want else []), number
+    assert read("[" + q % (1, "null") + "]") == [(1, "None", *plain)] and read("[" + q % (1, '"0.5"') + "]") == [(1, "0.5", *plain)]
+    assert read('[{"point_number": 2, "evidence_quote": null, "reasoning": 5, "score": 0.5}]') == [(2, "0.5", "None", "5")]
+    assert read('{"evaluations": ["x", 3, {"point_number": 2}]}') == [(2, "0.0", *plain)] and read('["x", {"point_number": 2}]') == []
+    assert read('{"evaluations": {"point_number": 2}}') == read("5") == read('"text"') == read("{}") == read("") == []
+    assert read("```JSON\n" + "Here: " + q % (1, 1) + "\n```") == [] and read("Here: [" + q % (1, 1) + "] so") == []
+    assert read("Here: [" + q % (1, 1) + ", " + q % (2, 0) + "] so") == [(1, "1", *plain), (2, "0", *plain)]
+    assert read("old.assistantfinal[].assistantfinal [" + q % (8, 1) + "]") == [(8, "1", *plain)]
+    assert read("[{'point_number': 6, 'reasoning': \"it's\", 'score': None}]") == [(6, "None", "None", "it's")]
+
+
 def test_canonical_numbers_are_dense(spark):
     rows = [("m", "paper", "LINK", k, f"[{k}:LINK]", v) for k, v in enumerate(["a", "b", " a ", "", "c"])]
     got = {r["token"]: r["canonical"] for r in P.canonical_placeholders(spark.createDataFrame(rows, "model_id string, source string, kind string, pos int, token string, value string")).collect()}
