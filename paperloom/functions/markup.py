@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from .batched import batched
+from .inline import Node, inline_tree, take_definitions
 from .text import BARE_URL, EMAIL
 
 _URL, _EMAIL = re.compile(BARE_URL), re.compile(EMAIL)
@@ -111,13 +112,7 @@ _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})
 _ITEM = re.compile(r"^ {0,3}(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)")
 _DELIMITER = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 #: First characters of lines that may be more than a paragraph's, and characters with which inline markup begins.
-_OPENERS, _MARKS = frozenset("`~#*-_+<>=0123456789"), re.compile(r"[\\`!\[<*_~]")
-_INLINE = re.compile(
-    r"(?=[\\`!\[<*_~])(?:(?P<escape>\\[!-/:-@\[-`{-~])|(?P<tick>`+)(?P<code>.+?)(?<!`)(?P=tick)(?!`)|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)]*)\)"
-    r"|\[(?P<text>(?:[^\[\]]|\[[^\[\]]*\]|!\[[^\]]*\]\([^)]*\))*)\]\((?P<href>[^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+[\"'(][^)]*)?\)"
-    r"|<(?P<auto>(?:https?://|mailto:)[^<>\s]+)>|(?P<mark>\*{1,3}|_{1,3}(?=\w)|(?<=\w)_{1,3}(?!\w)|~~)|(?P<tag></?[A-Za-z][^<>]*>))",
-    re.S,
-)
+_OPENERS, _MARKS = frozenset("`~#*-_+<>=0123456789"), re.compile(r"[\\`\[\]<*_]")
 
 
 def markdown_blocks(text: str) -> list[tuple[str, str, str]]:
@@ -204,7 +199,8 @@ def markdown_blocks(text: str) -> list[tuple[str, str, str]]:
 class _Numbers:
     """Placeholders of one document: numbers run through it, in the order in which text is read."""
 
-    def __init__(self):
+    def __init__(self, definitions: dict[str, str]):
+        self.definitions = definitions
         self.links: list[str] = []
         self.emails: list[str] = []
         self.codes: list[str] = []
@@ -222,35 +218,30 @@ class _Numbers:
             text = _EMAIL.sub(lambda m: self.put(self.emails, "EMAIL", m.group(0)), text)
         return text + " "
 
-    def address(self, url: str, shown: str) -> str:
+    def address(self, url: str, shown: list[Node]) -> str:
         if url.startswith("mailto:") and _EMAIL.match(url[7:]):
             return self.put(self.emails, "EMAIL", url[7:]) + " "
         if _URL.match(url):
             return self.put(self.links, "LINK", url) + " "
-        return self.inline(shown)
+        return self.nodes(shown)
 
     def inline(self, text: str) -> str:
         if not _MARKS.search(text):
             return self.plain(text) if text else ""
-        out, run, at = [], "", 0
-        for m in _INLINE.finditer(text):
-            run += text[at : m.start()]
-            at = m.end()
-            if m.group("escape"):
-                run += m.group("escape")[1]
-                continue
-            if run:
-                out.append(self.plain(run))
-                run = ""
-            if m.group("code") is not None:
-                out.append(m.group("code").strip() + " ")
-            elif m.group("href") is not None:
-                out.append(self.address(m.group("href").strip("<>"), m.group("text")))
-            elif m.group("auto"):
-                out.append(self.address(m.group("auto"), m.group("auto")))
-        run += text[at:]
-        if run:
-            out.append(self.plain(run))
+        return self.nodes(inline_tree(text, self.definitions))
+
+    def nodes(self, nodes: list[Node]) -> str:
+        """Texts of the nodes in order; links with a whole address become placeholders, images go."""
+        out = []
+        for n in nodes:
+            if n.kind == "text":
+                out.append(self.plain(n.text))
+            elif n.kind == "code":
+                out.append(n.text + " ")
+            elif n.kind == "link":
+                out.append(self.address(n.text, n.inside))
+            elif n.kind == "emphasis":
+                out.append(self.nodes(n.inside))
         return "".join(out)
 
     def block(self, kind: str, text: str, info: str) -> str | None:
@@ -280,7 +271,12 @@ def markdown_parts(text: str) -> dict[str, list[str]]:
     A paragraph's blocks are read when the next paragraph or heading begins, a section's when the
     next heading begins, so text that stands in both is numbered twice.
     """
-    numbers = _Numbers()
+    blocks = markdown_blocks(text)
+    definitions: dict[str, str] = {}
+    if "]:" in text:
+        blocks = [b if b[0] != "paragraph" else (b[0], take_definitions(b[1], definitions), b[2]) for b in blocks]
+        blocks = [b for b in blocks if b[0] != "paragraph" or b[1]]
+    numbers = _Numbers(definitions)
     out: dict[str, list[str]] = {"sections": [], "paragraphs": []}
     buffers: dict[str, list[tuple[str, str, str]]] = {"paragraphs": [], "sections": []}
 
@@ -293,7 +289,7 @@ def markdown_parts(text: str) -> dict[str, list[str]]:
             return
         out[name].append(got if name == "paragraphs" or got.endswith(".") else got + ".")
 
-    for block in markdown_blocks(text):
+    for block in blocks:
         if block[0] in ("paragraph", "heading"):
             flush("paragraphs")
         if block[0] == "heading":

@@ -596,6 +596,32 @@ sql(
 )
 
 
+#: Cards by doc_id % 12, with § for the identifier: the text, and what a paragraph of it reads.
+INLINE_CARDS = (
+    ("Read *a § **c** d* e now", "Read a § c d e now", ""), ("So 2 * § * 4 and snake_case_§ stay", "So 2 * § * 4 and snake_case_§ stay", ""),
+    ("See [this *one*][r§] or [R§] or [no §] here\n\n[r§]: https://e.org/§ 't'", "See [0:LINK] or [1:LINK] or [no §] here", "https://e.org/§ https://e.org/§"),
+    ("Here ***both §*** and *open § too", "Here both § and *open § too", ""), ("Go [a *b §* `c`](x.md) and on", "Go a b § c and on", ""),
+    ("An ![alt *§*](x.png) **[§](https://e.org/§ \"t\")** is gone", "An [0:LINK] is gone", "https://e.org/§"), ("Keep \\*not §\\* and `*code §*` as said", "Keep *not §* and *code §* as said", ""),
+    ("Links [out [in §](https://e.org/§) side](b.md) hold none", "Links [out [0:LINK] side](b.md) hold none", "https://e.org/§"), ("Strike ~~§~~ and un*§*real stay inside", "Strike ~~§~~ and un § real stay inside", ""),
+    ("At <https://e.org/§> or <b>§</b> in angles", "At [0:LINK] or § in angles", "https://e.org/§"), ("Brackets [§] and ] § [ and [§]( are text", "Brackets [§] and ] § [ and [§]( are text", ""),
+    ("Tail __a § _b_ c__ and _x_§_ ends", "Tail a § b c and x_§ ends", ""),
+)
+
+
+@query
+def markdown_inline(spark, sf_dir):
+    """Nested emphasis, references, links within links, escapes and code, of cards that differ by document."""
+    card = F.get(F.array(*[F.lit(c) for c, _, _ in INLINE_CARDS]), (F.col("doc_id") % len(INLINE_CARDS)).cast("int"))
+    parts = markup.parse_markdown(F.replace(card, F.lit("§"), F.col("doc_id").cast("string")))
+    return docs(spark, sf_dir).select("doc_id", parts.alias("p")).select("doc_id", F.get("p.paragraphs", F.lit(0)).alias("text"), F.size("p.paragraphs").cast("long").alias("n"), F.array_join("p.links", " ").alias("links"))
+
+
+sql(
+    "markdown_inline",
+    "SELECT doc_id, replace(" + f"[{', '.join(q(t) for _, t, _ in INLINE_CARDS)}]" + f"[doc_id % {len(INLINE_CARDS)} + 1], '§', CAST(doc_id AS VARCHAR)) AS text, CAST(1 AS BIGINT) AS n, replace([" + ", ".join(q(" ".join([x] * 2) if x else "") for _, _, x in INLINE_CARDS) + f"][doc_id % {len(INLINE_CARDS)} + 1], '§', CAST(doc_id AS VARCHAR)) AS links FROM documents",
+)
+
+
 @query
 def markdown_tables(spark, sf_dir):
     """Levels of known cards, with each table's summary in its place and as a sentence."""
