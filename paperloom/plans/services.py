@@ -608,6 +608,25 @@ INLINE_CARDS = (
 )
 
 
+#: Emoji of each kind, and what looks like one but is none, by doc_id % 8.
+EMOJI_GONE = ("\U0001f680", "\u263a\ufe0f", "\U0001f1e9\U0001f1ea", "7\ufe0f\u20e3", "\U0001f44d\U0001f3fd", "\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f3f3\ufe0f\u200d\U0001f308", "\u2705")
+EMOJI_STAYS = ("\u2605", "\U0001f680\u0301", "\xa9\ufe0e", "#7", "\u4e2d", "e\u0301", "\U0001f1e9", "\u0928\u093f")
+
+
+@query
+def emoji_clusters(spark, sf_dir):
+    """Emoji go as whole clusters between, before and after other text."""
+    pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (F.col("doc_id") % len(xs)).cast("int"))
+    gone, stays, name = pick(EMOJI_GONE), pick(EMOJI_STAYS), F.concat(F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("-")))
+    return docs(spark, sf_dir).select("doc_id", T.strip_emoji(F.concat(gone, name, gone, gone, F.lit(" "), stays, F.lit(" x"), gone, F.lit("."))).alias("text"))
+
+
+sql(
+    "emoji_clusters",
+    f"SELECT doc_id, doc_id || coalesce(lang, '-') || ' ' || [{', '.join(map(q, EMOJI_STAYS))}][doc_id % 8 + 1] || ' x.' AS text FROM documents",
+)
+
+
 @query
 def markdown_inline(spark, sf_dir):
     """Nested emphasis, references, links within links, escapes and code, of cards that differ by document."""
