@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import markup
+from ..functions import markup, values
 from ..functions import text as T
+from ..lineage import cut
+from ..sources.calls import Service
 
 
 def language_gate(docs: DataFrame, text_col: str = "text", languages: Column | None = None) -> DataFrame:
@@ -93,13 +95,18 @@ def preprocess_papers(papers: DataFrame, id_col: str = "doc_id", text_col: str =
 def layout_sections(trees: DataFrame, id_col: str = "doc_id", tree_col: str = "tree") -> DataFrame:
     """(id, section_ord, heading, blocks, tables, math, links) of layout trees, spans merged.
 
-    Headings that come again continue their first section.
+    Headings that come again continue their first section. Blocks are gathered under their headings in
+    the document's own row, so nothing is shuffled.
     """
-    parsed = trees.select(F.col(id_col), markup.parse_layout(F.col(tree_col)).alias("p"))
-    blocks = parsed.select(id_col, "p.tables", "p.math", "p.links", "p.headings", F.posexplode_outer("p.blocks").alias("pos", "b"))
-    blocks = blocks.select(id_col, "tables", "math", "links", (F.array_position("headings", F.col("b.heading")) - 1).cast("int").alias("section_ord"), F.col("b.heading").alias("heading"), "pos", F.col("b.text").alias("text"))
-    got = blocks.filter(F.col("text").isNotNull()).groupBy(id_col, "section_ord", "heading", "tables", "math", "links").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("blocks"))
-    return got.withColumn("blocks", T.merge_spans(F.col("blocks")))
+    parsed = trees.select(F.col(id_col), markup.parse_layout(F.col(tree_col)).alias("p")).select(id_col, "p.*")
+    texts = F.filter("blocks", lambda b: b["text"].isNotNull())
+
+    def section(heading: Column) -> Column:
+        own = F.transform(F.filter("_texts", lambda b: b["heading"].eqNullSafe(heading)), lambda b: b["text"])
+        return F.struct((F.array_position("headings", heading) - 1).cast("int").alias("section_ord"), heading.alias("heading"), T.merge_spans(own).alias("blocks"))
+
+    rows = parsed.withColumn("_texts", texts).withColumn("_s", F.explode(F.transform(F.array_distinct(F.transform("_texts", lambda b: b["heading"])), section)))
+    return rows.select(id_col, "_s.section_ord", "_s.heading", "_s.blocks", "tables", "math", "links")
 
 
 def preprocess_layout(trees: DataFrame, id_col: str = "doc_id", tree_col: str = "tree") -> DataFrame:
@@ -152,8 +159,31 @@ def substitute_tables(levels: DataFrame, summaries: DataFrame, id_col: str = "do
 
 
 def summarise_tables(tables: DataFrame, id_col: str = "doc_id", table_col: str = "table", summarise=None) -> DataFrame:
-    """(id, number, summary). ``summarise`` maps a Column to a Column, such as a model's UDF;
-    without one the summary names the table's size, so that nothing leaves the cluster."""
+    """(id, number, summary). ``summarise`` is a Service that is asked once a different table, or maps
+    a Column to a Column, such as a model's UDF; without one the summary names the table's size, so that
+    nothing leaves the cluster. A table whose call fails has no summary."""
+    if isinstance(summarise, Service):
+        return summarise.answers(tables.select(id_col, "number", table_col), table_col).filter("answer is not null").select(id_col, "number", F.col("answer").alias("summary"))
     rows = F.regexp_count(table_col, F.lit("\n")) + 1
     default = F.concat(F.lit("Table of "), rows.cast("string"), F.lit(" lines"))
     return tables.select(id_col, "number", (summarise(F.col(table_col)) if summarise else default).alias("summary"))
+
+
+def summarise_documents(tables: DataFrame, service: Service, prompt: str, id_col: str = "doc_id", table_col: str = "table") -> DataFrame:
+    """T20, a document at a time: (id, number, summary). ``prompt`` holds the mark {table}, which all tables of a document replace.
+
+    The answer is a list of summaries in the tables' order, read as parse_summaries does; tables beyond
+    it, and those of a failed call, have none, and what goes beyond the tables is left out.
+    """
+    held = tables.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("number", F.col(table_col).alias("t")))).alias("_l"))
+    asked = held.withColumn("prompt", F.replace(F.lit(prompt), F.lit("{table}"), F.to_json(F.transform("_l", lambda x: x["t"]))))
+    told = service.answers(asked).withColumn("_s", values.parse_summaries(F.col("answer")))
+    pairs = F.filter(F.arrays_zip(F.col("_l.number").alias("number"), F.col("_s").alias("summary")), lambda x: x["number"].isNotNull() & x["summary"].isNotNull())
+    return told.select(id_col, F.explode(pairs).alias("x")).select(id_col, "x.number", "x.summary")
+
+
+def preprocess_markdown_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", languages: Column | None = None, summarise=None) -> DataFrame:
+    """T21, markdown with its tables summarised. What the parser gives is stored, so it runs once; ``summarise``: see summarise_tables."""
+    parsed = cut(parse_markdown(docs, id_col, text_col, languages))
+    tables = parsed.select(id_col, F.posexplode("tables").alias("number", "table"))
+    return substitute_tables(markdown_levels(parsed, id_col), summarise_tables(tables, id_col, summarise=summarise), id_col)

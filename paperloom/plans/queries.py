@@ -170,9 +170,7 @@ def markdown_levels(spark, sf_dir):
 @query
 def table_summaries(spark, sf_dir):
     card = F.concat(F.lit("## Results of it\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nThe table above shows all of the results.\n\n"), F.coalesce("text", F.lit("")))
-    parsed = documents.parse_markdown(docs(spark, sf_dir).select("doc_id", card.alias("text")))
-    tables = parsed.select("doc_id", F.posexplode("tables").alias("number", "table"))
-    rows = documents.substitute_tables(documents.markdown_levels(parsed), documents.summarise_tables(tables))
+    rows = documents.preprocess_markdown_tables(docs(spark, sf_dir).select("doc_id", card.alias("text")))
     return rows.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("text", F.lit("Table of "))).alias("n_tables"))
 
 

@@ -644,9 +644,7 @@ sql(
 @query
 def markdown_tables(spark, sf_dir):
     """Levels of known cards, with each table's summary in its place and as a sentence."""
-    parsed = documents.parse_markdown(_known_documents(spark, sf_dir), text_col="card", languages=F.array("lang"))
-    tables = parsed.select("doc_id", F.posexplode("tables").alias("number", "table"))
-    rows = documents.substitute_tables(documents.markdown_levels(parsed), documents.summarise_tables(tables))
+    rows = documents.preprocess_markdown_tables(_known_documents(spark, sf_dir), text_col="card", languages=F.array("lang"))
     return rows.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n"), digest(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("digest"))
 
 

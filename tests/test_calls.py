@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import assemble, scoring
+from paperloom.operators import assemble, documents, scoring
 from paperloom.sources import calls as C
 from paperloom.sources.calls import CallPolicy, Refused, Service
 
@@ -163,3 +163,23 @@ def test_plans_of_drivers_stay_small(spark, sf_dir):
 
     for name in ("evaluate_models", "generate_models"):
         assert exchanges(QUERIES[name](spark, sf_dir)) < 15, name
+
+
+def test_tables_are_summarised_once_each(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"# A heading of it\n\nThe first table stands here:\n\n| a | b |\n|---|---|\n| {i % 2} | 2 |\n\nThat was the table of it all.") for i in range(4)], "doc_id long, text string")
+    got = documents.preprocess_markdown_tables(docs, languages=F.array(F.lit("en")), summarise=Service(counting(tmp_path, lambda t: f"A table of {t.count('|')} bars"), QUICK))
+    texts = {(r["doc_id"], r["text"]) for r in got.collect()}
+    got.count()
+    assert len(made(tmp_path)) == 2 and {(i, "A table of 9 bars.") for i in range(4)} <= texts
+
+
+def test_tables_of_a_document_are_summarised_together(spark, tmp_path):
+    tables = spark.createDataFrame([(1, 1, "t1"), (1, 0, "t0"), (2, 0, "u"), (3, 0, "v"), (4, 0, "w")], "doc_id long, number int, table string")
+
+    def answer(prompt):
+        if "v" in prompt:
+            raise Refused("no")
+        return {'Of ["t0","t1"]': '["zero", "one", "more"]', 'Of ["u"]': "Here: ['about u']"}.get(prompt, "[]")
+
+    got = documents.summarise_documents(tables, Service(counting(tmp_path, answer), QUICK), "Of {table}").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "zero"), (1, 1, "one"), (2, 0, "about u")] and len(made(tmp_path)) == 4
