@@ -77,6 +77,33 @@ def shorten(text: Column, most: int = 2000) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 3), F.lit("...")))
 
 
+_QUOTED = r'"(?:[^"\\]|\\.)*+"'
+
+
+def spaced_json(text: Column) -> Column:
+    """JSON text with one blank behind each comma and colon and no other white space between its parts; its order stays."""
+    bare = F.regexp_replace(text, rf'\G((?:[^"\s]|{_QUOTED})*+)\s+', "$1")
+    return F.regexp_replace(bare, rf'\G((?:[^",:]|{_QUOTED})*+)([,:])', "$1$2 ")
+
+
+def node_text(node: Column) -> Column:
+    """A structured node, as JSON text: code between its fences, a string as it is, any other value as JSON; long text is cut.
+
+    Text that is no JSON is a string itself; a null is the JSON null.
+    """
+    value = whole_json(node)
+    kind = F.schema_of_variant(value)
+    of = lambda name: F.try_variant_get(value, f"$.{name}", "string")
+    said = lambda *xs: F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in xs], F.lit(""))
+    info = said(of("attrs.info"), F.coalesce(of("info"), of("language")))
+    marker = F.coalesce(F.nullif(F.trim(of("marker")), F.lit("")), F.lit("```"))
+    body = F.regexp_replace(F.coalesce(of("raw"), of("text"), F.lit("")), r"\n+$", "")
+    code = F.concat(marker, info, F.lit("\n"), F.when(body != "", F.concat(body, F.lit("\n"))).otherwise(""), marker)
+    is_code = F.startswith(kind, F.lit("OBJECT")) & (F.lower(F.trim(of("type"))) == "block_code")
+    plain = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(value.isNotNull(), spaced_json(F.trim(node, F.lit(" \t\r\n")))).otherwise(F.coalesce(node, F.lit("null")))
+    return F.when(F.coalesce(is_code, F.lit(False)), code).otherwise(shorten(plain))
+
+
 def code_body(block: Column) -> Column:
     """What stands between the outer fences."""
     t = strip(block)

@@ -102,10 +102,11 @@ def rank_github(cards: DataFrame, key: str = "doc_id", text_col: str = "card", m
     return rows.select(key, "pos", "link", "score", F.coalesce(primary, F.lit(False)).alias("is_primary"))
 
 
-def select_links(cards: DataFrame, key: str = "doc_id", text_col: str = "card", model_col: str = "model_id", papers: DataFrame | None = None, bibtex: bool = True) -> DataFrame:
+def select_links(cards: DataFrame, key: str = "doc_id", text_col: str = "card", model_col: str = "model_id", papers: DataFrame | None = None, bibtex: bool = True, with_repository: bool = False) -> DataFrame:
     """(key, primary_paper, secondary_papers, primary_github, secondary_github).
 
-    Cards without a paper are left out (F10). ``papers`` holds titles and abstracts; without it
+    Cards without a paper are left out (F10), and ``with_repository``, as a batch has it, those without
+    a primary repository too (F11). ``papers`` holds titles and abstracts; without it
     papers are chosen by rank alone and no repository is looked for in an abstract.
     """
     ranked = rank_papers(cards, key, text_col, bibtex)
@@ -126,4 +127,5 @@ def select_links(cards: DataFrame, key: str = "doc_id", text_col: str = "card",
         F.max(F.when(F.col("is_primary"), F.col("link"))).alias("primary_github"),
         F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_primary"), F.struct("pos", "link")))), lambda x: x["link"]).alias("secondary_github"),
     )
-    return chosen.drop("_id").join(git, key, "left").withColumn("secondary_github", F.coalesce("secondary_github", F.array().cast("array<string>")))
+    git = git.filter("primary_github is not null") if with_repository else git
+    return chosen.drop("_id").join(git, key, "inner" if with_repository else "left").withColumn("secondary_github", F.coalesce("secondary_github", F.array().cast("array<string>")))

@@ -67,6 +67,16 @@ sql(
 )
 
 
+@query
+def batch_link_selection(spark, sf_dir):
+    """The cards of a batch, which have a paper and a primary repository."""
+    got = ranking.select_links(card_rows(spark, sf_dir), bibtex=False, with_repository=True)
+    return got.select("doc_id", "primary_paper", "primary_github", F.array_join("secondary_papers", " ").alias("secondary_papers"))
+
+
+sql("batch_link_selection", f"SELECT * FROM ({O.ORACLE_SQL['link_selection']}) WHERE primary_github IS NOT NULL")
+
+
 @query
 def raw_links(spark, sf_dir):
     """A cell that holds a link or a list of links."""
@@ -521,6 +531,28 @@ def cell_values(spark, sf_dir):
     )
 
 
+@query
+def node_texts(spark, sf_dir):
+    """Code nodes with their fences, strings, other values as JSON, and long ones cut."""
+    k, text = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    rows = docs(spark, sf_dir).withColumn("k", F.col("doc_id") % 5)
+    code = F.to_json(F.struct(F.lit("Block_Code ").alias("type"), F.concat(k, F.lit("\n\n")).alias("raw"), F.struct(F.lit(" py ").alias("info")).alias("attrs"), F.lit("~~~").alias("marker")))
+    listed = F.concat(F.lit('{"b" : ['), k, F.lit(', "x: y, \\"z"],\n "a":{}}'))
+    node = F.when(F.col("k") == 0, code).when(F.col("k") == 1, F.concat(F.lit('"plain '), k, F.lit('"'))).when(F.col("k") == 2, listed).when(F.col("k") == 3, F.concat(F.lit("<"), k, text)).otherwise(F.lit('{"type":"block_code","language":"sh"}'))
+    shown = values.node_text(node)
+    return rows.select("doc_id", F.when(F.col("k") == 3, F.md5(shown.cast("binary"))).otherwise(shown).alias("shown"))
+
+
+sql(
+    "node_texts",
+    """
+    SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '~~~py' || chr(10) || doc_id || chr(10) || '~~~' WHEN 1 THEN 'plain ' || doc_id WHEN 2 THEN '{"b": [' || doc_id || ', "x: y, \\"z"], "a": {}}'
+        WHEN 3 THEN md5(CASE WHEN length(t) <= 2000 THEN t ELSE substr(t, 1, 1997) || '...' END) ELSE '```sh' || chr(10) || '```' END AS shown
+    FROM (SELECT doc_id, '<' || doc_id || coalesce(text, '') AS t FROM documents)
+    """,
+)
+
+
 sql(
     "cell_values",
     """SELECT doc_id, CAST(doc_id AS VARCHAR) AS body, '```py' || chr(10) || doc_id || chr(10) || '```' AS block, md5(CASE WHEN length(coalesce(text, '')) <= 2000 THEN coalesce(text, '') ELSE substr(text, 1, 1997) || '...' END) AS short, true AS inside,

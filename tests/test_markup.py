@@ -106,3 +106,13 @@ def test_table_summaries(spark):
     told = spark.createDataFrame([(1, 0, "First  table"), (1, 1, "Second!")], "doc_id long, number int, summary string")
     got = sorted((r["level"], r["pos"], r["text"]) for r in D.substitute_tables(levels, told).collect())
     assert got == [("section", 0, "See First table. and Second!"), ("sentence", 4, "x"), ("sentence", 5, "First table."), ("sentence", 6, "Second!")]
+
+
+def test_node_texts(spark):
+    read = lambda t: one(spark, V.node_text(F.col("t")), t=t)
+    cases = {
+        '{"type": "block_code", "raw": "x\\ny\\n", "attrs": {"info": "py"}}': "```py\nx\ny\n```", '{"type": "BLOCK_CODE", "text": "t", "info": "sh", "marker": " ~~~ "}': "~~~sh\nt\n~~~", '{"type": "block_code", "raw": "", "language": "c"}': "```c\n```",
+        '{"type": "x", "raw": "r"}': '{"type": "x", "raw": "r"}', '"a, b: c"': "a, b: c", "plain, text": "plain, text", "3": "3", "null": "null", "[ ]": "[]", '{"b":1 ,\n"a" : [1,"x,y: \\"z\\\\",{}]}': '{"b": 1, "a": [1, "x,y: \\"z\\\\", {}]}',
+    }
+    assert {t: read(t) for t in cases} == cases
+    assert read('["' + "x" * 3000 + '"]') == '["' + "x" * 1995 + "..." and len(read('"' + "y" * 2500 + '"')) == 2000
