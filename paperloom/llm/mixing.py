@@ -97,7 +97,8 @@ def seat_counts(parties: DataFrame, seats: int) -> DataFrame:
     high = min(4 * most, votes / (seats - n / 2) * (1 + 1e-9)) if seats > n / 2 else 4 * most
     grid = [high * (1 - 2.0**-k) for k in range(GRID // 2, 0, -1)] + [high * 2.0**-k for k in range(2, GRID // 2)] + [high]
     while given != seats and (grid := sorted({x for x in grid if low < x <= high})):
-        sums = dict(zip(grid, parties.agg(*[F.sum(above(d)) for d in grid]).first()))
+        points = parties.select("votes", "cap", F.explode(F.array(*map(F.lit, grid))).alias("d"))
+        sums = {r["d"]: r["n"] for r in points.groupBy("d").agg(F.sum(above(F.col("d"))).alias("n")).collect()}
         high, given = min([(d, k) for d, k in sums.items() if k <= seats], default=(high, given))
         low = max([d for d, k in sums.items() if k > seats], default=low)
         grid = [x for k in range(1, GRID + 1) if low < (x := low + (high - low) * k / (GRID + 1)) < high]
