@@ -116,3 +116,17 @@ def test_node_texts(spark):
     }
     assert {t: read(t) for t in cases} == cases
     assert read('["' + "x" * 3000 + '"]') == '["' + "x" * 1995 + "..." and len(read('"' + "y" * 2500 + '"')) == 2000
+
+
+def test_batches_become_objects_in_small_steps(spark):
+    """Of a batch only about STEP_BYTES are Python objects at a time; nulls, wide rows and several columns keep their rows."""
+    from pyspark.sql import functions as F
+
+    from paperloom.functions import batched as B
+
+    sizes = B.batched("array<long>")(lambda a, b: a.map(lambda _: [len(a), sum(len(x) for x in a if x) + sum(len(x) for x in b if x)]))
+    rows = spark.range(3_000, numPartitions=1).select("id", F.when(F.col("id") % 7 != 0, F.repeat(F.lit("x"), 2_000)).alias("a"), F.when(F.col("id") == 5, F.repeat(F.lit("y"), 3 * B.STEP_BYTES)).otherwise("z").alias("b"))
+    got = rows.select("id", "a", sizes(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r["id"] for r in got] == list(range(3_000)) and all((r["a"] is None) == (r["id"] % 7 == 0) for r in got)
+    assert max(r["s"][1] for r in got if r["s"][0] > 1) <= B.STEP_BYTES
+    assert sum(1 / r["s"][0] for r in got) > 6
