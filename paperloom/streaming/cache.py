@@ -1,9 +1,9 @@
 """A keyed cache that follows its files: the last row of a key wins, whatever order the files come in.
 
-Each row has a version, by default the time its file was changed and its place there. State holds the
-newest version of a key with its row or, after a delete, with none; a row older than what is held, as
-in a file that comes late, changes nothing. The stream tells each change once; the cache itself is
-read from the state of the query's checkpoint.
+Each row has a version, by default the time its file was changed and its place there. State is Spark's own
+streaming aggregate: the newest version of a key with its row or, after a delete, with none; a row older
+than what is held, as in a file that comes late, changes nothing. No Python runs per key. The stream tells
+each change once; the cache itself is read from the state of the query's checkpoint.
 """
 
 from __future__ import annotations
@@ -11,16 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..lineage import cut
 from ..shipping import ship
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "last"
 VERSION = ("modified", "place")
 HELD = "modified timestamp, place long, deleted boolean, row string"
 CHANGE = f"cache_key string, {HELD}"
@@ -36,43 +33,22 @@ def read_versions(spark: SparkSession, path: str, schema, files_per_batch: int =
     return rows.select("*", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.row_index").alias("place"))
 
 
-class _LastRow(StatefulProcessor):
-    """Keeps the newest version of a key."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState(STATE, HELD)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.last.get() if self.last.exists() else None
-        best = None if held is None else (pd.Timestamp(held[0]), held[1])
-        newest = None
-        for pdf in rows:
-            at = pdf.sort_values(list(VERSION), kind="stable").iloc[-1]
-            version = pd.Timestamp(at["modified"]), int(at["place"])
-            if best is None or version > best:
-                best, newest = version, at
-        if newest is not None:
-            deleted = bool(newest["deleted"])
-            row = None if deleted or newest["row"] is None else str(newest["row"])
-            self.last.update((best[0].to_pydatetime(), best[1], deleted, row))
-            yield pd.DataFrame({"cache_key": [key[0]], "modified": [best[0]], "place": [best[1]], "deleted": [deleted], "row": [row]})
-
-    def close(self) -> None:
-        pass
-
-
 def follow(rows: DataFrame, key: Column, deleted: Column | None = None) -> DataFrame:
     """The changes (cache_key, modified, place, deleted, row) of a stream with columns modified and place.
 
     ``row`` is the row's other columns as JSON, null where ``deleted`` holds. The key is trimmed text;
-    rows without one are left out. A version that comes again, as in a replayed batch, is no change. The
-    query that runs it needs ``state_provider``.
+    rows without one are left out. A version that comes again, as in a replayed batch, is no change: of one
+    version the row that came in the earliest batch is held, and a change is what came in this batch. The
+    query that runs it is ``run_changes``.
     """
     ship(rows.sparkSession)
     held = [c for c in rows.columns if c not in VERSION]
     gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
     told = rows.select(F.trim(key.cast("string")).alias("cache_key"), "modified", "place", gone.alias("deleted"), F.to_json(F.struct(*held)).alias("row")).filter("cache_key <> '' and modified is not null")
-    return told.groupBy("cache_key").transformWithStateInPandas(_LastRow(), CHANGE, outputMode="append", timeMode="none")
+    # the time of a batch is the same in all its tasks and, as it stands in the checkpoint, in its replay
+    batch = F.unix_micros(F.current_timestamp())
+    newest = F.max(F.struct("modified", "place", "came", "deleted", F.when(~F.col("deleted"), F.col("row")).alias("row")))
+    return told.withColumn("came", -batch).groupBy("cache_key").agg(newest.alias("last")).filter(F.col("last.came") == -batch).select("cache_key", *[f"last.{c}" for c in ("modified", "place", "deleted", "row")])
 
 
 @contextmanager
@@ -88,14 +64,22 @@ def state_provider(spark: SparkSession) -> Iterator[None]:
 
 
 def run_changes(changes: DataFrame, path: str, checkpoint: str) -> None:
-    """Takes in all files that have come, batch by batch, and adds the changes to a Parquet folder; a restart goes on from its checkpoint."""
+    """Takes in all files that have come, batch by batch, and adds the changes to a Parquet folder, a folder a batch; a restart goes on from its checkpoint.
+
+    A batch that is replayed writes its own folder again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     with state_provider(changes.sparkSession):
-        changes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        changes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def read_cache(spark: SparkSession, checkpoint: str, schema: str) -> DataFrame:
     """The cache as it stands at the query's last batch: cache_key, modified, place and the row's columns; deleted keys are left out."""
     with state_provider(spark):
-        held = cut(spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint).select("key.cache_key", "value.*"))
+        state = spark.read.format("statestore").load(checkpoint)
+        held = cut(state.select("key.cache_key", F.col(f"value.`{state.schema['value'].dataType.names[0]}`").alias("last")).select("cache_key", "last.*"))
     live = held.filter("not deleted")
     return live.select("cache_key", "modified", "place", F.from_json("row", schema).alias("r")).select("cache_key", "modified", "place", "r.*")

@@ -47,6 +47,15 @@ def test_any_order_of_files_gives_the_batch_answer(spark, tmp_path):
     assert run(spark, str(tmp_path)) == {k: v for k, (_, _, v, gone) in last.items() if not gone}
 
 
+def test_no_python_runs_a_key_and_rows_of_one_version_have_an_order(spark, tmp_path):
+    put(spark, tmp_path / "in", "a", [("x", 2, at(1), 0, False), ("x", 1, at(1), 0, False), *((f"k{i}", i, at(2), 0, False) for i in range(50))])
+    rows = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in").withColumns({"modified": F.col("at"), "place": F.col("n")})
+    plan = cache.follow(rows.drop("at", "n"), F.col("k"), F.col("gone"))._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Python" not in plan and "TransformWithState" not in plan, "state is an aggregate's; a Python call a key took ms each"
+    got = run(spark, str(tmp_path))
+    assert got.pop("x") == 2 and got == {f"k{i}": i for i in range(50)}
+
+
 def test_files_are_versions(spark, tmp_path):
     schema = "k string, v long"
     spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
