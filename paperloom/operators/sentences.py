@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,23 +29,43 @@ PERIOD_RATE = 0.99
 #: Bounds of the model, by score or count: abbreviations, starters, pairs, spellings.
 MOST = (20_000, 10_000, 50_000, 200_000)
 NUMBER = "##"
+WHITE = " \t\n\x0b\f\r"
 TOKEN = r"[^ \t\n\x0B\f\r]+"
 AROUND = r"""^[("'\[{<*_“‘«„]+|[)"'\]}>*_,;:!?”’»]+$"""
+#: What a word needs for its core to end with a period, or to begin large.
+DOTTED = r"""\.[)"'\]}>*_,;:!?”’»]*$"""
+LARGE = r"""^[("'\[{<*_“‘«„]*\p{Lu}"""
 BOUNDARY = r"(?<=[.!?])[ \t\n\x0B\f\r]+"
 LOWER, UPPER_INSIDE = 1, 2
 
 
-def tokens(text: Column) -> Column:
-    """Words in order as structs (type, dot, upper): type is small-lettered and without a final period, numbers are one type."""
-    core = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, AROUND, ""))
-    core = F.filter(core, lambda t: t.rlike(r"[\p{L}\p{N}]"))
+def raw_words(text: Column) -> Column:
+    """The words of a text that hold a letter or digit, as they stand."""
+    return F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+
+
+def core(raw: Column) -> Column:
+    """A word without brackets, quotes and marks around it."""
+    return F.regexp_replace(raw, AROUND, "")
+
+
+def word_type(kind: Column) -> Column:
+    """The type of a word's core: small-lettered and without a final period; numbers are one type."""
+    bare = F.regexp_replace(kind, r"\.$", "")
+    return F.when(bare.rlike(r"^[0-9][0-9.,]*$"), F.lit(NUMBER)).otherwise(F.lower(bare))
 
-    def one(t: Column) -> Column:
-        bare = F.regexp_replace(t, r"\.$", "")
-        kind = F.when(bare.rlike(r"^[0-9][0-9.,]*$"), F.lit(NUMBER)).otherwise(F.lower(bare))
-        return F.struct(kind.alias("type"), F.endswith(t, F.lit(".")).alias("dot"), t.rlike(r"^\p{Lu}").alias("upper"))
 
-    return F.transform(core, one)
+def has_dot(kind: Column) -> Column:
+    return F.endswith(kind, F.lit("."))
+
+
+def is_upper(kind: Column) -> Column:
+    return kind.rlike(r"^\p{Lu}")
+
+
+def tokens(text: Column) -> Column:
+    """Words in order as structs (type, dot, upper), told from each word's core."""
+    return F.transform(F.transform(raw_words(text), core), lambda t: F.struct(word_type(t).alias("type"), has_dot(t).alias("dot"), is_upper(t).alias("upper")))
 
 
 def is_initial(kind: Column) -> Column:
@@ -109,18 +130,20 @@ class SentenceModel:
         out: list[list[str]] = []
         last = ""
         for part in _BOUNDARY.split(text):
-            if words := _TOKEN.findall(part):
-                if out and not self.cuts(last, words[0]):
+            if first := _TOKEN.search(part):
+                if out and not self.cuts(last, first.group()):
                     out[-1].append(part)
                 else:
                     out.append([part])
-                last = words[-1]
+                end = part.rstrip(WHITE)
+                last = end[max(map(end.rfind, WHITE)) + 1 :]
         return [" ".join(parts) for parts in out]
 
 
 _BOUNDARY, _AROUND, _TOKEN = re.compile(BOUNDARY), re.compile(AROUND), re.compile(TOKEN)
 
 
+@lru_cache(200_000)
 def plain_token(raw: str) -> tuple[str, bool, bool]:
     """(type, dot, upper) of one word, as ``tokens`` has it; an empty type where no letter or digit is."""
     core = _AROUND.sub("", raw)
@@ -154,29 +177,34 @@ class SentenceStatistics:
 def sentence_statistics(docs: DataFrame, text_col: str = "text", most: tuple[int, int, int, int] = MOST) -> SentenceStatistics:
     """Statistics of all texts, from two scans: of words, then, with the abbreviations known, of pairs of words.
 
-    Null and empty texts have no words. Of pairs only those over a period are moved: those after an
-    abbreviation, initial or number, and the words after a plain period.
+    Null and empty texts have no words. Words are counted as they stand, and each different one is told its
+    type once. Of pairs only those over a period are moved: those after an abbreviation, initial or number,
+    and the words after a plain period, and large words inside a sentence.
     """
     spark = docs.sparkSession
-    words = docs.select(tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    counts = cut(
-        words.select(F.explode("t").alias("t")).select("t.*").groupBy("type").agg(
-            F.count_if("dot").alias("n_dot"), F.count_if(~F.col("dot")).alias("n_plain"), F.count_if(~F.col("upper")).alias("n_lower"))
-    )
+    words = docs.select(raw_words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    # outer explodes: an inner one would cut every text once more, to tell that it has words
+    different = words.select(F.explode_outer("w").alias("raw")).filter("raw is not null").groupBy("raw").count().withColumn("core", core(F.col("raw")))
+    told = different.select(word_type(F.col("core")).alias("type"), has_dot(F.col("core")).alias("dot"), is_upper(F.col("core")).alias("upper"), "count")
+    of = lambda condition: F.sum(F.when(condition, F.col("count")).otherwise(0))
+    counts = cut(told.groupBy("type").agg(of(F.col("dot")).alias("n_dot"), of(~F.col("dot")).alias("n_plain"), of(~F.col("upper")).alias("n_lower")))
     total, dots = (x or 0 for x in counts.agg(F.sum(F.col("n_dot") + F.col("n_plain")), F.sum("n_dot")).first())
     known = (F.col("type") != NUMBER) & ~is_initial(F.col("type")) & F.col("type").rlike(r"\p{L}")
     score = abbreviation_score(F.col("type"), F.col("n_dot"), F.col("n_plain"), F.lit(dots), F.lit(total))
     abbreviations = cut(counts.filter(known & (F.col("n_dot") > 0)).select("type", "n_dot", "n_plain", score.alias("score")).filter(F.col("score") >= ABBREVIATION).orderBy(F.col("score").desc(), "type").limit(most[0]))
 
-    both = F.filter(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.size("t")).alias("b")), lambda p: p["b"].isNotNull())
-    after = words.select(F.explode(both).alias("p")).select(F.col("p.a.type").alias("first"), F.col("p.a.dot").alias("dot"), F.col("p.b.type").alias("second"), F.col("p.b.upper").alias("upper"))
-    after = after.join(F.broadcast(abbreviations.select(F.col("type").alias("first"), F.lit(True).alias("known"))), "first", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    ends = F.col("dot") & ~F.col("known")
-    open_ = F.col("known") | is_initial(F.col("first")) | (F.col("first") == NUMBER)
     # a row a pair that is kept; plain pairs tell no more than that a word was written large inside a sentence
-    kept = after.select(F.when(F.col("dot") & open_, F.col("first")).alias("first"), "second", ends.alias("ends"), F.when(ends & ~open_, True).otherwise(False).alias("starts"), (F.col("upper") & ~F.col("dot")).alias("inside"))
-    kept = kept.filter(F.col("first").isNotNull() | F.col("ends") | F.col("inside"))
-    seen = cut(kept.groupBy("first", "second").agg(F.count(F.lit(1)).alias("both"), F.count_if("ends").alias("ends"), F.count_if("starts").alias("n_at_break"), F.count_if("inside").alias("inside")))
+    pairs = words.select(F.explode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("p")).select("p.a", "p.b")
+    after = pairs.filter(F.col("b").isNotNull() & (F.col("a").contains(".") & F.col("a").rlike(DOTTED) | F.col("b").rlike(LARGE)))
+    after = after.select(core(F.when(F.col("a").contains("."), F.col("a"))).alias("core"), "b").select(F.when(has_dot(F.col("core")), word_type(F.col("core"))).alias("dotted"), "b")
+    after = after.join(F.broadcast(abbreviations.select(F.col("type").alias("dotted"), F.lit(True).alias("known"))), "dotted", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    dot = F.col("dotted").isNotNull()
+    ends = dot & ~F.col("known")
+    open_ = F.col("known") | is_initial(F.col("dotted")) | (F.col("dotted") == NUMBER)
+    kept = after.select(F.when(dot & open_, F.col("dotted")).alias("first"), "b", ends.alias("ends"), F.when(ends & ~open_, True).otherwise(False).alias("starts"), (~dot).alias("inside"))
+    kept = kept.groupBy("first", "b", "ends", "starts", "inside").count().withColumn("core", core(F.col("b")))
+    kept = kept.select("first", word_type(F.col("core")).alias("second"), "ends", "starts", (F.col("inside") & is_upper(F.col("core"))).alias("inside"), "count").filter(F.col("first").isNotNull() | F.col("ends") | F.col("inside"))
+    seen = cut(kept.groupBy("first", "second").agg(F.sum("count").alias("both"), of(F.col("ends")).alias("ends"), of(F.col("starts")).alias("n_at_break"), of(F.col("inside")).alias("inside")))
     breaks = seen.agg(F.sum("ends")).first()[0] or 0
     count = counts.select(F.col("type"), (F.col("n_dot") + F.col("n_plain")).alias("n"), "n_lower")
 

@@ -122,6 +122,23 @@ def test_abbreviations_are_not_cut(spark, trained):
     assert got[900] == got[901] == got[902] == [] and got[903] == ["...", "— !"]
 
 
+def test_types_are_told_once_a_different_word(spark, monkeypatch):
+    """The texts' words are counted as they stand; a transform over each text's words told every occurrence its type anew."""
+    plans = []
+    real = S.cut
+    monkeypatch.setattr(S, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    S.sentence_statistics(spark.createDataFrame(made(4, 20), "doc_id long, text string"))
+    over_texts = [p for p in plans if "regexp_extract_all" in p]
+    assert len(over_texts) == 2
+    for p in over_texts:
+        assert p.count("regexp_extract_all") == 1 and "transform(" not in p
+
+
+def test_the_last_word_of_a_part_decides():
+    m = SentenceModel(frozenset({"dr"}))
+    assert m.split(" a\tDr.\n\nmeyer  b\x0bDr. \x85 c.") == [" a\tDr. meyer  b\x0bDr. \x85 c."]
+
+
 def test_decisions():
     m = SentenceModel(frozenset({"approx", "dr", "inc"}), frozenset({"however"}), frozenset({("dr", "however"), ("##", "may")}), {"the": 1, "meyer": 2, "bach": 0, "may": 3})
     cases = {
