@@ -129,3 +129,45 @@ def test_vectors_are_packed_once_a_pass(spark, monkeypatch):
     got = N.nearest_two(rows, rows.select(rows["vec_id"].alias("label"), rows["embedding"].alias("centroid"))).collect()
     assert all(r["label1"] == r["vec_id"] != r["label2"] for r in got)
     assert seen == [120, 120, 120]
+
+
+def test_texts_are_cut_into_words_once(spark, docs, tmp_path, monkeypatch):
+    """Fit and vectors read what one pass over the texts wrote: the packed blocks are made once, and the texts are not read again."""
+    seen, pack = [], E.pack_texts
+    monkeypatch.setattr(E, "pack_texts", lambda rows, *more: seen.append(pack(rows, *more)) or seen[-1])
+    rows = docs.unionByName(spark.createDataFrame([(10**9, None, "x", None, None), (10**9 + 1, "", None, "s", 0)], docs.schema))
+    model, vectors = E.fit_and_embed(rows, dimensions=8, bits=10)
+    plan = vectors._jdf.queryExecution().analyzed().toString()
+    assert len(seen) == 1 and "parquet" not in plan.lower() and plan.count("MapInArrow") == 1
+    assert vectors.columns == [*(c for c in docs.columns if c != "text"), "embedding"]
+    want = {r["doc_id"]: r for r in classify.embed_texts(rows, E.backend(model, rows)).drop("text").collect()}
+    got = {r["doc_id"]: r for r in vectors.collect()}
+    assert got.keys() == want.keys() and got[10**9]["embedding"] is None and got[10**9 + 1]["embedding"] == [0.0] * 8
+    for i, r in got.items():
+        assert r[:-1] == want[i][:-1]
+        assert r["embedding"] is None or np.allclose(r["embedding"], want[i]["embedding"], atol=1e-6)
+    again = E.fit_text_encoder(rows, dimensions=8, bits=10)
+    assert np.allclose(again.basis, model.basis, atol=1e-9)
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_products_of_dense_and_sparse_blocks_agree(most, monkeypatch):
+    monkeypatch.setattr(E, "DENSE", most)
+    rows = E.Rows.of_texts(["a b b c", None, "", "c d", "?"], E.Terms(6), np.linspace(1, 2, 64))
+    assert (rows.dense is None) == (most == 0)
+    a = np.zeros((5, 64))
+    for k in range(5):
+        at = slice(rows.starts[k], rows.starts[k + 1])
+        a[k, rows.columns[at]] = rows.values[at]
+    assert np.allclose(np.linalg.norm(a, axis=1), [1, 0, 0, 1, 0])
+    rng = np.random.default_rng(0)
+    m, q, into = rng.standard_normal((64, 3)), rng.standard_normal((5, 2)), np.ones((64, 2))
+    rows.gather(q, into)
+    assert np.allclose(rows.times(m), a @ m) and np.allclose(into - 1, a.T @ q)
+
+
+def test_one_read_of_the_rows_serves_an_iteration(docs, monkeypatch):
+    reads, merged = [], E._merged
+    monkeypatch.setattr(E, "_merged", lambda parts, *more: reads.append(parts) or merged(parts, *more))
+    E.fit_text_encoder(docs, dimensions=4, bits=8, iterations=2)
+    assert len(reads) == 1 + 3, "frequencies, and three products; each product was read twice before"
