@@ -20,7 +20,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCommitMessage
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..shipping import ship
 from .cache import state_provider
@@ -46,81 +46,75 @@ def event(key: str, seq: int, phase: str, stage: str, index: int, total: int, se
     return {"key": key, "seq": seq, "type": kind, "phase": phase, "stage": stage, "section": section, "completed": done, "total": total, "remaining": max(total - done, 0), "message": text}
 
 
-class _InOrder(StatefulProcessor):
-    """Emits a key's events in order; holds outcomes that are ahead."""
-
-    def __init__(self, phase: str):
-        self.phase = phase
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "next int, seq long, ended boolean")
-        self.ahead = handle.getMapState("ahead", "step int", "section string, error string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        following, seq, ended = self.place.get() if self.place.exists() else (0, 0, False)
-        if ended:
-            return
-        came: dict[int, tuple] = {}
-        total = 0
-        for pdf in rows:
-            for step, section, error, n in zip(pdf["step"], pdf["section"], pdf["error"], pdf["total"]):
-                came.setdefault(int(step), (section, None if pd.isna(error) else str(error)))
-                total = int(n)
-        out: list[dict] = []
-
-        def tell(stage: str, *more) -> None:
-            nonlocal seq
-            seq += 1
-            out.append(event(key[0], seq, self.phase, stage, following, total, *more))
-
-        if following == 0:
-            tell("start")
-            following = 1
-        while following <= total:
-            step = (following,)
-            if following in came:
-                section, error = came.pop(following)
-            elif self.ahead.containsKey(step):
-                section, error = self.ahead.getValue(step)
-                self.ahead.removeKey(step)
-            else:
-                break
-            tell("begin", section)
-            if error is not None:
-                tell("error", section, error)
-                tell("failed", section, error)
-                ended = True
-                break
-            tell("end", section)
-            following += 1
-        if not ended and following > total:
-            following = total
-            tell("complete")
-            tell("result")
+STATE = "next int, seq long, ended boolean, ahead string"
+
+
+def _in_order(key: str, came: dict[int, tuple], total: int, held: tuple, phase: str) -> tuple[list[dict], tuple]:
+    """Events that a batch's outcomes (section, error) by step let go, and what is held afterwards: next step, seq, end, and as JSON what is ahead."""
+    following, seq, ended, kept = held
+    ahead = {int(k): tuple(v) for k, v in json.loads(kept or "{}").items()}
+    out: list[dict] = []
+
+    def tell(stage: str, *more) -> None:
+        nonlocal seq
+        seq += 1
+        out.append(event(key, seq, phase, stage, following, total, *more))
+
+    if following == 0:
+        tell("start")
+        following = 1
+    while following <= total:
+        got = came.get(following, ahead.pop(following, None))
+        if got is None:
+            break
+        section, error = got
+        tell("begin", section)
+        if error is not None:
+            tell("error", section, error)
+            tell("failed", section, error)
             ended = True
-        if ended:
-            self.ahead.clear()
-        else:
-            for step, outcome in came.items():
-                if step > following and not self.ahead.containsKey((step,)):
-                    self.ahead.updateValue((step,), outcome)
-        self.place.update((following, seq, ended))
-        if out:
-            yield pd.DataFrame(out)
-
-    def close(self) -> None:
-        pass
+            break
+        tell("end", section)
+        following += 1
+    if not ended and following > total:
+        following = total
+        tell("complete")
+        tell("result")
+        ended = True
+    ahead = {} if ended else {k: v for k, v in came.items() if k > following} | ahead
+    return out, (following, seq, ended, json.dumps(ahead, ensure_ascii=False) if ahead else None)
 
 
 def ordered_events(steps: DataFrame, key: Column, phase: str = "scoring") -> DataFrame:
     """EVENT rows of a stream (step from 1, section, error, total) by key, in order of seq within a key.
 
     A step that comes twice counts once, as first come; steps under 1 or over ``total`` are left out, as
-    are rows without a key. A key without steps (total 0) starts and ends.
+    are rows without a key. A key without steps (total 0) starts and ends. State goes to Python and back
+    with the rows, many keys a batch, so what a key holds ahead is written anew whenever it gets rows; a
+    key's events are one value there, and rows after it.
     """
     ship(steps.sparkSession)
-    told = steps.select(key.cast("string").alias("key"), F.col("step").cast("int").alias("step"), F.col("section").cast("string").alias("section"), F.col("error").cast("string").alias("error"), F.col("total").cast("int").alias("total")).filter("key is not null and step is not null and total is not null")
-    return told.groupBy("key").transformWithStateInPandas(_InOrder(phase), EVENT, outputMode="append", timeMode="none")
+
+    def turns(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else (0, 0, False, None)
+        if held[2]:
+            return
+        came: dict[int, tuple] = {}
+        total = 0
+        for pdf in batches:
+            for row in pdf["outcome"]:
+                step, section, error, n = json.loads(row)
+                came.setdefault(int(step), (section, error))
+                total = int(n)
+        out, held = _in_order(of[0], came, total, held, phase)
+        state.update(held)
+        if out:
+            yield pd.DataFrame({"events": [json.dumps(out, ensure_ascii=False)]})
+
+    outcome = F.to_json(F.array(F.col("step").cast("int").cast("string"), F.col("section").cast("string"), F.col("error").cast("string"), F.col("total").cast("int").cast("string")))
+    told = steps.filter(F.col("step").cast("int").isNotNull() & F.col("total").cast("int").isNotNull()).select(key.cast("string").alias("key"), outcome.alias("outcome")).filter("key is not null")
+    events = told.groupBy("key").applyInPandasWithState(turns, "events string", STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.select(F.explode(F.from_json("events", f"array<struct<{EVENT}>>", {"mode": "FAILFAST"})).alias("e")).select("e.*")
 
 
 class EventWriter(DataSourceStreamWriter):

@@ -1,7 +1,9 @@
 """Keyed state and ordered events on streams."""
 
 import datetime
+import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -142,3 +144,29 @@ def test_a_batch_killed_between_the_phases_leaves_nothing_to_read(spark, tmp_pat
     sink.commit([sink.write(iter([row(3)]))], 1)
     assert [(r["batch"], r["seq"]) for r in progress.read_events(spark, str(tmp_path)).orderBy("seq").collect()] == [(0, 1), (0, 2), (1, 3)]
     assert lost.name in os.listdir(tmp_path / progress.PARTS) and again.name not in os.listdir(tmp_path / progress.PARTS)
+
+
+def test_state_travels_with_the_rows_and_texts_stay_whole(spark, tmp_path):
+    """A state call a key and step took ms each; now state comes and goes with the rows, and texts come through as they are."""
+    odd = ['a "b" \\ c', "line\nline\t\x01", "\u00e9\u4e2d\U0001f600", "", None, "null", "[1]"]
+    keys = {f"k {i} \"{odd[i % 7]}\"": (odd[i % 7 :] + odd[: i % 7], (i % 9, odd[i % 3]) if i % 9 in range(1, 8) else None) for i in range(60)}
+    rows = [(k, i, x, bad[1] if bad and bad[0] == i else None, 7) for k, (sections, bad) in keys.items() for i, x in enumerate(sections, 1)]
+    random.Random(3).shuffle(rows)
+    for n in range(4):
+        put_steps(spark, tmp_path, f"f{n}", rows[n::4])
+    stream = spark.readStream.schema(STEPS).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    plan = progress.ordered_events(stream, F.col("k"))._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
+    got = [{k: v for k, v in r.asDict().items() if k != "batch"} for r in stream_events(spark, str(tmp_path))]
+    want = [e for k in sorted(keys) for e in expected(k, *keys[k])]
+    assert sorted(got, key=lambda r: (r["key"], r["seq"])) == want
+
+
+def test_only_what_is_ahead_is_held():
+    first = progress._in_order("m", {1: ("A", None), 3: ("C", None), 5: ("E", "down")}, 5, (0, 0, False, None), "scoring")
+    assert [e["stage"] for e in first[0]] == ["start", "begin", "end"] and first[1][:3] == (2, 3, False)
+    assert sorted(json.loads(first[1][3])) == ["3", "5"]
+    out, held = progress._in_order("m", {3: ("again", None), 2: ("B", None), 5: ("late", None)}, 5, first[1], "scoring")
+    assert [e["section"] for e in out if e["stage"] == "end"] == ["B", "again"] and json.loads(held[3]) == {"5": ["E", "down"]}
+    out, held = progress._in_order("m", {4: ("D", None)}, 5, held, "scoring")
+    assert [e["stage"] for e in out] == ["begin", "end", "begin", "error", "failed"] and held[2:] == (True, None), "an ended key holds nothing"
