@@ -39,6 +39,8 @@ WORD = re.compile(r"\w+")
 MAX_TERMS, BLOCK_DOCS, BLOCK_COLUMNS, FAN_IN = 200_000, 256, 512, 64
 #: A block is multiplied as a dense matrix if that holds at most so many numbers for each one of the block.
 DENSE = 100
+#: Tasks of a product for each core: what they tell does not grow with the input.
+TASKS_A_CORE = 4
 
 
 class Terms(dict):
@@ -231,7 +233,9 @@ def _weighed(packed: DataFrame, idf, matrix: np.ndarray) -> tuple[np.ndarray, np
             yield _told({-1: r} | {x // BLOCK_COLUMNS: total[x : x + BLOCK_COLUMNS] for x in range(0, n_columns, BLOCK_COLUMNS)})
 
     out, triangle = np.zeros((n_columns, width)), np.zeros((0, width))
-    for block, sums in _merged(packed.mapInArrow(local, "block int, sums binary"), width):
+    # a task tells sums of the matrix's size, so tasks are as many as keep the cores busy, not as many as the input has
+    tasks = packed.coalesce(TASKS_A_CORE * packed.sparkSession.sparkContext.defaultParallelism)
+    for block, sums in _merged(tasks.mapInArrow(local, "block int, sums binary"), width):
         if block < 0:
             triangle = sums.reshape(-1, width)
         else:

@@ -171,3 +171,10 @@ def test_one_read_of_the_rows_serves_an_iteration(docs, monkeypatch):
     monkeypatch.setattr(E, "_merged", lambda parts, *more: reads.append(parts) or merged(parts, *more))
     E.fit_text_encoder(docs, dimensions=4, bits=8, iterations=2)
     assert len(reads) == 1 + 3, "frequencies, and three products; each product was read twice before"
+
+
+def test_sums_do_not_grow_with_partitions(spark, docs, monkeypatch):
+    told, merged = [], E._merged
+    monkeypatch.setattr(E, "_merged", lambda parts, *more: told.append(parts) or merged(parts, *more))
+    E.fit_text_encoder(docs.repartition(60), dimensions=4, bits=8)
+    assert [p.filter("block = 0").count() <= E.TASKS_A_CORE * spark.sparkContext.defaultParallelism for p in told[1:]] == [True, True]
