@@ -15,6 +15,11 @@ def test_html_text():
     assert M.html_text(None) == ""
 
 
+def test_references_without_a_semicolon_are_text():
+    assert M.ended_html_text("<b>&quot</b>&quotx; &eacute; &eacute &#65; &#65 &amp &amp; \ufdd0") == "&quot &quotx; é &eacute A &#65 & & \ufdd0"
+    assert M.html_text("&quot") == '"' and M.ended_html_text(None) == ""
+
+
 def test_markdown_blocks():
     text = "# Title of it\nPara one `code` [a](https://x.y/z) ![i](q.png) mail me@x.org\nmore **bold** words\n\n```py\nrun()\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n- item one\n- item two here now\n\n> quote of it\n\n---\n\nSetext\n======\nlast [rel](docs/a.md) words of this text <https://auto.link/a>"
     assert [k for k, *_ in M.markdown_blocks(text)] == ["heading", "paragraph", "code", "table", "list", "quote", "rule", "heading", "paragraph"]

@@ -30,6 +30,16 @@ def test_service_queries_match_duckdb(spark, sf_dir):
         assert mine == theirs and mine, name
 
 
+def test_page_words_of_cut_references_match_duckdb(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    pages = ["<h1>token = &quot</h1><p>a &amp b &#x27 c &lt</p>", "<b>&quot;x&quot; &ampquot; &amp;quot; &quo &</b>", None, "", "a\x0bb \r\n c", "<a href='?a=1&copy=2'>\ufdd0 &copy 1 &middot; 2</a>&quot", "<script>if (a&&b&lt) c;</script><p>&#39;&#39</p>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["page_words"](spark, str(tmp_path)).select("page_id", "n_chars", "digest").collect())
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(db.sql(f"select page_id, n_chars, digest from ({services.ORACLE_SQL['page_words']})").fetchall())
+
+
 def test_evaluate(spark):
     refs = spark.createDataFrame([("m1", "Training", ["batch size 3"]), ("m2", "Training", ["x"])], "model_id string, section string, items array<string>")
     models = spark.createDataFrame([("m1",), ("m2",), ("m3",)], "model_id string")
