@@ -6,13 +6,14 @@ more often than without, is short, and may hold periods inside; a pair of words
 together more often than chance is one expression; some words start sentences more often than chance;
 and a word that is otherwise written small, but large after a period, tells that a sentence begins.
 
-Counts are Spark aggregates over all texts. What is kept is a bounded number of the best abbreviations,
-starters and pairs, and the spelling of words that follow such periods; the model is broadcast.
+Counts are Spark aggregates over all texts, and every abbreviation, starter and pair that the statistics tell
+counts. What decides periods of the trained texts themselves is broadcast where it is small, else joined to them.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -26,8 +27,8 @@ from ..shipping import ship
 # --- fixed values of the paper: thresholds of the statistics -----------------------------------------
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 PERIOD_RATE = 0.99
-#: Bounds of the model, by score or count: abbreviations, starters, pairs, spellings.
-MOST = (20_000, 10_000, 50_000, 200_000)
+#: Rows and characters of what is sent whole to every executor; what is more is joined.
+SENT = (500_000, 8_000_000)
 NUMBER = "##"
 WHITE = " \t\n\x0b\f\r"
 TOKEN = r"[^ \t\n\x0B\f\r]+"
@@ -151,30 +152,60 @@ def plain_token(raw: str) -> tuple[str, bool, bool]:
         return "", False, False
     bare = core.removesuffix(".")
     kind = NUMBER if re.fullmatch("[0-9][0-9.,]*", bare) else bare.lower()
-    return kind, core.endswith("."), core[0].isupper()
+    return kind, core.endswith("."), unicodedata.category(core[0]) == "Lu"
+
+
+def is_small(*tables: DataFrame) -> bool:
+    """Whether all rows of tables of words are within SENT together."""
+    rows = characters = 0
+    for df in tables:
+        words = [F.length(f.name) for f in df.schema if f.dataType.typeName() == "string"]
+        got = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(words, F.lit(0))), F.lit(0))).first()
+        rows, characters = rows + got[0], characters + got[1]
+    return rows <= SENT[0] and characters <= SENT[1]
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A stored table, marked to be broadcast where it is small."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 @dataclass(frozen=True)
 class SentenceStatistics:
-    """Tables of the training: (type, n_dot, n_plain, score), (type, n_at_break, n, score), (first, second, both, score), (type, seen)."""
+    """Tables of the training: (type, n_dot, n_plain, score), (type, n_at_break, n, score), (first, second, both, large, score), (type, n, seen, large).
+
+    ``large``: whether the last word stood large over such a period, without which it decides nothing in these texts.
+    """
 
     abbreviations: DataFrame
     starters: DataFrame
     pairs: DataFrame
     spelling: DataFrame
 
-    def model(self, most: tuple[int, int, int, int] = MOST) -> SentenceModel:
-        """The best of each table; at most ``most`` rows of each reach the driver."""
-        top = lambda df, n, *by: df.orderBy(*[F.col(c).desc() if c in ("score", "n") else F.col(c) for c in by]).limit(n).collect()
+    def model(self, most: tuple[int, int, int, int] | None = None) -> SentenceModel:
+        """All of each table, on the driver; with ``most``, the best rows of each alone, for a caller who asks for a smaller model."""
+
+        def rows(df: DataFrame, k: int, *by: str) -> list:
+            return (df.orderBy(*[F.col(c).desc() if c in ("score", "n") else F.col(c) for c in by]).limit(most[k]) if most else df).collect()
+
         return SentenceModel(
-            frozenset(r["type"] for r in top(self.abbreviations, most[0], "score", "type")),
-            frozenset(r["type"] for r in top(self.starters, most[1], "score", "type")),
-            frozenset((r["first"], r["second"]) for r in top(self.pairs, most[2], "score", "first", "second")),
-            {r["type"]: r["seen"] for r in top(self.spelling, most[3], "n", "type")},
+            frozenset(r["type"] for r in rows(self.abbreviations, 0, "score", "type")),
+            frozenset(r["type"] for r in rows(self.starters, 1, "score", "type")),
+            frozenset((r["first"], r["second"]) for r in rows(self.pairs, 2, "score", "first", "second")),
+            {r["type"]: r["seen"] for r in rows(self.spelling, 3, "n", "type")},
         )
 
+    def deciding(self) -> SentenceStatistics:
+        """The rows that decide a period of the trained texts themselves: a small word after it ends no sentence, whatever else is known."""
+        told = lambda df: cut(df.filter("large"))
+        large = self.spelling.filter("large")
+        return SentenceStatistics(self.abbreviations, cut(self.starters.join(large.select("type"), "type", "left_semi")), told(self.pairs), cut(large.filter(F.col("seen").bitwiseAND(LOWER) > 0)))
+
+    def is_small(self) -> bool:
+        return is_small(self.abbreviations, self.starters, self.pairs, self.spelling)
+
 
-def sentence_statistics(docs: DataFrame, text_col: str = "text", most: tuple[int, int, int, int] = MOST) -> SentenceStatistics:
+def sentence_statistics(docs: DataFrame, text_col: str = "text") -> SentenceStatistics:
     """Statistics of all texts, from two scans: of words, then, with the abbreviations known, of pairs of words.
 
     Null and empty texts have no words. Words are counted as they stand, and each different one is told its
@@ -191,33 +222,38 @@ def sentence_statistics(docs: DataFrame, text_col: str = "text", most: tuple[int
     total, dots = (x or 0 for x in counts.agg(F.sum(F.col("n_dot") + F.col("n_plain")), F.sum("n_dot")).first())
     known = (F.col("type") != NUMBER) & ~is_initial(F.col("type")) & F.col("type").rlike(r"\p{L}")
     score = abbreviation_score(F.col("type"), F.col("n_dot"), F.col("n_plain"), F.lit(dots), F.lit(total))
-    abbreviations = cut(counts.filter(known & (F.col("n_dot") > 0)).select("type", "n_dot", "n_plain", score.alias("score")).filter(F.col("score") >= ABBREVIATION).orderBy(F.col("score").desc(), "type").limit(most[0]))
+    abbreviations = cut(counts.filter(known & (F.col("n_dot") > 0)).select("type", "n_dot", "n_plain", score.alias("score")).filter(F.col("score") >= ABBREVIATION))
 
     # a row a pair that is kept; plain pairs tell no more than that a word was written large inside a sentence
     pairs = words.select(F.explode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("p")).select("p.a", "p.b")
     after = pairs.filter(F.col("b").isNotNull() & (F.col("a").contains(".") & F.col("a").rlike(DOTTED) | F.col("b").rlike(LARGE)))
     after = after.select(core(F.when(F.col("a").contains("."), F.col("a"))).alias("core"), "b").select(F.when(has_dot(F.col("core")), word_type(F.col("core"))).alias("dotted"), "b")
-    after = after.join(F.broadcast(abbreviations.select(F.col("type").alias("dotted"), F.lit(True).alias("known"))), "dotted", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    names = abbreviations.select(F.col("type").alias("met"), F.lit(True).alias("known"))
+    if is_small(names):
+        after = after.withColumn("count", F.lit(1)).join(F.broadcast(names), F.col("dotted") == F.col("met"), "left")
+    else:  # equal pairs are one row before they are moved, and words after no period are dealt by themselves
+        after = after.groupBy("dotted", "b").count().withColumn("key", F.coalesce("dotted", F.concat(F.lit(" "), "b"))).join(names, F.col("key") == F.col("met"), "left")
+    after = after.withColumn("known", F.coalesce("known", F.lit(False)))
     dot = F.col("dotted").isNotNull()
     ends = dot & ~F.col("known")
     open_ = F.col("known") | is_initial(F.col("dotted")) | (F.col("dotted") == NUMBER)
-    kept = after.select(F.when(dot & open_, F.col("dotted")).alias("first"), "b", ends.alias("ends"), F.when(ends & ~open_, True).otherwise(False).alias("starts"), (~dot).alias("inside"))
-    kept = kept.groupBy("first", "b", "ends", "starts", "inside").count().withColumn("core", core(F.col("b")))
-    kept = kept.select("first", word_type(F.col("core")).alias("second"), "ends", "starts", (F.col("inside") & is_upper(F.col("core"))).alias("inside"), "count").filter(F.col("first").isNotNull() | F.col("ends") | F.col("inside"))
-    seen = cut(kept.groupBy("first", "second").agg(F.sum("count").alias("both"), of(F.col("ends")).alias("ends"), of(F.col("starts")).alias("n_at_break"), of(F.col("inside")).alias("inside")))
+    kept = after.select(F.when(dot & open_, F.col("dotted")).alias("first"), "b", ends.alias("ends"), F.when(ends & ~open_, True).otherwise(False).alias("starts"), (~dot).alias("inside"), "count")
+    kept = kept.groupBy("first", "b", "ends", "starts", "inside").agg(F.sum("count").alias("count")).withColumn("core", core(F.col("b"))).withColumn("upper", is_upper(F.col("core")))
+    kept = kept.select("first", word_type(F.col("core")).alias("second"), "ends", "starts", (F.col("inside") & F.col("upper")).alias("inside"), (F.col("first").isNotNull() & F.col("upper")).alias("large"), "count").filter(F.col("first").isNotNull() | F.col("ends") | F.col("inside"))
+    seen = cut(kept.groupBy("first", "second").agg(F.sum("count").alias("both"), of(F.col("ends")).alias("ends"), of(F.col("starts")).alias("n_at_break"), of(F.col("inside")).alias("inside"), F.max("large").alias("large")))
     breaks = seen.agg(F.sum("ends")).first()[0] or 0
     count = counts.select(F.col("type"), (F.col("n_dot") + F.col("n_plain")).alias("n"), "n_lower")
 
-    at_break = seen.groupBy(F.col("second").alias("type")).agg(F.sum("n_at_break").alias("n_at_break"), F.max(F.col("inside") > 0).alias("inside"), F.max(F.col("first").isNotNull()).alias("follows")).join(count, "type")
+    at_break = seen.groupBy(F.col("second").alias("type")).agg(F.sum("n_at_break").alias("n_at_break"), F.max(F.col("inside") > 0).alias("inside"), F.max(F.col("first").isNotNull()).alias("follows"), F.max("large").alias("large")).join(count, "type")
     at_break = cut(at_break)
     starts = at_break.filter((F.col("n_at_break") > 0) & F.col("type").rlike(r"^\p{L}+$")).withColumn("score", log_likelihood(F.lit(breaks), F.col("n"), F.col("n_at_break"), F.lit(total)))
-    starters = cut(starts.filter((F.col("score") >= STARTER) & (F.lit(total) * F.col("n_at_break") > F.col("n") * breaks)).select("type", "n_at_break", "n", "score").orderBy(F.col("score").desc(), "type").limit(most[1]))
+    starters = cut(starts.filter((F.col("score") >= STARTER) & (F.lit(total) * F.col("n_at_break") > F.col("n") * breaks)).select("type", "n_at_break", "n", "score"))
 
-    over = seen.filter("first is not null").select("first", "second", "both").join(F.broadcast(starters.select(F.col("type").alias("second"))), "second", "left_anti")
+    over = seen.filter("first is not null").select("first", "second", "both", "large").join(sent(starters.select(F.col("type").alias("second"))), "second", "left_anti")
     over = over.join(count.select(F.col("type").alias("first"), F.col("n").alias("n1")), "first").join(count.select(F.col("type").alias("second"), F.col("n").alias("n2")), "second")
     chance = over.filter((F.col("n1") > 1) & (F.col("n2") > 1) & (F.col("both") > 1) & (F.col("both") <= F.least("n1", "n2"))).withColumn("score", log_likelihood(F.col("n1"), F.col("n2"), F.col("both"), F.lit(total)))
-    pairs = chance.filter((F.col("score") >= COLLOCATION) & (F.lit(total) * F.col("both") > F.col("n1") * F.col("n2"))).select("first", "second", "both", "score")
-    spelling = at_break.filter("follows").select("type", "n", (F.when(F.col("n_lower") > 0, LOWER).otherwise(0) + F.when(F.col("inside"), UPPER_INSIDE).otherwise(0)).alias("seen"))
+    pairs = chance.filter((F.col("score") >= COLLOCATION) & (F.lit(total) * F.col("both") > F.col("n1") * F.col("n2"))).select("first", "second", "both", "large", "score")
+    spelling = at_break.filter("follows").select("type", "n", "large", (F.when(F.col("n_lower") > 0, LOWER).otherwise(0) + F.when(F.col("inside"), UPPER_INSIDE).otherwise(0)).alias("seen"))
     return SentenceStatistics(abbreviations, starters, pairs, spelling)
 
 

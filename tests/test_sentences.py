@@ -158,3 +158,18 @@ def test_an_empty_table_gives_an_empty_model(spark):
 def test_the_model_is_bounded(trained):
     m = trained.model((2, 1, 1, 3))
     assert (len(m.abbreviations), len(m.starters), len(m.pairs), len(m.spelling)) == (2, 1, 1, 3)
+
+
+def many():
+    """More abbreviations than 20,000: three letters with periods inside, thrice each."""
+    letters = "abcdefghijklmnopqrstuvwxyzàéü"
+    names = [f"{a}.{b}.{c}." for a in letters for b in letters for c in letters]
+    return [(i, " ".join(f"{n} the one {n} The two {n} of" for n in names[i::40])) for i in range(40)]
+
+
+def test_no_abbreviation_is_left_out(spark):
+    """Of 24,389 abbreviations the best 20,000 were kept, and others' periods ended sentences."""
+    rows = many()
+    stats = S.sentence_statistics(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute(rows)[0]
+    assert len(want) == 24_389 and stats.model().abbreviations == want.keys()
