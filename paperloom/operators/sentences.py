@@ -273,5 +273,75 @@ def trained_sentences(model: SentenceModel, text: Column) -> Column:
 
 def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sentences) of documents, by a model trained on these."""
-    model = sentence_statistics(docs, text_col).model()
-    return docs.select(id_col, trained_sentences(model, F.col(text_col)).alias("sentences"))
+    known = sentence_statistics(docs, text_col).deciding()
+    if known.is_small():
+        return docs.select(id_col, trained_sentences(known.model(), F.col(text_col)).alias("sentences"))
+    return joined_sentences(docs, known, id_col, text_col)
+
+
+def joined_sentences(docs: DataFrame, known: SentenceStatistics, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What trained_sentences gives, with tables of any size: they are joined to the periods between parts of the texts.
+
+    Texts are stored with a number a row, by which the parts that go on come back to them. Python holds one text's parts.
+    """
+    ship(docs.sparkSession)
+    rows = cut(docs.select(id_col, F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row")))
+    asked = rows.select("_row", F.explode(open_ends(F.col("_text"))).alias("x")).select("_row", "x.*")
+    # where the word before may be none's last, a small word after it begins no sentence; large ones are met once each
+    at = asked.join(sent(known.abbreviations.select(F.col("type").alias("left"), F.lit(True).alias("known"))), "left", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    at = at.filter(F.col("known") | F.col("loose"))
+    met = at.filter("upper").select("left", "right").distinct()
+    met = met.join(known.pairs.select(F.col("first").alias("left"), F.col("second").alias("right"), F.lit(True).alias("paired")), ["left", "right"], "left")
+    met = met.join(known.starters.select(F.col("type").alias("right"), F.lit(True).alias("starter")), "right", "left").join(known.spelling.select(F.col("type").alias("right"), "seen"), "right", "left")
+    met = met.select("left", "right", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("paired", "starter")], F.coalesce("seen", F.lit(0)).alias("seen"))
+    large = at.filter("upper").join(met, ["left", "right"])
+    begins, small = F.col("seen") == LOWER, F.col("seen").bitwiseAND(LOWER) > 0
+    cuts = ~F.col("paired") & F.when(F.col("known") & ~F.col("initial"), F.col("starter") | begins).otherwise(begins | ~F.col("initial") | small)
+    on = at.filter("not upper").select("_row", "at").union(large.filter(~cuts).select("_row", "at")).groupBy("_row").agg(F.collect_list("at").alias("_on"))
+
+    @F.pandas_udf("array<string>")
+    def put(texts: pd.Series, on: pd.Series) -> pd.Series:
+        return pd.Series([joined_parts(t, set(() if a is None else map(int, a))) if isinstance(t, str) else [] for t, a in zip(texts, on)], dtype=object)
+
+    return rows.join(on, "_row", "left").select(id_col, put(F.col("_text"), F.col("_on")).alias("sentences"))
+
+
+def text_parts(text: str) -> list[tuple[str, str, str]]:
+    """(part, first word, last word) of what stands between possible ends of sentences, blank parts left out."""
+    out = []
+    for part in _BOUNDARY.split(text):
+        if first := _TOKEN.search(part):
+            end = part.rstrip(WHITE)
+            out.append((part, first.group(), end[max(map(end.rfind, WHITE)) + 1 :]))
+    return out
+
+
+def joined_parts(text: str, on: set[int]) -> list[str]:
+    """Sentences of a text whose parts of the numbers ``on`` go on with the one before."""
+    out: list[list[str]] = []
+    for k, (part, _, _) in enumerate(text_parts(text)):
+        if k in on:
+            out[-1].append(part)
+        else:
+            out.append([part])
+    return [" ".join(parts) for parts in out]
+
+
+def open_ends(text: Column) -> Column:
+    """The parts of a text that follow a word with a period, by number, with the types of the words before and after."""
+
+    def of(text: str | None) -> list[dict]:
+        parts, out = text_parts(text or ""), []
+        for k in range(1, len(parts)):
+            left, dot, _ = plain_token(parts[k - 1][2])
+            if dot and left:
+                right, _, upper = plain_token(parts[k][1])
+                initial = len(left) == 1 and left.isalpha()
+                out.append({"at": k, "left": left, "right": right, "upper": upper, "initial": initial, "loose": initial or left == NUMBER})
+        return out
+
+    @F.pandas_udf("array<struct<at:int,left:string,right:string,upper:boolean,initial:boolean,loose:boolean>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(of, na_action=None)
+
+    return run(text)

@@ -173,3 +173,17 @@ def test_no_abbreviation_is_left_out(spark):
     stats = S.sentence_statistics(spark.createDataFrame(rows, "doc_id long, text string"))
     want = brute(rows)[0]
     assert len(want) == 24_389 and stats.model().abbreviations == want.keys()
+
+
+@pytest.mark.parametrize("seed", [3, 11])
+def test_tables_of_any_size_split_alike(spark, trained, monkeypatch, seed):
+    """Tables that are not small are joined, in training and in splitting; model and sentences are the same."""
+    odd = [(904, "Dr. — 3. Ⅳ no. Ⓐ etc. Ǆ J. J. The (vol. 2) However. Dr. However"), (904, "J. The J. Bach. Dr. The 7. The\u00a0x. etc. the etc. However")]
+    rows = spark.createDataFrame([*made(seed), *odd], "doc_id long, text string")
+    model = S.sentence_statistics(rows).model()
+    want = sorted((i, S.SentenceModel.split(model, t or "")) for i, t in [*made(seed), *odd])
+    told = lambda: sorted((r["doc_id"], r["sentences"]) for r in S.split_sentences(rows).collect())
+    assert told() == want
+    monkeypatch.setattr(S, "SENT", (0, 0))
+    monkeypatch.setattr(S, "trained_sentences", None)
+    assert S.sentence_statistics(rows).model() == model and told() == want
