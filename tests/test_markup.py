@@ -135,3 +135,20 @@ def test_batches_become_objects_in_small_steps(spark):
     assert [r["id"] for r in got] == list(range(3_000)) and all((r["a"] is None) == (r["id"] % 7 == 0) for r in got)
     assert max(r["s"][1] for r in got if r["s"][0] > 1) <= B.STEP_BYTES
     assert sum(1 / r["s"][0] for r in got) > 6
+
+
+def test_tables_named_by_their_size_need_no_shuffle(spark, monkeypatch):
+    """Texts were stored and shuffled, and cleaned twice, for summaries that the document's own row tells."""
+    texts = [
+        "# Title of four words\n\nThe words of it are here.\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nMore words of it are here.\n\n| c | d |\n|---|---|\n\nThe last words of it follow.",
+        "| a | b |\n|---|---|\n| 1 | 2 |", "No table is in this one. It has two sentences of words.", "Says [0:TABLE] and [1:TABLE]. of itself.\n\n| x | y |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |", "", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parsed = D.parse_markdown(docs)
+    tables = parsed.select("doc_id", F.posexplode("tables").alias("number", "table"))
+    want = D.substitute_tables(D.markdown_levels(parsed), D.summarise_tables(tables)).collect()
+    monkeypatch.setattr(D, "cut", None)
+    got = D.preprocess_markdown_tables(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and any(r["text"] == "Table of 4 lines." for r in want)
