@@ -40,6 +40,12 @@ def test_page_words_of_cut_references_match_duckdb(spark, tmp_path):
     assert got == sorted(db.sql(f"select page_id, n_chars, digest from ({services.ORACLE_SQL['page_words']})").fetchall())
 
 
+def test_markdown_tables_shuffles_no_text(spark, sf_dir):
+    """Each document's levels are counted in its own row; grouping them again moved every text."""
+    plan = QUERIES["markdown_tables"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_evaluate(spark):
     refs = spark.createDataFrame([("m1", "Training", ["batch size 3"]), ("m2", "Training", ["x"])], "model_id string, section string, items array<string>")
     models = spark.createDataFrame([("m1",), ("m2",), ("m3",)], "model_id string")
